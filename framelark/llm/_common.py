@@ -34,15 +34,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """checkpoint() into the session's shared folder; a folder of its own only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; one of its own only where none is set (tests)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             folder = tempfile.mkdtemp(prefix="framelark-ckpt")
             atexit.register(shutil.rmtree, folder, True)
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(True)
 
 

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -199,6 +200,21 @@ def identify(docs: DataFrame, labelled: dict[str, bytes]) -> DataFrame:
     return docs.mapInArrow(rows, schema)
 
 
+def accepted(docs: DataFrame, labelled: dict[str, bytes]) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in a learned language; a null lang is filled in."""
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = shared_parser(labelled)
+        for b in batches:
+            got = [g[0] for g in parser.predict(b.column(at).to_pylist())]
+            filled = pc.coalesce(b.column(lang).cast(pa.string()), pa.array(got, pa.string()))
+            whole = pa.RecordBatch.from_arrays([filled if k == lang else c for k, c in enumerate(b.columns)], names=b.schema.names)
+            yield whole.filter(pa.array([g != UNKNOWN for g in got]))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs.select("doc_id", "text"), labelled_sample(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
