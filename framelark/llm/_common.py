@@ -2,15 +2,13 @@
 from __future__ import annotations
 
 import atexit
-import io
-import os
 import shutil
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 #: Rows in an Arrow batch: texts can be long, so batches are kept small.
 ARROW_ROWS = 2000
 
@@ -18,20 +16,7 @@ ARROW_ROWS = 2000
 def prepare(spark: SparkSession) -> SparkSession:
     """Makes the package importable on executors, and keeps Arrow batches small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    sc = spark.sparkContext
-    if not getattr(sc, "_framelark_shipped", False):
-        root = Path(__file__).resolve().parents[2]
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w") as z:
-            for p in sorted((root / "framelark").rglob("*.py")):
-                z.write(p, p.relative_to(root))
-        folder = tempfile.mkdtemp(prefix="framelark")
-        atexit.register(shutil.rmtree, folder, True)
-        path = os.path.join(folder, "framelark_package.zip")
-        Path(path).write_bytes(held.getvalue())
-        sc.addPyFile(path)
-        sc._framelark_shipped = True
-    return spark
+    return ship(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:

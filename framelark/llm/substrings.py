@@ -237,8 +237,15 @@ def kept_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept_texts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("repeats").alias("n_repeats"))
+    return kept_texts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, k, list_slice(w, k, k + 12) AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS k)),
+m AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY s) < doc_id AS r FROM g),
+h AS (SELECT DISTINCT doc_id, k + o AS k FROM m, (SELECT unnest(range(0, 13)) AS o) WHERE r),
+x AS (SELECT doc_id, list(k) AS gone FROM h GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(array_to_string([w[k] FOR k IN range(1, len(w) + 1) IF NOT coalesce(list_contains(gone, k), false)], ' ')) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)"""
+
 QUERIES = {"op1_substring_dedup": op1_substring_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op1_substring_dedup": SQL}
