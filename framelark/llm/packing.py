@@ -98,7 +98,7 @@ class Packer:
         total = sum(p[0] for p in self.waiting)
         for k in range(len(self.tiers) - 1, -1, -1):
             size, below = self.tiers[k], self.tiers[k - 1] if k else 0
-            while self.waiting and self.waiting[-1][0] > below and total >= size:
+            while self.waiting and below < self.waiting[-1][0] <= size <= total:
                 self.windows.append((size, self.fill(size, self.waiting.pop())))
                 total -= size
         if last:
