@@ -25,6 +25,9 @@ from .exchange import Block, ask, blocks, bucket_bits, cuts, expand, pack_keys,
 from .graph import components
 
 SHINGLE, PERCENT, FRAGMENTS, STARS = 5, 75, 4, 3
+#: Pairs across components for each row of their groups, up to which all are formed without a (further) star: length and
+#: position filters leave few of them.
+FEW, MANY = 16, 512
 #: Bytes of the star centres' sets up to which they are broadcast; beyond, the sets are joined by shuffle.
 BROADCAST = 16 << 20
 
@@ -41,7 +44,7 @@ def sets_of(block: Block, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
             found.append(words.mix(words.shingles(h, k)[index[few]] + np.uint64(k)))
             whose.append(few)
     f, o = np.concatenate(found), np.concatenate(whose)
-    order = np.lexsort((f, o))
+    order = words.by(f, o)
     f, o = f[order], o[order]
     new = np.append(True, (f[1:] != f[:-1]) | (o[1:] != o[:-1]))[: len(f)]
     return f[new], o[new]
@@ -109,7 +112,7 @@ def sets(held: DataFrame, percent: int = PERCENT) -> DataFrame:
         to, rep = (name[:, 0] >> np.uint64(64 - bits)).astype(np.int64), block.doc_ids.copy()
         for b, (_, r) in got.items():
             rep[(to == b) & (size > 0)] = r
-        order = np.lexsort((f, often, own))
+        order = words.by(f, often, own)
         f, own, often = f[order], own[order], often[order]
         first = np.concatenate([[0], np.cumsum(size)])
         place = np.arange(len(f)) - first[own]
@@ -162,24 +165,31 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links, compared, comp, turn = None, None, None, 0
     while True:
         t = at.withColumn("comp", F.col("doc_id")) if comp is None else at.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-        groups = t.groupBy("shingle").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min(F.struct(F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("comp").alias("cx"))).alias("c")).where("a <> b")
-        if turn < STARS:
-            met = t.join(groups.select("shingle", "c.x", "c.nx", "c.px", "c.cx"), "shingle").where("comp <> cx")
+        centre = F.struct(F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("comp").alias("cx"))
+        parts = t.groupBy("shingle", "comp").agg(F.count("*").alias("size"), F.min(centre).alias("c"))
+        groups = parts.groupBy("shingle").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.sum("size").alias("size"), F.sum(F.col("size") * F.col("size")).alias("inside"), F.min("c").alias("c"))
+        groups = durable(groups.where("a <> b").select("shingle", "size", "inside", "c.x", "c.nx", "c.px", "c.cx"))
+        size, across = groups.agg(F.sum("size"), F.sum((F.col("size") * F.col("size") - F.col("inside")) / 2)).first()
+        if not size:
+            break
+        # groups of components only ever shrink: what has become one component is left behind
+        at = durable(at.join(groups.select("shingle"), "shingle", "left_semi"))
+        t = at.withColumn("comp", F.col("doc_id")) if comp is None else at.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+        last = turn == STARS or across <= (FEW if turn == 0 else MANY) * size
+        if last:
+            met = t.join(t.select("shingle", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("comp").alias("cx")), "shingle").where("comp <> cx AND x < doc_id")
         else:
-            rest = t.join(groups.select("shingle"), "shingle")
-            met = rest.join(rest.select("shingle", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("comp").alias("cx")), "shingle").where("comp <> cx AND x < doc_id")
-        met = met.where(near(F.col("n"), F.col("nx")) & reach(F.col("nx"), F.col("px"), F.col("n"), F.col("place")))
-        pairs = met.select(F.least("x", "doc_id").alias("x"), F.greatest("x", "doc_id").alias("y")).distinct() if turn >= STARS else met.select("x", F.col("doc_id").alias("y")).distinct()
+            met = t.join(groups.drop("size", "inside"), "shingle").where("comp <> cx")
+        pairs = met.where(near(F.col("n"), F.col("nx")) & reach(F.col("nx"), F.col("px"), F.col("n"), F.col("place"))).select("x", F.col("doc_id").alias("y")).distinct()
         if compared is not None:
-            known = compared.unionByName(compared.select(F.col("y").alias("x"), F.col("x").alias("y")))
-            pairs = pairs.join(known, ["x", "y"], "left_anti")
+            pairs = pairs.join(compared, ["x", "y"], "left_anti").join(compared.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
         pairs = durable(pairs)
-        new = durable(verified(pairs, whole, percent)) if not pairs.isEmpty() else None
-        if new is not None:
+        if not pairs.isEmpty():
+            new = durable(verified(pairs, whole, percent))
             compared = pairs if compared is None else compared.unionByName(pairs)
             links = new if links is None else links.unionByName(new)
             comp = durable(components(links))
-        if turn >= STARS or new is None and turn == 0:
+        if last:
             break
         turn += 1
     out = found.select("doc_id", F.col("n").alias("n_shingles"), "rep")
@@ -188,9 +198,36 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
+#: Ids up to which a list of them is broadcast; beyond, texts are joined by shuffle.
+LISTED = 2_000_000
+
+
+def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs, with all their columns, without those that link with one of a smaller id; of repeated rows one stays. Rows
+    without doc_id, which no other row can be held against, pass as they are."""
+    found = durable(join(docs, percent).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")))
+
+    def listed(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.limit(LISTED + 1).count() <= LISTED else ids
+
+    gone, again = listed(found.where("c <> doc_id").select("doc_id")), listed(found.where("c = doc_id AND n > 1").select("doc_id"))
+    kept = docs.join(gone, "doc_id", "left_anti")
+    once = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return once.select(docs.columns)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
 
+SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, k, k + 4) AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 2))) AS k) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) ON a = d.doc_id"""
+
 QUERIES = {"op3_ngram_jaccard": op3_ngram_jaccard}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op3_ngram_jaccard": SQL}

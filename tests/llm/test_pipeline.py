@@ -2,7 +2,7 @@
 import numpy as np
 import pytest
 
-from .test_text_operators import base_spans, cut_repeats, linked
+from test_text_operators import base_spans, cut_repeats, linked
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 

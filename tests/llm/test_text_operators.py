@@ -182,7 +182,7 @@ def test_secrets(spark, tmp_path):
         assert r.base_sha256 == sha(",".join(want))
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(s.startswith(k) for s in want) for k in ("assign", "access", "hex")]
         assert [s for s in r.spans.split(",") if s.split(":")[0] in BASE] == want
-    assert "forge:0:40" in {r.spans for r in secrets.op8_secret_scan(spark, str(tmp_path)).collect()}
+    assert "forge:0:40,hex:4:40" in {r.spans for r in secrets.op8_secret_scan(spark, str(tmp_path)).collect()}
 
 
 def test_ledger_scans_only_what_is_new(spark):
