@@ -60,7 +60,7 @@ def least_squares(residual: Callable[[np.ndarray], np.ndarray], x: np.ndarray, r
             break
         gain = 1 - (new @ new) / max(r @ r, 1e-300)
         x, r, damp = x + move, new, max(damp / 10, 1e-12)
-        if gain < small:
+        if gain < small or r @ r < 1e-16 * len(r):
             break
     return x
 
