@@ -20,9 +20,9 @@ from . import words
 from ._common import durable
 
 #: Text bytes of a block; keys that a bucket is to get from all blocks; bits of a key within its bucket.
-BLOCK, BUCKET, BITS = 8 << 20, 1 << 21, 40
+BLOCK, BUCKET, BITS = 4 << 20, 1 << 20, 40
 _MASK = np.uint64((1 << BITS) - 1)
-BLOCKS = "block long, n_docs long, n_words long, doc_ids binary, ends binary, texts binary"
+BLOCKS = "block long, n_docs long, n_words long, doc_ids binary, ends binary, texts binary, others binary"
 
 
 def squeeze(data: bytes | np.ndarray, level: int = 1) -> bytes:
@@ -51,18 +51,25 @@ class Block:
     doc_ids: np.ndarray
     ends: np.ndarray
     data: np.ndarray
+    others: bytes | None = None
 
     @classmethod
     def of(cls, t: pa.Table | pa.RecordBatch, row: int = 0) -> Block:
         get = lambda name: t.column(name)[row].as_py()
-        return cls(get("block"), np.frombuffer(expand(get("doc_ids")), "<i8"), np.frombuffer(expand(get("ends")), "<i8"), np.frombuffer(expand(get("texts")), np.uint8))
+        return cls(get("block"), np.frombuffer(expand(get("doc_ids")), "<i8"), np.frombuffer(expand(get("ends")), "<i8"), np.frombuffer(expand(get("texts")), np.uint8), get("others"))
 
     def text(self, k: int) -> bytes:
         return self.data[self.ends[k] : self.ends[k + 1]].tobytes()
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """BLOCKS of (doc_id, text), checkpointed, so that every later reader finds the same documents in a block."""
+    def carried(self) -> pa.Table:
+        return pa.ipc.open_stream(expand(self.others)).read_all().combine_chunks()
+
+
+def blocks(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """BLOCKS of (doc_id, text), checkpointed, so that every later reader finds the same documents in a block. Columns to
+    carry go with their documents."""
+    carry = carry or []
     names = [x.split()[0] for x in BLOCKS.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,13 +77,21 @@ def blocks(docs: DataFrame) -> DataFrame:
         ids: list[np.ndarray] = []
         data: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
+        others: list[pa.RecordBatch] = []
 
         def out() -> pa.RecordBatch:
             flat, size = np.concatenate(data), np.concatenate(sizes)
             ends = np.concatenate([[0], np.cumsum(size)]).astype("<i8")
             n = sum(len(words.bounds(flat[ends[a] : ends[b]], ends[a : b + 1] - ends[a])[0]) for a in range(0, len(size), 500) for b in [min(a + 500, len(size))])
             doc_ids = np.concatenate(ids).astype("<i8")
-            values = [base + k, len(size), n, squeeze(doc_ids), squeeze(ends), squeeze(flat, 3)]
+            rest = None
+            if carry:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, others[0].schema) as w:
+                    for o in others:
+                        w.write_batch(o)
+                rest = squeeze(sink.getvalue().to_pybytes())
+            values = [base + k, len(size), n, squeeze(doc_ids), squeeze(ends), squeeze(flat, 3), rest]
             return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], names=names)
 
         held = 0
@@ -87,14 +102,15 @@ def blocks(docs: DataFrame) -> DataFrame:
                 ids.append(np.asarray(part.column(0).cast(pa.int64())))
                 data.append(d)
                 sizes.append(np.diff(ends))
+                others.append(pa.RecordBatch.from_arrays(part.columns[2:], names=carry))
                 held += len(d)
                 if held >= BLOCK:
                     yield out()
-                    ids, data, sizes, held, k = [], [], [], 0, k + 1
+                    ids, data, sizes, others, held, k = [], [], [], [], 0, k + 1
         if ids:
             yield out()
 
-    return durable(docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(rows, BLOCKS))
+    return durable(docs.select("doc_id", "text", *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]).where("doc_id IS NOT NULL").mapInArrow(rows, BLOCKS))
 
 
 def bucket_bits(held: DataFrame) -> int:

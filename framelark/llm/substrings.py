@@ -4,8 +4,8 @@
    its suffix needs no tree. What blocks hold in common is found by exchanging sorted hashes of these prefixes.
 2. Suffixes left are dealt to trees by variable-length prefixes: the shortest prefix with at most GROUP suffixes (by
    counts of hashed prefixes of every length, over all documents) names the group; small groups share a task.
-3. A group sorts its suffixes by their words; neighbours' common prefix lengths give the tree's internal nodes, and
-   nodes `window` words deep or more are repeats. Each answers its suffixes whether an earlier document holds it.
+3. A group sorts its suffixes by their words, EDGE words to a symbol; neighbours' common prefix lengths give the tree's
+   internal nodes, and nodes `window` words deep or more are repeats. Each answers its suffixes whether an earlier document holds it.
 4. Blocks mark the words of windows that an earlier document holds; neighbouring windows join to maximal repeats.
 
 Defined cases: null texts and texts without a repeat lose nothing; windows are judged on the input; repeated rows of
@@ -20,13 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import words
 from ._common import durable, table
 from .exchange import Block, ask, blocks, bucket_bits, cuts, expand, pack_keys, planes, short, squeeze, table_of, unpack_keys, unplanes
 
-#: Words of a window; suffixes of a group, about; prefix lengths that may name a group; hash slots of prefixes.
-WINDOW, GROUP, LENGTHS, SLOTS = 13, 1 << 18, (1, 2, 3, 4, 6, 9, 13), 1 << 12
+#: Words of a window; suffixes of a group, about; prefix lengths that may name a group; hash slots of prefixes;
+#: words of an edge.
+WINDOW, GROUP, LENGTHS, SLOTS, EDGE = 13, 1 << 20, (1, 2, 4, 8, 13), 1 << 12, 5
 
 
 class Suffixes:
@@ -39,28 +41,39 @@ class Suffixes:
         self.full = words.shingles(self.words, window)[self.at]
         self.own = own
         self.doc = block.doc_ids[own]
-        # equal prefixes together, then the smaller document first
-        self.order = np.lexsort((self.doc, self.full))
+        self.order = np.argsort(self.full)  # equal prefixes together
         f, d = self.full[self.order], self.doc[self.order]
-        self.head = np.append(True, f[1:] != f[:-1])[: len(f)]
-        self.group = np.cumsum(self.head) - 1
-        first = np.flatnonzero(self.head)
-        self.first = self.order[first]
-        last = np.append(first[1:], len(f)) - 1
-        self.several = d[last] != d[first] if len(f) else np.zeros(0, bool)
+        head = np.append(True, f[1:] != f[:-1])[: len(f)]
+        self.group = np.cumsum(head) - 1
+        head = np.flatnonzero(head)
+        self.first = self.order[head]  # one place of each distinct prefix, by hash
+        self.least = np.minimum.reduceat(d, head) if len(f) else d  # the smallest document that holds it here
+
+    def keys(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(short keys of the distinct prefixes, whose key each prefix has)."""
+        k = short(self.full[self.first], bits)
+        new = np.append(True, k[1:] != k[:-1])[: len(k)]
+        return k[new], np.cumsum(new) - 1
 
     def slots(self, length: int, places: np.ndarray) -> np.ndarray:
         return (words.shingles(self.words, length)[places] >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
+    def symbols(self, places: np.ndarray) -> np.ndarray:
+        """A suffix's first `window` words as edges of up to EDGE words: a row of 32-bit symbols for each edge."""
+        out, at = [], 0
+        for part in np.array_split(np.arange(self.window), -(-self.window // EDGE)):
+            out.append((words.shingles(self.words, len(part))[places + at] >> np.uint64(32)).astype("<u4"))
+            at += len(part)
+        return np.stack(out)
+
     def held_elsewhere(self, bits: int, answers: dict[int, bytes]) -> np.ndarray:
         """For each distinct prefix: whether another block holds it."""
-        bit = [np.unpackbits(np.frombuffer(answers[b], np.uint8)) for b in sorted(answers)]
-        keys = np.unique(short(self.full[self.first], bits))
+        keys, own = self.keys(bits)
         edge = cuts(keys, bits)
         known = np.zeros(len(keys), bool)
-        for b, x in zip(sorted(answers), bit, strict=True):
-            known[edge[b] : edge[b + 1]] = x[: edge[b + 1] - edge[b]]
-        return known[np.searchsorted(keys, short(self.full[self.first], bits))]
+        for b, a in answers.items():
+            known[edge[b] : edge[b + 1]] = np.unpackbits(np.frombuffer(a, np.uint8))[: edge[b + 1] - edge[b]]
+        return known[own]
 
 
 def groups_of(s: Suffixes, places: np.ndarray, plan: np.ndarray) -> np.ndarray:
@@ -100,23 +113,23 @@ def deep_nodes(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
     return order, np.cumsum(common < depth) - 1
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, int, np.ndarray]:
+def repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame, int, np.ndarray]:
     """(blocks, answers, bucket bits, plan): `marks` reads the answers, rows of (block, task, kind, answer)."""
-    held = blocks(docs)
+    held = blocks(docs, carry)
     bits = bucket_bits(held)
-    lengths = [min(n, window) for n in LENGTHS]
+    lengths, edges = [min(n, window) for n in LENGTHS], -(-window // EDGE)
 
     def prefixes(block: Block) -> Iterator[tuple]:
         s = Suffixes(block, window)
         if not len(s.first):
             return
-        keys = np.unique(short(s.full[s.first], bits))
+        keys, _ = s.keys(bits)
         edge = cuts(keys, bits)
         for b in range(1 << bits):
             if edge[b + 1] > edge[b]:
                 yield b, pack_keys(keys[edge[b] : edge[b + 1]]), None
         counts = np.stack([np.bincount(s.slots(n, s.at[s.first]), minlength=SLOTS) for n in lengths])
-        yield block.block % (1 << bits), None, squeeze(counts.astype("<i4"))
+        yield block.block % 8, None, squeeze(counts.astype("<i4"))
 
     sent = ask(held, prefixes, [("keys", pa.binary()), ("counts", pa.binary())])
     kinds = pa.schema([("block", pa.int64()), ("task", pa.int64()), ("kind", pa.int32()), ("answer", pa.binary())])
@@ -141,7 +154,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
 
     first = durable(sent.groupBy("bucket").applyInArrow(common, ddl))
     counts = np.zeros((len(lengths), SLOTS), np.int64)
-    for r in first.where("kind = 2").select("answer").toLocalIterator():  # SLOTS numbers for each bucket
+    for r in first.where("kind = 2").select("answer").collect():  # eight rows
         counts += np.frombuffer(expand(r.answer), "<i8").reshape(counts.shape)
     plan = make_plan(counts, GROUP)
 
@@ -151,9 +164,10 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
         block = Block.of(left)
         s = Suffixes(block, window)
         out = []
-        for task, _, places, whose in dealt(s, right, bits, plan):
-            symbols = np.stack([(s.words[places + k] >> np.uint64(32)).astype("<u4") for k in range(window)])
-            out.append((task, block.block, squeeze(symbols), planes(block.doc_ids[whose].astype(np.uint64), 8)))
+        some, tasks, parts = dealt(s, right, bits, plan)
+        symbols = s.symbols(s.at[s.first[some]])
+        for task, i, j in zip(tasks, parts, parts[1:], strict=False):
+            out.append((task, block.block, symbols[:, i:j].tobytes(), planes(s.least[some[i:j]].astype(np.uint64), 8)))
         return table_of(out, leaves_kind)
 
     known = held.groupBy("block").cogroup(first.where("kind = 0").groupBy("block"))
@@ -162,9 +176,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     def tree(t: pa.Table) -> pa.Table:
         task = t.column("task")[0].as_py()
         docs_ = [unplanes(x, 8).astype(np.int64) for x in t.column("docs").to_pylist()]
-        symbols = np.concatenate([np.frombuffer(expand(x), "<u4").reshape(window, -1).T for x in t.column("symbols").to_pylist()])
+        symbols = np.concatenate([np.frombuffer(x, "<u4").reshape(edges, -1).T for x in t.column("symbols").to_pylist()])
         doc = np.concatenate(docs_)
-        order, node = deep_nodes(symbols, window)
+        order, node = deep_nodes(symbols, edges)
         least = np.minimum.reduceat(doc[order], np.flatnonzero(np.append(True, node[1:] != node[:-1])))
         earlier = np.empty(len(doc), bool)
         earlier[order] = least[node] < doc[order]
@@ -178,21 +192,17 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     return held, first.where("kind = 0").unionByName(trees), bits, plan
 
 
-def dealt(s: Suffixes, answers: pa.Table, bits: int, plan: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(task, distinct prefixes, their places, rows of their first documents) of a block's suffixes that need a tree."""
+def dealt(s: Suffixes, answers: pa.Table, bits: int, plan: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    """(distinct prefixes of a block's suffixes that need a tree, by task; the tasks; where each begins, and the end)."""
     if not len(s.first):
-        return
+        return np.zeros(0, np.int64), [], [0]
     got = {t: a for t, k, a in zip(*(answers.column(c).to_pylist() for c in ("task", "kind", "answer")), strict=True) if k == 0}
     left = np.flatnonzero(s.held_elsewhere(bits, got))
-    if not len(left):
-        return
     task = groups_of(s, s.at[s.first[left]], plan)
     order = np.argsort(task, kind="stable")
     left, task = left[order], task[order]
-    edge = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
-    for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(task)], strict=True):
-        some = left[i:j]
-        yield int(task[i]), some, s.at[s.first[some]], s.own[s.first[some]]
+    begin = np.flatnonzero(np.append(True, task[1:] != task[:-1])[: len(task)])
+    return left, task[begin].tolist(), [*begin.tolist(), len(task)]
 
 
 def marks(block: Block, answers: pa.Table, bits: int, plan: np.ndarray, window: int) -> tuple[np.ndarray, Suffixes]:
@@ -200,11 +210,12 @@ def marks(block: Block, answers: pa.Table, bits: int, plan: np.ndarray, window:
     s = Suffixes(block, window)
     told = {t: a for t, k, a in zip(*(answers.column(c).to_pylist() for c in ("task", "kind", "answer")), strict=True) if k == 1}
     earlier = np.zeros(len(s.first), bool)
-    for task, some, _, _ in dealt(s, answers, bits, plan):
-        earlier[some] = np.unpackbits(np.frombuffer(told[task], np.uint8))[: len(some)]
+    some, tasks, parts = dealt(s, answers, bits, plan)
+    for task, i, j in zip(tasks, parts, parts[1:], strict=False):
+        earlier[some[i:j]] = np.unpackbits(np.frombuffer(told[task], np.uint8))[: j - i]
     repeat = np.zeros(len(s.full), bool)
     if len(s.full):
-        repeat[s.order] = earlier[s.group] | (s.doc[s.order] > s.doc[s.first][s.group])
+        repeat[s.order] = earlier[s.group] | (s.doc[s.order] > s.least[s.group])
     edge = np.zeros(len(s.words) + 1, np.int64)
     np.add.at(edge, s.at[repeat], 1)
     np.add.at(edge, s.at[repeat] + window, -1)
@@ -240,6 +251,28 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_texts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def without_repeats(docs: DataFrame, length: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
+    """docs, with all their columns and without the words of repeats. Texts without any stay as they are; `length`, where
+    there is such a column, follows. Rows without doc_id pass as they are."""
+    held, answers, bits, plan = repeats(docs, window, docs.columns)
+    target = to_arrow_schema(docs.schema)
+
+    def rest(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = Block.of(left)
+        gone, s = marks(block, right, bits, plan, window)
+        t = block.carried().rename_columns(target.names)
+        texts = t.column("text").to_pylist()
+        for k in np.unique(np.searchsorted(s.index, np.flatnonzero(gone), side="right") - 1).tolist():
+            cut = gone[s.index[k] : s.index[k + 1]].tolist()
+            texts[k] = b" ".join(w for w, c in zip(block.text(k).split(), cut, strict=True) if not c).decode()
+        columns = dict(zip(target.names, t.columns, strict=True)) | {"text": pa.array(texts, pa.string())}
+        if length in columns:
+            columns[length] = pa.array([None if x is None else len(x) for x in texts], pa.int64())
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns.values(), target, strict=True)], schema=target)
+
+    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rest, docs.schema).unionByName(docs.where("doc_id IS NULL"))
+
+
 SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, k, list_slice(w, k, k + 12) AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS k)),
 m AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY s) < doc_id AS r FROM g),
