@@ -29,15 +29,12 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    first = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return jaccard.first_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    cut = substrings.kept_texts(docs).where("n_removed > 0").select(F.col("doc_id").alias("id"), "kept")
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(cut, F.col("row.doc_id") == F.col("id"), "left").select(with_text(docs, F.coalesce("kept", "row.text")))
+    return substrings.without_repeats(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
