@@ -20,6 +20,8 @@ DEGREES, CENTIMETRES = (0.5, -1.2, 0.3), (-3.2, -6.5, 1.1)
 VECTOR = tuple(math.radians(v) for v in DEGREES)
 R = tuple(tuple(float(x) for x in row) for row in solvers.rotation(np.array(VECTOR)))
 T = tuple(v / 100 for v in CENTIMETRES)
+#: Frames of a recording, at least, in the solvers' queries.
+VIEWS = 10
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,22 +253,39 @@ def synthetic_views(spark: SparkSession, n: int = 8, noise: float = 0.0) -> Data
     return spark.createDataFrame(rows, "dataset string, frame int, corner_id int, bx double, by double, bz double, xa double, ya double, xb double, yb double")
 
 
+def table_views(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """Views like synthetic_views of every vector of the table: a vector is a frame whose pose comes from its id and
+    numbers, and its id deals it to one of the recordings of ten frames or more. Dealt to tasks by `keys`."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), "embedding")
+    n = e.agg(F.greatest(F.lit(1), F.floor(F.count("*") / VIEWS)).alias("n"))
+    part = lambda k, low, high: F.pmod(F.xxhash64("frame", "embedding", F.lit(k)), F.lit(1_000_000)) / 1e6 * (high - low) + low
+    pose = [part(k, -0.5, 0.5) for k in range(3)] + [part(k, -0.2, 0.0) for k in (3, 4)] + [part(5, 0.6, 1.0)]
+    e = e.crossJoin(F.broadcast(n)).select(F.pmod("frame", "n").cast("string").alias("dataset"), "frame", *[c.alias(f"p{k}") for k, c in enumerate(pose)])
+    e = e.select("dataset", "frame", F.array(*[F.array(*row) for row in geometry.rotation_of([F.col(f"p{k}") for k in range(3)])]).alias("r"), *[f"p{k}" for k in (3, 4, 5)])
+    e = e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)  # a solve costs more than its few bytes tell
+    i = F.col("corner_id")
+    v = e.select("*", F.explode(F.sequence(F.lit(0), F.lit(69))).alias("corner_id")).select("*", ((i % 10 + 1) * 0.028).alias("bx"), ((F.floor(i / 10) + 1) * 0.028).alias("by"), F.lit(0.0).alias("bz"))
+    first = geometry.rigid([F.col(c) for c in ("bx", "by", "bz")], geometry.matrix(F.col("r")), [F.col(f"p{k}") for k in (3, 4, 5)])
+    v = v.select("dataset", "frame", "corner_id", "bx", "by", "bz", *[c.alias(f"a{k}") for k, c in enumerate(first)])
+    a = [F.col(f"a{k}") for k in range(3)]
+    v = v.select("*", *[c.alias(f"b{k}") for k, c in enumerate(geometry.rigid(a, R, T))])
+    (xa, ya), (xb, yb) = geometry.project(a, K, D), geometry.project([F.col(f"b{k}") for k in range(3)], K, D)
+    return v.select("dataset", "frame", "corner_id", "bx", "by", "bz", xa.alias("xa"), ya.alias("ya"), xb.alias("xb"), yb.alias("yb"))
+
+
 def pose_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "region")
-    v = synthetic_views(spark).withColumnsRenamed({"xa": "x", "ya": "y"})
+    v = table_views(spark, sf_dir, "dataset", "frame").withColumnsRenamed({"xa": "x", "ya": "y"})
     return solvers.solve_poses(v, ["dataset", "frame"], np.array(K), np.array(D)).select("dataset", "frame", F.round("rms", 4).alias("rms"))
 
 
 def calibrate_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "region")
-    v = synthetic_views(spark).withColumnsRenamed({"xa": "x", "ya": "y"})
+    v = table_views(spark, sf_dir, "dataset").withColumnsRenamed({"xa": "x", "ya": "y"})
     return solvers.calibrate(v, ["dataset"]).select("dataset", F.round(F.col("camera_matrix")[0][0], 2).alias("fx"), F.round(F.col("camera_matrix")[0][2], 2).alias("cx"), F.round("rms", 4).alias("rms"), "n_views")
 
 
 def stereo_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "region")
     camera = (np.array(K), np.array(D))
-    s = solvers.stereo_calibrate(synthetic_views(spark), ["dataset"], camera, camera)
+    s = solvers.stereo_calibrate(table_views(spark, sf_dir, "dataset"), ["dataset"], camera, camera)
     return s.select("dataset", *[F.round(F.col("rotation_degrees")[k], 3).alias(f"r{k}") for k in range(3)], *[F.round(F.col("translation_cm")[k], 3).alias(f"t{k}") for k in range(3)])
 
 

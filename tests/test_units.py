@@ -202,6 +202,27 @@ def test_solvers_recover_what_made_the_views(spark):
     assert max(r.rms for r in spatial.pose_solve(spark, "/root/testdata/sf0.001").collect()) < 0.01
 
 
+def test_solvers_get_every_row_in_many_recordings(spark):
+    folder, n = "/root/testdata/sf0.01", spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").count()
+    poses = spatial.pose_solve(spark, folder).toPandas()
+    assert len(poses) == poses["frame"].nunique() == n and poses["rms"].max() < 0.01
+    cameras = spatial.calibrate_camera(spark, folder).toPandas()
+    assert cameras["n_views"].sum() == n and len(cameras) == n // spatial.VIEWS and cameras["n_views"].min() >= spatial.VIEWS
+    assert (cameras["fx"] - 1500).abs().max() < 1 and (cameras["cx"] - 960).abs().max() < 1 and cameras["rms"].max() < 0.01
+    pairs = spatial.stereo_calibrate(spark, folder).toPandas()
+    assert len(pairs) == len(cameras)
+    assert np.allclose(pairs[["r0", "r1", "r2"]], spatial.DEGREES, atol=1e-2) and np.allclose(pairs[["t0", "t1", "t2"]], spatial.CENTIMETRES, atol=1e-2)
+
+
+def test_table_views_match_the_numpy_projection(spark):
+    v = spatial.table_views(spark, "/root/testdata/sf0.001", "dataset", "frame").where("frame = 7").orderBy("corner_id").toPandas()
+    p = v[["bx", "by", "bz"]].to_numpy()
+    r, t, rms = solvers.board_pose(p, v[["xa", "ya"]].to_numpy(), np.array(spatial.K), np.array(spatial.D))
+    r = np.array(spatial.R) @ solvers.rotation(r)
+    b = solvers.projected(p, r, np.array(spatial.R) @ t + np.array(spatial.T), np.array(spatial.K), np.array(spatial.D))
+    assert len(v) == 70 and rms < 1e-4 and np.allclose(b, v[["xb", "yb"]].to_numpy(), atol=1e-3)
+
+
 def test_json_and_csv_round_trips(spark, tmp_path):
     m = spark.createDataFrame([("d", k, k + 1) for k in (2, 10, 1)], "dataset string, sony_idx long, zed_idx long")
     text = m.groupBy("dataset").agg(sinks.mapping_object("sony_idx", "zed_idx").alias("j")).first()["j"]
