@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,9 +36,10 @@ _RUN = re.compile(r"\s\s")
 
 class Ids:
     """Token ids of whole texts under a byte-level BPE given as ranks. Only runs of white space need the splitting
-    rule's look-ahead, so texts without such runs are split by the rule without it, which is faster and gives the same."""
+    rule's look-ahead, so texts without such runs are split by the rule without it, which is faster and gives the same.
+    Added tokens (content, id) are found first, as the tokenizers library does, and have one id each."""
 
-    def __init__(self, ranks: str, pattern: str) -> None:
+    def __init__(self, ranks: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> None:
         import tiktoken
 
         with open(ranks, "rb") as f:
@@ -46,19 +48,32 @@ class Ids:
         full = tiktoken.Encoding("full", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
         plain = tiktoken.Encoding("plain", pat_str=head + r"|\s", mergeable_ranks=table, special_tokens={}).encode_ordinary if ahead else full
         self.encode = lambda text: full(text) if _RUN.search(text) else plain(text)
+        self.added = dict(added)
+        self.split = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if added else None
 
     def of(self, text: str) -> bytes:
+        if self.split and len(parts := self.split.split(text)) > 1:  # every second part is an added token
+            return np.asarray([i for k, part in enumerate(parts) for i in ([self.added[part]] if k % 2 else self.encode(part))], "<u4").tobytes()
         return np.asarray(self.encode(text), "<u4").tobytes()
 
 
-_IDS: dict[tuple[str, str], Ids] = {}
+_IDS: dict[tuple, Ids] = {}
 
 
-def shared_ids(ranks: str, pattern: str) -> Ids:
+def shared_ids(ranks: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> Ids:
     """One for each Python worker."""
-    if (ranks, pattern) not in _IDS:
-        _IDS[ranks, pattern] = Ids(ranks, pattern)
-    return _IDS[ranks, pattern]
+    if (ranks, pattern, added) not in _IDS:
+        _IDS[ranks, pattern, added] = Ids(ranks, pattern, added)
+    return _IDS[ranks, pattern, added]
+
+
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """(content, id) of the added tokens of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"added tokens of {path} are not plain texts")
+    return tuple((t["content"], t["id"]) for t in tokens)
 
 
 class Packer:
@@ -130,13 +145,14 @@ class Packer:
         self.rows = {r: x for r, x in self.rows.items() if r in held}
 
 
-def pack_documents(docs: DataFrame, ranks: str, pattern: str, tiers: tuple[int, ...] = TIERS, end: int = END) -> DataFrame:
-    """Pieces of all documents (doc_id, text): SCHEMA. `ranks` is a byte-level BPE rank file, `pattern` its splitting rule."""
+def pack_documents(docs: DataFrame, ranks: str, pattern: str, tiers: tuple[int, ...] = TIERS, end: int = END, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
+    """Pieces of all documents (doc_id, text): SCHEMA. `ranks` is a byte-level BPE rank file, `pattern` its splitting rule,
+    `added` its added tokens."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     last_id = np.asarray([end], "<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, packer = shared_ids(ranks, pattern), Packer(TaskContext.get().partitionId() << 32, tiers)
+        ids, packer = shared_ids(ranks, pattern, added), Packer(TaskContext.get().partitionId() << 32, tiers)
         schema = pa.schema([(n, pa.int32() if n == "tier" else pa.int64()) for n in names])
 
         def out(last: bool) -> Iterator[pa.RecordBatch]:
@@ -158,7 +174,7 @@ def pack_documents(docs: DataFrame, ranks: str, pattern: str, tiers: tuple[int,
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 QUERIES = {"op2_packing": op2_packing}

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from framelark.llm import jaccard, language, lm, packing, pieces, secrets, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -240,6 +241,21 @@ def test_ids_equal_the_tokenizer(text):
     assert np.frombuffer(own, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a  <|endoftext|>\n\n b", "<|endoftext| > c", "plain", ""])
+def test_ids_equal_the_unmodified_tokenizer(spark, tmp_path, text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = np.array([*t.encode(text, add_special_tokens=False).ids, packing.END], "<u4")
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (packing.op2_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        rows = got.collect()
+        assert sum(r.length for r in rows) == len(want) and {r.doc_tokens for r in rows} == {len(want)}
+        assert all(r.ids_crc32 == zlib.crc32(want[r.start : r.start + r.length].tobytes()) for r in rows)
+
+
 def test_pieces(spark, messy, folder):
     import public_tokenizers
 
