@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
-Every page becomes a DOM. Menus, forms, adverts, comments and the like go by element, role or class name. For each
-node left, characters per tag, adjusted for links, give its density; a node's density sum adds its children's. The
+Every page becomes a DOM. Menus, forms, adverts, comments and the like go by element, role or class name; by name, a
+wrapper that holds the article stays. For each node left, characters per tag, adjusted for links, give its density; a node's density sum adds its children's. The
 lowest density on the path from the body to the densest node is the threshold; the node of the largest density sum is
 the content, widened to its ancestors below the body while they reach the threshold, and to its article element.
 
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
 
-_QUOTED = r"""(?:"[^"]{0,4000}"|'[^']{0,4000}'|[^'">])*"""
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|xmp|iframe|noembed|noframes|svg|math)(?=[\s/>]){_QUOTED}>.*?(?:</\1[^>]*>|\Z)|</([a-z][^\s>/]*)[^>]*(?:>|\Z)|<([a-z][^\s>/]*)({_QUOTED}>|[^>]*(?:>|\Z))|<[!?/][^>]*(?:>|\Z)", re.IGNORECASE | re.DOTALL)
+_QUOTED = r"""(?:"[^"]*+"|'[^']*+'|[^'">])*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|xmp|iframe|noembed|noframes|svg|math)(?=[\s/>])(?:{_QUOTED}>|[^>]*(?:>|\Z)).*?(?:</\1[^>]*>|\Z)|</([a-z][^\s>/]*)[^>]*(?:>|\Z)|<([a-z][^\s>/]*)({_QUOTED}>|[^>]*(?:>|\Z))|<[!?/][^>]*(?:>|\Z)", re.IGNORECASE | re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,6 +30,9 @@ _ROLES = frozenset("navigation banner contentinfo complementary search alert dia
 _NAMES = frozenset("ad ads advert adverts advertisement adslot banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split())
 _HEADS = frozenset("header head top".split())
 _KEPT = frozenset("article content entry main post story text".split())
+_COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+#: A class that starts or ends so tells what a page has or how it is laid out: has-sidebar, no-comments, comments-open.
+_STATES, _STATES_LAST = frozenset("has with without no not is show hide".split()), frozenset("open closed enabled disabled".split())
 #: A start tag closes these open elements, down to the nearest of the second set.
 _ENDS = {t: ({"p"}, {"button", "table", "td", "th", "article", "section", "body"}) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()} | {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -38,23 +41,62 @@ _ENDS = {t: ({"p"}, {"button", "table", "td", "th", "article", "section", "body"
 _SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 
-def is_gone(tag: str, attributes: str) -> bool:
-    """Whether an element is no part of an article by its name, role or class."""
+def names_of(found: dict[str, str]) -> list[set[str]]:
+    """The words of each class and id, without those that tell a state or layout."""
+    split = [[x.lower() for x in _SPLIT.split(c)] for k in ("class", "id") for c in found.get(k, "").split()]
+    return [set(w) for w in split if len(w) == 1 or w[0] not in _STATES and w[-1] not in _STATES_LAST]
+
+
+def seen_as(tag: str, attributes: str) -> tuple[bool, str, bool]:
+    """Whether an element is no part of an article by its element, role or style; whether its names say so ("" if not,
+    "comments" or "other"); and whether it is named as an article."""
     if tag in _GONE:
-        return True
+        return True, "", False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, "", tag in ("article", "main")
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
-    names = {x.lower() for k in ("class", "id") for x in _SPLIT.split(found.get(k, ""))}
-    return bool(
-        "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""))
-        or found.get("role", "").lower() in _ROLES or names & _NAMES or names & _HEADS and not names & _KEPT
-    )
+    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")) or found.get("role", "").lower() in _ROLES:
+        return True, "", False
+    classes = names_of(found)
+    names = set().union(*classes)
+    own = any(c <= _KEPT for c in classes)  # 'content social-share', but not 'comment-content'
+    if names & _NAMES or names & _HEADS and not names & _KEPT:
+        return False, "comments" if names & _COMMENTS and not own else "other", own
+    return False, "", bool(names & _KEPT)
+
+
+def drop_named(parents: list[int], gone: list[bool], named: list[str], article: list[bool], chars: list[int]) -> None:
+    """Marks what is gone by its names, and all below. A wrapper that is not named as comments stays if it holds most of
+    the page's other text, articles outside it hold little beside it, and it holds an article (else nearly all the text)."""
+    count = len(parents)
+    held, holds, inside = list(chars), list(article), list(article)
+    free: dict[int, int] = {}  # by the nearest element with a name that may go: text in articles
+    owner = [-1] * count
+    for k in range(1, count):
+        gone[k] = gone[k] or gone[parents[k]] or named[k] == "comments"
+        held[k] = 0 if gone[k] else chars[k]
+        owner[k] = k if named[k] else owner[parents[k]]
+        inside[k] = inside[k] or inside[parents[k]]
+        if inside[k]:
+            free[owner[k]] = free.get(owner[k], 0) + held[k]
+    for k in range(count - 1, 0, -1):
+        held[parents[k]] += held[k]
+        holds[parents[k]] = holds[parents[k]] or holds[k] and held[k] > 0
+    outside = free.get(-1, 0)
+    for k in range(1, count):
+        if gone[parents[k]]:
+            gone[k] = True
+        elif named[k] and not gone[k]:
+            if held[k] * 10 >= held[0] * (5 if holds[k] else 9) and outside * 4 < held[k]:
+                outside += free.get(k, 0)
+            else:
+                gone[k] = True
 
 
 def extract(page: str) -> str:
     # nodes in page order: tag, parent, gone or below one that is
     tags, parents, gone = ["body"], [-1], [False]
+    named, article = [""], [False]
     chars, links = [0], [0]
     texts: list[tuple[int, int, str]] = []  # node, block, text
     open_, block, at = [0], 0, 0
@@ -92,7 +134,10 @@ def extract(page: str) -> str:
                 text(" ")
             tags.append(tag)
             parents.append(open_[-1])
-            gone.append(gone[open_[-1]] or is_gone(tag, m[4]))
+            out, name, own = seen_as(tag, m[4])
+            gone.append(gone[open_[-1]] or out)
+            named.append(name)
+            article.append(own or tag in ("article", "main", "h1"))
             chars.append(0)
             links.append(0)
             if tag not in _VOID and not m[4].endswith("/>"):
@@ -110,6 +155,8 @@ def extract(page: str) -> str:
     if at < len(page):
         text(page[at:])
 
+    drop_named(parents, gone, named, article, chars)
+    texts = [t for t in texts if not gone[t[0]]]
     count = len(tags)
     inner, inner_links, last = [0] * count, [0] * count, list(range(count))
     for k in range(count - 1, 0, -1):  # children come after their parents

@@ -115,6 +115,28 @@ def test_page_text():
     assert html.extract("<div>" * 3000 + "deep") == "deep"
 
 
+LONG = "<h1>Title</h1>" + "<p>The article has a sentence of some length here, and one more.</p>" * 5
+
+
+@pytest.mark.parametrize("wrapper", ["layout has-sidebar", "with-sidebar", "no-comments", "content social-share", "post comments-open", "page widget"])
+def test_wrapper_names_keep_the_article(wrapper):
+    want = html.extract(f"<body>{LONG}</body>")
+    assert want.startswith("Title") and want.count("sentence") == 5
+    for inner in (LONG, f"<article>{LONG}</article>"):
+        page = f"<body><nav>Menu</nav><div class='{wrapper}'>{inner}<div class='sidebar'>Side text</div><div class='share'>Share</div></div><div id='comments'><p>{'a reader says so. ' * 40}</p></div></body>"
+        assert html.extract(page) == want
+    assert html.extract(f"<main><h1>A</h1><div class='social'>{LONG}</div></main>").count("sentence") == 5
+
+
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_long_attributes_are_no_text(quote):
+    value = quote + "a > b " * 2000 + quote
+    assert html.extract(f"<p title={value}>text</p>") == "text"
+    for tag in ("script", "style", "svg", "iframe"):
+        assert html.extract(f"<p>text</p><{tag} data-x={value}>var code = 1;</{tag}>") == "text"
+        assert html.extract(f"<p>text</p><{tag} data-x={quote}cut>var code = 1;</{tag}>") == "text"
+
+
 def test_page_query(spark, tmp_path):
     rows = [(1, "u", PAGE), (2, None, None), (3, "v", ""), (1, "u", PAGE)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
