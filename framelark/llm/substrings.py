@@ -5,7 +5,7 @@
 2. Suffixes left are dealt to trees by variable-length prefixes: the shortest prefix with at most GROUP suffixes (by
    counts of hashed prefixes of every length, over all documents) names the group; small groups share a task.
 3. A group sorts its suffixes by their words, EDGE words to a symbol; neighbours' common prefix lengths give the tree's
-   internal nodes, and nodes `window` words deep or more are repeats. Each answers its suffixes whether an earlier document holds it.
+   nodes `window` words deep, which are repeats; a suffix is cut there, so no deeper node is built. Each answers its suffixes whether an earlier document holds it.
 4. Blocks mark the words of windows that an earlier document holds; neighbouring windows join to maximal repeats.
 
 Defined cases: null texts and texts without a repeat lose nothing; windows are judged on the input; repeated rows of
