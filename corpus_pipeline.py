@@ -1,6 +1,7 @@
 """A corpus from language identification to packed windows; each stage works on all that the one before kept.
 
-language: texts in no learned language go, a null lang is filled in. near_duplicates: one document (the smallest id) of
+language: null texts and texts without a letter go, a null lang is filled in with the nearest learned language; text in
+an unlearned language stays. near_duplicates: one document (the smallest id) of
 each group of linked ones stays. substrings: words of passages that an earlier document holds go; texts without any
 stay as they are. secrets: secrets are replaced by their kinds. packing: pieces of windows, as in op2.
 n_chars follows the text. Rows without doc_id, which no other row can be held against, pass the second and third stage.

@@ -201,7 +201,8 @@ def identify(docs: DataFrame, labelled: dict[str, bytes]) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labelled: dict[str, bytes]) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is in a learned language; a null lang is filled in."""
+    """The rows of docs, with all their columns, whose text has a letter; a null lang is filled in with the
+    nearest learned language, however far."""
     at, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
