@@ -2,7 +2,8 @@
 
 A block is some megabytes of whole texts, written once to the shared folder. It sends each bucket of the key space the
 sorted keys that it holds there, once each, as differences; so a key that a third of all documents share comes at most
-once from a block. A bucket answers each block that wrote to it. Only keys move, a few bytes each, not texts.
+once from a block. A bucket answers each block that wrote to it. Only keys move, a few bytes each, not texts. Blocks
+and buckets write no empty messages, so there are never more messages than distinct keys of blocks: linear in the data.
 """
 from __future__ import annotations
 
@@ -124,9 +125,11 @@ def short(keys: np.ndarray, bits: int) -> np.ndarray:
     return keys >> np.uint64(64 - BITS - bits)
 
 
-def cuts(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each bucket begins among sorted short keys, and the end."""
-    return np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(BITS))
+def runs(keys: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of each bucket that sorted short keys meet: as many steps as there are messages."""
+    b = keys >> np.uint64(BITS)
+    begin = np.flatnonzero(np.append(True, b[1:] != b[:-1])[: len(b)])
+    return list(zip(b[begin].astype(np.int64).tolist(), begin.tolist(), np.append(begin[1:], len(b)).tolist(), strict=True))
 
 
 def pack_keys(keys: np.ndarray) -> bytes:

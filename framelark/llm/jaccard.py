@@ -1,14 +1,20 @@
 """Similarity join of shingle sets by vertical partitioning.
 
 Documents of equal sets are one, under the smallest id. Shingles have one global order: by how many documents hold
-them, then by hash; a set's first shingles in that order (its prefix) must share one with every set that it links with.
-Candidates meet at prefix shingles, a star at a time: each round pairs one document of a shingle's group with those of
-other components that it was not yet compared with, so a group of k near copies costs about k pairs, not k*k; the last
-round pairs what is left across components, with length and position filters. The shingle order is cut into
-FRAGMENTS; each pair's overlap is counted in each fragment on its own and summed.
-
-Defined cases: a null or wordless text has an empty set and is linked with nothing; repeated rows of one id have one
-component; rows without doc_id are left out; an empty table gives an empty table; extra columns are ignored.
+them (its logarithm), then by hash. The order is cut into FRAGMENTS of about equal weight, so a set falls into a segment
+for each fragment. Two sets that link share a shingle in the first of the shorter one's and of the longer one's order
+(the prefixes of PPJoin); pairs that meet there have their overlaps counted segment by segment, fragment and pair being
+the key, and summed for each pair.
+
+Pairs are formed a star at a time. The first turn pairs one document of each shingle's group with the group; then
+linked documents are one component. Later turns pair documents outside a group's largest component with the rest of the
+group, in growing numbers, each once, until no group has more than one component. So a group of k near copies costs
+about k pairs; what is paired beyond are documents of different components whose sizes and places leave a link open.
+
+Defined cases: a null or wordless text has an empty set and is linked with nothing; texts of any length are taken
+whole; equal sets are one component whatever their texts; ties in the order go to the smaller hash, of documents to the
+smaller id; repeated rows of one id have one component, also where their texts differ (each set links); rows without
+doc_id are left out; an empty table gives an empty table; extra columns are ignored.
 """
 from __future__ import annotations
 
@@ -16,20 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
 from ._common import durable, table
-from .exchange import Block, ask, blocks, bucket_bits, cuts, expand, pack_keys, planes, short, squeeze, table_of, unpack_keys, unplanes
+from .exchange import Block, ask, blocks, bucket_bits, expand, pack_keys, planes, runs, short, squeeze, table_of, unpack_keys, unplanes
 from .graph import components
 
-SHINGLE, PERCENT, FRAGMENTS, STARS = 5, 75, 4, 3
-#: Pairs across components for each row of their groups, up to which all are formed without a (further) star: length and
-#: position filters leave few of them.
-FEW, MANY = 16, 512
-#: Bytes of the star centres' sets up to which they are broadcast; beyond, the sets are joined by shuffle.
-BROADCAST = 16 << 20
+#: Words of a shingle; least similarity in percent; fragments of the order; factor by which a turn's centres grow;
+#: pairs of a centre that share a copy of its segments.
+SHINGLE, PERCENT, FRAGMENTS, GROWTH, SPREAD = 5, 75, 4, 32, 10_000
 
 
 def sets_of(block: Block, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -59,21 +62,24 @@ def set_names(f: np.ndarray, own: np.ndarray, docs: int) -> tuple[np.ndarray, np
 
 
 def sets(held: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, rep, prefix, places, parts) of every document: the set's size; the smallest id with an equal set; and
-    where that is the document itself and others may link with it, the prefix shingles that others hold with their
-    places in the order, and all shingles that others hold in FRAGMENTS parts."""
+    """(doc_id, n, rep, name, prefix, places, shared, cells) of every document: the set's size; the smallest id with an
+    equal set; a hash of the set; and, on one row of all that have the set, if others may link with it: the prefix
+    shingles that others hold with their places in the order, and all shingles that others hold, in order, with their
+    cells of the order."""
     bits = bucket_bits(held)
 
     def questions(block: Block) -> Iterator[tuple]:
         f, own = sets_of(block)
         keys, n = np.unique(short(f, bits), return_counts=True)
         name, size = set_names(f, own, len(block.doc_ids))
-        edge, to = cuts(keys, bits), (name[:, 0] >> np.uint64(64 - bits)).astype(np.int64)
-        for b in range(1 << bits):
-            i, j = edge[b], edge[b + 1]
-            some = np.flatnonzero((to == b) & (size > 0))
-            if j > i or len(some):
-                yield b, pack_keys(keys[i:j]), planes(n[i:j], 4), squeeze(name[some].tobytes() + size[some].astype("<i8").tobytes() + block.doc_ids[some].tobytes())
+        some = np.flatnonzero(size > 0)
+        to = (name[some, 0] >> np.uint64(64 - bits)).astype(np.int64)
+        some, to = some[np.argsort(to, kind="stable")], np.sort(to)
+        asked = {b: (i, j) for b, i, j in runs(keys)}
+        for b in sorted(asked.keys() | set(to.tolist())):
+            i, j = asked.get(b, (0, 0))
+            own_ = some[np.searchsorted(to, b) : np.searchsorted(to, b, side="right")]
+            yield b, pack_keys(keys[i:j]), planes(n[i:j], 4), squeeze(name[own_].tobytes() + size[own_].astype("<i8").tobytes() + block.doc_ids[own_].tobytes())
 
     sent = ask(held, questions, [("keys", pa.binary()), ("n", pa.binary()), ("sets", pa.binary())])
     kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("often", pa.binary()), ("reps", pa.binary())])
@@ -88,110 +94,132 @@ def sets(held: DataFrame, percent: int = PERCENT) -> DataFrame:
         name = np.concatenate([a[: 2 * c].reshape(-1, 2) for a, c in zip(named, count, strict=True)])
         size = np.concatenate([a[2 * c : 3 * c] for a, c in zip(named, count, strict=True)])
         ids = np.concatenate([a[3 * c :] for a, c in zip(named, count, strict=True)]).astype(np.int64)
-        order = np.lexsort((ids, size, name[:, 1], name[:, 0]))
+        order = np.lexsort((np.repeat(t.column("block").to_numpy(), count), ids, size, name[:, 1], name[:, 0]))
         same = (name[order][1:] == name[order][:-1]).all(1) & (size[order][1:] == size[order][:-1])
         first = np.flatnonzero(np.append(True, ~same)) if len(order) else np.zeros(0, np.int64)
         rep = np.empty(len(ids), "<i8")
         rep[order] = np.repeat(ids[order][first], np.diff(np.append(first, len(order))))
+        alone = np.zeros(len(ids), np.uint8)
+        alone[order[first]] = 1
         out, at, doc, bucket = [], 0, 0, t.column("bucket")[0].as_py()
         for block, p, c in zip(t.column("block").to_pylist(), parts, count, strict=True):
-            out.append((block, bucket, squeeze(often[inverse[at : at + len(p)]]), squeeze(rep[doc : doc + c])))
+            out.append((block, bucket, squeeze(often[inverse[at : at + len(p)]]), squeeze(rep[doc : doc + c].tobytes() + alone[doc : doc + c].tobytes())))
             at, doc = at + len(p), doc + c
         return table_of(out, kinds)
 
     replies = sent.groupBy("bucket").applyInArrow(answer, "block long, bucket int, often binary, reps binary")
-    result = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("prefix", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("parts", pa.list_(pa.binary()))])
+    kinds_out = [("doc_id", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("name", pa.int64()), ("prefix", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("shared", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32()))]
+    result = pa.schema(kinds_out)
 
     def chosen(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block.of(left)
         f, own = sets_of(block)
-        key = short(f, bits)
-        got = {b: (np.frombuffer(expand(o), np.uint8), np.frombuffer(expand(r), "<i8")) for b, o, r in zip(*(right.column(c).to_pylist() for c in ("bucket", "often", "reps")), strict=True)}
-        often = np.concatenate([got[b][0] for b in sorted(got)])[np.unique(key, return_inverse=True)[1]] if got else np.zeros(0, np.uint8)
+        got = sorted((b, expand(o), expand(r)) for b, o, r in zip(*(right.column(c).to_pylist() for c in ("bucket", "often", "reps")), strict=True))
+        often = np.frombuffer(b"".join(o for _, o, _ in got), np.uint8)[np.unique(short(f, bits), return_inverse=True)[1]]
         name, size = set_names(f, own, len(block.doc_ids))
-        to, rep = (name[:, 0] >> np.uint64(64 - bits)).astype(np.int64), block.doc_ids.copy()
-        for b, (_, r) in got.items():
-            rep[(to == b) & (size > 0)] = r
+        some, rep = np.flatnonzero(size > 0), block.doc_ids.copy()
+        some = some[np.argsort(name[some, 0] >> np.uint64(64 - bits), kind="stable")]
+        rep[some] = np.frombuffer(b"".join(r[: len(r) // 9 * 8] for _, _, r in got), "<i8")
+        stands = np.zeros(len(size), bool)  # for all rows of its set
+        stands[some] = np.frombuffer(b"".join(r[len(r) // 9 * 8 :] for _, _, r in got), np.uint8)
         order = words.by(f, often, own)
         f, own, often = f[order], own[order], often[order]
         first = np.concatenate([[0], np.cumsum(size)])
         place = np.arange(len(f)) - first[own]
-        shared = (often > 0) & (rep == block.doc_ids)[own]
+        shared = (often > 0) & stands[own]
         ahead = shared & (place < (size - -(-percent * size // 100) + 1)[own])
-        prefix, places, parts = [None] * len(size), [None] * len(size), [None] * len(size)
-        edge = np.searchsorted(own[ahead], np.arange(len(size) + 1))
-        pf, pp = f[ahead].view(np.int64).tolist(), place[ahead].tolist()
-        for d in np.flatnonzero(np.diff(edge)).tolist():
-            prefix[d], places[d] = pf[edge[d] : edge[d + 1]], pp[edge[d] : edge[d + 1]]
-            s = np.sort(f[first[d] : first[d + 1]][shared[first[d] : first[d + 1]]])
-            at = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(62))
-            parts[d] = [part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for part in np.split(s, at)]
-        return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip([block.doc_ids, size, rep, prefix, places, parts], result, strict=True)], schema=result)
-
-    return durable(held.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(chosen, "doc_id long, n long, rep long, prefix array<long>, places array<int>, parts array<binary>"))
-
-
-def verified(pairs: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (x, y) whose sets link: overlaps are counted fragment by fragment and summed."""
-    centres = whole.join(pairs.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("parts").alias("px"))
-    weight = centres.agg(F.sum(F.aggregate("px", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p)))).first()[0] or 0
-    others = whole.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("parts").alias("py"))
-    both = pairs.join(others, "y").join(F.broadcast(centres) if weight <= BROADCAST else centres, "x")
-    rows = both.select("x", "y", "nx", "ny", F.explode(F.arrays_zip("px", "py")).alias("part")).select("x", "y", "nx", "ny", "part.px", "part.py")
-    kinds = pa.schema([(n, pa.int64()) for n in ("x", "y", "nx", "ny", "both")])
-
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def numbers(b: bytes) -> np.ndarray:
-            a = np.zeros((len(b) // 6, 8), np.uint8)
-            a[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-            return a.view("<u8").ravel()
-
-        for b in batches:
-            n = [len(np.intersect1d(numbers(p), numbers(q), assume_unique=True)) for p, q in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64())], schema=kinds)
-
-    total = rows.mapInArrow(overlap, "x long, y long, nx long, ny long, both long").groupBy("x", "y", "nx", "ny").agg(F.sum("both").alias("both"))
-    return total.where(100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y")
+
+        def lists(which: np.ndarray, values: np.ndarray) -> list:
+            edge, all_ = np.searchsorted(own[which], np.arange(len(size) + 1)).tolist(), values[which].tolist()
+            return [all_[i:j] if has else None for i, j, has in zip(edge, edge[1:], held_, strict=False)]
+
+        held_ = (np.bincount(own[ahead], minlength=len(size)) > 0).tolist()
+        cell = often.astype(np.int64) * 4 + (f >> np.uint64(62)).astype(np.int64)
+        columns = [block.doc_ids, size, rep, name[:, 0].view(np.int64), lists(ahead, f.view(np.int64)), lists(ahead, place), lists(shared, f.view(np.int64)), lists(shared, cell)]
+        return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(columns, result, strict=True)], schema=result)
+
+    return durable(held.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(chosen, "doc_id long, n long, rep long, name long, prefix array<long>, places array<int>, shared array<long>, cells array<int>"))
+
+
+def segments(whole: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
+    """(doc_id, name, n, fragment, part): what each set has in each fragment of the global order. The order is cut between its
+    cells, by the weight that documents' shingles have there."""
+    weight = sorted((r.cell, r.n) for r in whole.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect())  # four cells for each doubling of the frequency
+    total, sum_, edges = sum(n for _, n in weight), 0, [0]
+    for cell, n in weight:
+        if sum_ * fragments >= len(edges) * total and len(edges) < fragments and sum_:
+            edges.append(cell)
+        sum_ += n
+    edges.append(1 << 30)
+    part = lambda lo, hi: F.filter("shared", lambda _, k: (F.get("cells", k) >= lo) & (F.get("cells", k) < hi))
+    parts = F.array(*[F.struct(F.lit(k).alias("fragment"), part(lo, hi).alias("part")) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
+    return durable(whole.select("doc_id", "name", "n", F.explode(parts).alias("p")).select("doc_id", "name", "n", "p.fragment", "p.part").where(F.size("part") > 0))
+
+
+def verified(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (x, y) whose sets link. Overlaps are counted for each pair and fragment, and summed. A centre x of many
+    pairs sends its segments to several places, each for about SPREAD of them."""
+    salts = 1 + pairs.count() // SPREAD
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(salts)))
+    centres = dealt.select("x", "salt").distinct().join(parts.select(F.col("doc_id").alias("x"), F.col("name").alias("hx"), F.col("n").alias("nx"), "fragment", F.col("part").alias("px")), "x")
+    others = dealt.join(parts.select(F.col("doc_id").alias("y"), F.col("name").alias("hy"), F.col("n").alias("ny"), "fragment", F.col("part").alias("py")), "y")
+    partial = others.join(centres, ["x", "salt", "fragment"]).select("x", "y", "hx", "hy", "nx", "ny", F.size(F.array_intersect("px", "py")).alias("both"))
+    total = partial.groupBy("x", "y", "hx", "hy", "nx", "ny").agg(F.sum("both").alias("both"))
+    return total.where(100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y").distinct()
+
+
+def with_components(at: DataFrame, comp: DataFrame | None) -> DataFrame:
+    if comp is None:
+        return at.withColumn("comp", F.col("doc_id"))
+    return at.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+
+
+def turn_of(at: DataFrame, comp: DataFrame | None, turn: int) -> DataFrame:
+    """The rows of `at` whose group still has several components, with `comp` and `centre`: whether this turn pairs the
+    row with all others of its group."""
+    t = with_components(at, comp)
+    parts = t.groupBy("shingle", "comp").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"))
+    groups = parts.groupBy("shingle").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("comps"), F.min("least").alias("least")).where("comps > 1")
+    if turn == 0:
+        centre: Column = F.col("doc_id") == F.col("least")
+    else:
+        outside = F.col("size") - F.col("main.size")
+        drawn = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(1 << 20)) * outside < F.lit(min(GROWTH**turn, 1 << 42) << 20)
+        centre = (F.col("comp") != F.col("main.comp")) & drawn
+    return t.join(groups, "shingle").select("doc_id", "n", "shingle", "place", "comp", centre.alias("centre"))
+
+
+def met(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (x, y) of a centre and another document of its group that may link: the shared shingle is in the prefix
+    that the longer set has for shorter ones and the shorter set has for longer ones, the sizes are near enough, and what
+    both have from there on is enough."""
+    centres = rows.where("centre").select("shingle", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("comp").alias("cx"))
+    longer = lambda a, b: F.ceil(F.lit(2 * percent) * F.least(a, b) / F.lit(100 + percent))
+    first = F.when((F.col("nx") < F.col("n")) | (F.col("nx") == F.col("n")) & (F.col("x") < F.col("doc_id")), F.col("px")).otherwise(F.col("place"))
+    near = F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent
+    reach = F.least(F.col("nx") - F.col("px"), F.col("n") - F.col("place")) * (100 + percent) >= percent * (F.col("nx") + F.col("n"))
+    both = rows.join(centres, "shingle").where(F.col("comp") != F.col("cx")).where(~(F.col("centre") & (F.col("doc_id") < F.col("x"))))
+    return both.where(near & reach & (first <= F.least("n", "nx") - longer("n", "nx"))).select("x", F.col("doc_id").alias("y")).distinct()
 
 
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of (doc_id, text)."""
     found = sets(blocks(docs), percent)
-    whole = found.where("prefix IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "n", "parts")
-    at = found.where("prefix IS NOT NULL").select("doc_id", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("doc_id", "n", F.col("p.prefix").alias("shingle"), F.col("p.places").alias("place")).distinct()
-    near = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-    # what two sets can share from their places on, and what a link needs
-    reach = lambda nx, px, ny, py: F.least(nx - px, ny - py) * (100 + percent) >= percent * (nx + ny)
-    links, compared, comp, turn = None, None, None, 0
+    whole = found.where("prefix IS NOT NULL")
+    parts = segments(whole)
+    at = whole.select("doc_id", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("doc_id", "n", F.col("p.prefix").alias("shingle"), F.col("p.places").alias("place"))
+    links, comp, turn = None, None, 0
     while True:
-        t = at.withColumn("comp", F.col("doc_id")) if comp is None else at.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-        centre = F.struct(F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("comp").alias("cx"))
-        parts = t.groupBy("shingle", "comp").agg(F.count("*").alias("size"), F.min(centre).alias("c"))
-        groups = parts.groupBy("shingle").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.sum("size").alias("size"), F.sum(F.col("size") * F.col("size")).alias("inside"), F.min("c").alias("c"))
-        groups = durable(groups.where("a <> b").select("shingle", "size", "inside", "c.x", "c.nx", "c.px", "c.cx"))
-        size, across = groups.agg(F.sum("size"), F.sum((F.col("size") * F.col("size") - F.col("inside")) / 2)).first()
-        if not size:
+        rows = durable(turn_of(at, comp, turn))
+        if rows.isEmpty():
             break
-        # groups of components only ever shrink: what has become one component is left behind
-        at = durable(at.join(groups.select("shingle"), "shingle", "left_semi"))
-        t = at.withColumn("comp", F.col("doc_id")) if comp is None else at.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-        last = turn == STARS or across <= (FEW if turn == 0 else MANY) * size
-        if last:
-            met = t.join(t.select("shingle", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("comp").alias("cx")), "shingle").where("comp <> cx AND x < doc_id")
-        else:
-            met = t.join(groups.drop("size", "inside"), "shingle").where("comp <> cx")
-        pairs = met.where(near(F.col("n"), F.col("nx")) & reach(F.col("nx"), F.col("px"), F.col("n"), F.col("place"))).select("x", F.col("doc_id").alias("y")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["x", "y"], "left_anti").join(compared.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
-        pairs = durable(pairs)
-        if not pairs.isEmpty():
-            new = durable(verified(pairs, whole, percent))
-            compared = pairs if compared is None else compared.unionByName(pairs)
+        pairs = durable(met(rows, percent))
+        new = None if pairs.isEmpty() else durable(verified(pairs, parts, percent))
+        if new is not None and not new.isEmpty():
             links = new if links is None else links.unionByName(new)
-            comp = durable(components(links))
-        if last:
-            break
-        turn += 1
+            comp = components(links)
+        # centres have met their groups
+        at, turn = rows.where("NOT centre").drop("comp", "centre"), turn + 1
     out = found.select("doc_id", F.col("n").alias("n_shingles"), "rep")
     if comp is None:
         return out.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))

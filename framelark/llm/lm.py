@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from ._common import durable, table
-from .exchange import BITS, Block, ask, blocks, bucket_bits, cuts, expand, pack_keys, planes, short, squeeze, table_of, unpack_keys, unplanes
+from .exchange import BITS, Block, ask, blocks, bucket_bits, expand, pack_keys, planes, runs, short, squeeze, table_of, unpack_keys, unplanes
 
 #: Words that are classes; classes of other words by their last TAIL bytes; vector length; tokens before; batch; noise.
 FREQUENT, RARE, TAIL, DIM, ORDER, BATCH, NOISE = 640, 384, 3, 16, 2, 4096, 64
@@ -161,11 +161,8 @@ def count(held: DataFrame) -> tuple[DataFrame, Counts]:
         fresh = np.append(True, keys[1:] != keys[:-1])
         n = np.add.reduceat(n, np.flatnonzero(fresh)) if len(keys) else n
         keys, rare = keys[fresh], rare[first][fresh]
-        edge = cuts(keys, bits)
-        for b in range(1 << bits):
-            i, j = edge[b], edge[b + 1]
-            if j > i:
-                yield b, pack_keys(keys[i:j]), planes(n[i:j], 4), squeeze(rare[i:j].astype("<u2"))
+        for b, i, j in runs(keys):
+            yield b, pack_keys(keys[i:j]), planes(n[i:j], 4), squeeze(rare[i:j].astype("<u2"))
 
     sent = ask(held, questions, [("keys", pa.binary()), ("n", pa.binary()), ("rare", pa.binary())])
     kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.binary()), ("sums", pa.binary())])

@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import words
 from ._common import durable, table
-from .exchange import Block, ask, blocks, bucket_bits, cuts, expand, pack_keys, planes, short, squeeze, table_of, unpack_keys, unplanes
+from .exchange import Block, ask, blocks, bucket_bits, expand, pack_keys, planes, runs, short, squeeze, table_of, unpack_keys, unplanes
 
 #: Words of a window; suffixes of a group, about; prefix lengths that may name a group; hash slots of prefixes;
 #: words of an edge.
@@ -69,10 +69,9 @@ class Suffixes:
     def held_elsewhere(self, bits: int, answers: dict[int, bytes]) -> np.ndarray:
         """For each distinct prefix: whether another block holds it."""
         keys, own = self.keys(bits)
-        edge = cuts(keys, bits)
         known = np.zeros(len(keys), bool)
-        for b, a in answers.items():
-            known[edge[b] : edge[b + 1]] = np.unpackbits(np.frombuffer(a, np.uint8))[: edge[b + 1] - edge[b]]
+        for b, i, j in runs(keys):
+            known[i:j] = np.unpackbits(np.frombuffer(answers[b], np.uint8))[: j - i]
         return known[own]
 
 
@@ -124,10 +123,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = Non
         if not len(s.first):
             return
         keys, _ = s.keys(bits)
-        edge = cuts(keys, bits)
-        for b in range(1 << bits):
-            if edge[b + 1] > edge[b]:
-                yield b, pack_keys(keys[edge[b] : edge[b + 1]]), None
+        for b, i, j in runs(keys):
+            yield b, pack_keys(keys[i:j]), None
         counts = np.stack([np.bincount(s.slots(n, s.at[s.first]), minlength=SLOTS) for n in lengths])
         yield block.block % 8, None, squeeze(counts.astype("<i4"))
 

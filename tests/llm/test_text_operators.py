@@ -1,6 +1,7 @@
 """Deduplication, language, scores, secrets, packing and pieces against brute force."""
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framelark.llm import jaccard, language, lm, packing, pieces, secrets, substrings
+from framelark.llm import graph, jaccard, language, lm, packing, pieces, secrets, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -91,9 +92,8 @@ def test_jaccard(spark, messy, folder):
     assert max(Counter(c for _, c in want.values()).values()) >= 10
 
 
-def test_jaccard_exact_bound_and_random_sets(spark):
-    import random
-
+def test_jaccard_exact_bound_and_random_sets(spark, monkeypatch):
+    segments = jaccard.segments
     rng, texts = random.Random(5), {}
     base = [f"w{k}" for k in range(60)]
     for i in range(150):
@@ -106,13 +106,44 @@ def test_jaccard_exact_bound_and_random_sets(spark):
     texts[1000], texts[1001] = " ".join(a), " ".join(a[:25])
     want = linked(texts)
     assert want[1001][1] == 1000
-    for stars in (0, 3):
-        old, jaccard.STARS = jaccard.STARS, stars
-        got = jaccard.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
-        jaccard.STARS = old
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for growth, spread, fragments in ((3, 5, 7),):
+        monkeypatch.setattr(jaccard, "GROWTH", growth)
+        monkeypatch.setattr(jaccard, "SPREAD", spread)
+        monkeypatch.setattr(jaccard, "segments", lambda whole, f=fragments, of=segments: of(whole, f))
+        got = jaccard.join(docs).collect()
         assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUBS", 5)
+    links = [(0, k) for k in range(1, 40)] + [(100 + k, 101 + k) for k in range(20)] + [(200, 39), (300, 301)]
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(links, "x long, y long")).collect()}
+    assert got == dict.fromkeys([*range(40), 200], 0) | dict.fromkeys(range(100, 121), 100) | {300: 300, 301: 300}
+
+
+def test_large_groups_make_few_pairs(spark):
+    """Near copies of one text, not all linked with each other: pairs grow with the copies, not with their square."""
+    rng, base, texts = random.Random(8), [f"w{k}" for k in range(200)], {}
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    found = jaccard.sets(jaccard.blocks(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    at = found.where("prefix IS NOT NULL").select("doc_id", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("doc_id", "n", F.col("p.prefix").alias("shingle"), F.col("p.places").alias("place"))
+    assert jaccard.met(jaccard.turn_of(at, None, 0)).count() < 3 * len(texts)
+    want = linked(texts)
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in jaccard.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect())
+
+
+def test_unequal_texts_under_one_id(spark):
+    a, b = [" ".join(f"{c}{k}" for k in range(40)) for c in "ab"]
+    rows = [(1, a), (5, b), (5, a + " more"), (9, b + " again"), (None, a)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 36, 1), (5, 36, 1), (5, 37, 1), (9, 37, 1)]
+
+
 def test_language(spark, messy, folder):
     p = language.op4_language(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     held = p[p.held_out]
