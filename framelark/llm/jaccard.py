@@ -6,7 +6,7 @@ for each fragment. Two sets that link share a shingle in the first of the shorte
 (the prefixes of PPJoin); pairs that meet there have their overlaps counted segment by segment, fragment and pair being
 the key, and summed for each pair.
 
-Pairs are formed a star at a time. The first turn pairs one document of each shingle's group with the group; then
+Pairs are formed a star at a time. The first turns pair one document of each shingle's group with the group; then
 linked documents are one component. Later turns pair documents outside a group's largest component with the rest of the
 group, in growing numbers, each once, until no group has more than one component. So a group of k near copies costs
 about k pairs; what is paired beyond are documents of different components whose sizes and places leave a link open.
@@ -33,6 +33,8 @@ from .graph import components
 #: Words of a shingle; least similarity in percent; fragments of the order; factor by which a turn's centres grow;
 #: pairs of a centre that share a copy of its segments.
 SHINGLE, PERCENT, FRAGMENTS, GROWTH, SPREAD = 5, 75, 4, 32, 10_000
+#: Ids up to which a list of them is broadcast; beyond, what they belong to is joined by shuffle.
+LISTED = 2_000_000
 
 
 def sets_of(block: Block, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -141,26 +143,31 @@ def sets(held: DataFrame, percent: int = PERCENT) -> DataFrame:
     return durable(held.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(chosen, "doc_id long, n long, rep long, name long, prefix array<long>, places array<int>, shared array<long>, cells array<int>"))
 
 
-def segments(whole: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
-    """(doc_id, name, n, fragment, part): what each set has in each fragment of the global order. The order is cut between its
-    cells, by the weight that documents' shingles have there."""
+def fragment_edges(whole: DataFrame, fragments: int) -> list[int]:
+    """Where the global order is cut: between its cells, by the weight that documents' shingles have there."""
     weight = sorted((r.cell, r.n) for r in whole.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect())  # four cells for each doubling of the frequency
-    total, sum_, edges = sum(n for _, n in weight), 0, [0]
+    total, before, edges = sum(n for _, n in weight), 0, [0]
     for cell, n in weight:
-        if sum_ * fragments >= len(edges) * total and len(edges) < fragments and sum_:
+        if 0 < before and before * fragments >= len(edges) * total and len(edges) < fragments:
             edges.append(cell)
-        sum_ += n
-    edges.append(1 << 30)
+        before += n
+    return [*edges, 1 << 30]
+
+
+def segments(whole: DataFrame, edges: list[int]) -> DataFrame:
+    """(doc_id, name, n, fragment, part): what each set has in each fragment of the global order."""
     part = lambda lo, hi: F.filter("shared", lambda _, k: (F.get("cells", k) >= lo) & (F.get("cells", k) < hi))
     parts = F.array(*[F.struct(F.lit(k).alias("fragment"), part(lo, hi).alias("part")) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
-    return durable(whole.select("doc_id", "name", "n", F.explode(parts).alias("p")).select("doc_id", "name", "n", "p.fragment", "p.part").where(F.size("part") > 0))
+    return whole.select("doc_id", "name", "n", F.explode(parts).alias("p")).select("doc_id", "name", "n", "p.fragment", "p.part").where(F.size("part") > 0)
 
 
-def verified(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verified(pairs: DataFrame, whole: DataFrame, edges: list[int], percent: int = PERCENT) -> DataFrame:
     """The pairs (x, y) whose sets link. Overlaps are counted for each pair and fragment, and summed. A centre x of many
     pairs sends its segments to several places, each for about SPREAD of them."""
-    salts = 1 + pairs.count() // SPREAD
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(salts)))
+    count = pairs.count()
+    ids = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
+    parts = segments(whole.join(F.broadcast(ids) if 2 * count <= LISTED else ids, "doc_id", "left_semi"), edges)
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(1 + count // SPREAD)))
     centres = dealt.select("x", "salt").distinct().join(parts.select(F.col("doc_id").alias("x"), F.col("name").alias("hx"), F.col("n").alias("nx"), "fragment", F.col("part").alias("px")), "x")
     others = dealt.join(parts.select(F.col("doc_id").alias("y"), F.col("name").alias("hy"), F.col("n").alias("ny"), "fragment", F.col("part").alias("py")), "y")
     partial = others.join(centres, ["x", "salt", "fragment"]).select("x", "y", "hx", "hy", "nx", "ny", F.size(F.array_intersect("px", "py")).alias("both"))
@@ -168,23 +175,23 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> Data
     return total.where(100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y").distinct()
 
 
-def with_components(at: DataFrame, comp: DataFrame | None) -> DataFrame:
+def with_components(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     if comp is None:
-        return at.withColumn("comp", F.col("doc_id"))
-    return at.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+        return rows.withColumn("comp", F.col("doc_id"))
+    return rows.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
 
 
-def turn_of(at: DataFrame, comp: DataFrame | None, turn: int) -> DataFrame:
-    """The rows of `at` whose group still has several components, with `comp` and `centre`: whether this turn pairs the
-    row with all others of its group."""
-    t = with_components(at, comp)
-    parts = t.groupBy("shingle", "comp").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"))
-    groups = parts.groupBy("shingle").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("comps"), F.min("least").alias("least")).where("comps > 1")
-    if turn == 0:
+def turn_of(t: DataFrame, turn: int) -> DataFrame:
+    """The rows of t whose group still has several components, with `centre`: whether this turn pairs the row with all
+    others of its group. The groups are written first, so that the join with a hot one can be split."""
+    if turn < 2:
+        groups = durable(t.groupBy("shingle").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("doc_id").alias("least")).where("a <> b").select("shingle", "least"))
         centre: Column = F.col("doc_id") == F.col("least")
     else:
+        parts = t.groupBy("shingle", "comp").agg(F.count("*").alias("size"))
+        groups = durable(parts.groupBy("shingle").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("comps")).where("comps > 1").select("shingle", "main", "size"))
         outside = F.col("size") - F.col("main.size")
-        drawn = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(1 << 20)) * outside < F.lit(min(GROWTH**turn, 1 << 42) << 20)
+        drawn = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(1 << 20)) * outside < F.lit(min(GROWTH ** (turn - 1), 1 << 42) << 20)
         centre = (F.col("comp") != F.col("main.comp")) & drawn
     return t.join(groups, "shingle").select("doc_id", "n", "shingle", "place", "comp", centre.alias("centre"))
 
@@ -206,30 +213,30 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of (doc_id, text)."""
     found = sets(blocks(docs), percent)
     whole = found.where("prefix IS NOT NULL")
-    parts = segments(whole)
-    at = whole.select("doc_id", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("doc_id", "n", F.col("p.prefix").alias("shingle"), F.col("p.places").alias("place"))
+    edges = fragment_edges(whole, FRAGMENTS)
+    # first by one shingle of each document, its most frequent one of the prefix, where most copies meet
     links, comp, turn = None, None, 0
+    t = whole.select("doc_id", "n", F.element_at("prefix", -1).alias("shingle"), F.element_at("places", -1).alias("place"), F.col("doc_id").alias("comp"))
     while True:
-        rows = durable(turn_of(at, comp, turn))
-        if rows.isEmpty():
+        rows = durable(turn_of(t, turn))
+        if turn and rows.isEmpty():
             break
         pairs = durable(met(rows, percent))
-        new = None if pairs.isEmpty() else durable(verified(pairs, parts, percent))
+        new = None if pairs.isEmpty() else durable(verified(pairs, whole, edges, percent))
         if new is not None and not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             comp = components(links)
-        # centres have met their groups
-        at, turn = rows.where("NOT centre").drop("comp", "centre"), turn + 1
+        if turn == 0:
+            t = with_components(whole.select("doc_id", "n", F.arrays_zip("prefix", "places").alias("at")), comp).select("doc_id", "n", "comp", F.explode("at").alias("at")).select("doc_id", "n", "comp", F.col("at.prefix").alias("shingle"), F.col("at.places").alias("place"))
+        else:  # centres have met their groups
+            t = with_components(rows.where("NOT centre").drop("comp", "centre"), comp)
+        turn += 1
     out = found.select("doc_id", F.col("n").alias("n_shingles"), "rep")
     if comp is None:
         return out.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
     return out.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
-#: Ids up to which a list of them is broadcast; beyond, texts are joined by shuffle.
-LISTED = 2_000_000
-
-
 def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs, with all their columns, without those that link with one of a smaller id; of repeated rows one stays. Rows
     without doc_id, which no other row can be held against, pass as they are."""

@@ -93,7 +93,6 @@ def test_jaccard(spark, messy, folder):
 
 
 def test_jaccard_exact_bound_and_random_sets(spark, monkeypatch):
-    segments = jaccard.segments
     rng, texts = random.Random(5), {}
     base = [f"w{k}" for k in range(60)]
     for i in range(150):
@@ -110,7 +109,7 @@ def test_jaccard_exact_bound_and_random_sets(spark, monkeypatch):
     for growth, spread, fragments in ((3, 5, 7),):
         monkeypatch.setattr(jaccard, "GROWTH", growth)
         monkeypatch.setattr(jaccard, "SPREAD", spread)
-        monkeypatch.setattr(jaccard, "segments", lambda whole, f=fragments, of=segments: of(whole, f))
+        monkeypatch.setattr(jaccard, "FRAGMENTS", fragments)
         got = jaccard.join(docs).collect()
         assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
 
@@ -132,7 +131,7 @@ def test_large_groups_make_few_pairs(spark):
         texts[i] = " ".join(w)
     found = jaccard.sets(jaccard.blocks(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
     at = found.where("prefix IS NOT NULL").select("doc_id", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("doc_id", "n", F.col("p.prefix").alias("shingle"), F.col("p.places").alias("place"))
-    assert jaccard.met(jaccard.turn_of(at, None, 0)).count() < 3 * len(texts)
+    assert jaccard.met(jaccard.turn_of(at.withColumn("comp", F.col("doc_id")), 0)).count() < 3 * len(texts)
     want = linked(texts)
     assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in jaccard.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect())
 
