@@ -240,7 +240,6 @@ def test_packing(spark, messy, folder):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for i, x in texts_of(messy).items()}
     got = packing.op2_packing(spark, folder).collect()
     by_seq, by_doc = defaultdict(list), defaultdict(list)
@@ -260,14 +259,13 @@ def test_packing(spark, messy, folder):
     assert set(by_doc) == set(ids)
 
 
-@pytest.mark.parametrize("text", ["a\xa0  b", "a\xa0\n\n", "x \x85y", "  z  ", "\n\n a", "it's 'll", "a\x1c\x1d b", "<|endoftext|> a", "", "é́ 中文  字", "1 2  3\t\t4", "a b   c"])
+@pytest.mark.parametrize("text", ["a\xa0  b", "a\xa0\n\n", "x \x85y", "  z  ", "\n\n a", "it's 'll", "a\x1c\x1d b", "<|endoftext|> a", "", "é́ 中文  字", "1 2  3\t\t4", "a b   c", "x" + " " * 999 + "y", "x" + " " * 1_000_000, "\n" * 1_000_000, " \n\t\r" * 250_000 + "<|endoftext|>a", "ab" * 300_000], ids=range(17))
 def test_ids_equal_the_tokenizer(text):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    own = packing.shared_ids(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).of(text)
+    own = packing.shared_ids(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")).of(text)
     assert np.frombuffer(own, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
