@@ -5,16 +5,20 @@ pairs have been scanned and what they gave; a run scans only pairs that the ledg
 the findings back to all paths that hold the blob.
 
 Defined cases: a null text is the empty blob; an empty table gives an empty table; repeated rows and exact copies
-share one blob and each row gets its findings; extra columns are ignored by the digest and kept by `redact`.
+share one blob and each row gets its findings; texts are scanned whole, however long, and with many findings (places are
+summed STRIDE at a time); findings that start together go in the order of the rules; extra columns are ignored by the digest and kept by `redact`.
 """
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import durable, shared_folder, table
 
 
 @dataclass(frozen=True)
@@ -38,23 +42,52 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0, base=False),
 )
 SPAN = "array<struct<start:int,k:int,end:int,kind:string>>"
+#: Values that a running sum takes at a time; code points of a piece of text; bytes of findings that are broadcast.
+STRIDE, PIECE, BROADCAST = 64, 1024, 16 << 20
 
 
-def matches(text: Column, rule: Rule, k: int) -> Column:
-    """Spans of a rule's matches in code points. The pieces between matches give their places."""
-    none = F.from_json(F.lit("[]"), SPAN)
-    hit = lambda h: h["hits"]
-    kept = lambda h: F.length(F.regexp_extract(hit(h), rule.pattern, rule.group) if rule.group else hit(h)) >= rule.least
+def before(df: DataFrame, values: list[str], merge: Callable[[Column, Column], Column]) -> DataFrame:
+    """df with a column <v>_before for each array of whole numbers <v>: what merge (from 0 on) makes of all values before
+    each. STRIDE values are taken at a time, so that no list grows by one for every value; each step is a column of its
+    own, which is made once."""
+    zero, stride, no_ints = F.lit(0), F.lit(STRIDE), F.array().cast("array<int>")
+
+    def cut(v: Column) -> Column:
+        at = F.when(F.size(v) > 0, F.sequence(zero, F.floor((F.size(v) - 1) / stride).cast("int"))).otherwise(no_ints)
+        return F.transform(at, lambda c: F.slice(v, c * stride + 1, stride))
+
+    def heads(parts: Column) -> Column:
+        step = lambda acc, part: F.struct(F.aggregate(part, acc["at"], merge).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(parts, F.struct(zero.alias("at"), no_ints.alias("out")), step, lambda acc: acc["out"])
+
+    def inner(v: str) -> Column:
+        both = F.arrays_zip(F.col(f"{v}_cut").alias("part"), F.col(f"{v}_head").alias("head"))
+        return F.flatten(F.transform(both, lambda z: F.transform(z["part"], lambda _, i: F.aggregate(F.slice(z["part"], 1, i), z["head"], merge))))
+
+    df = df.withColumns({f"{v}_cut": cut(F.col(v)) for v in values})
+    df = df.withColumns({f"{v}_head": heads(F.col(f"{v}_cut")) for v in values})
+    return df.withColumns({f"{v}_before": inner(v) for v in values}).drop(*[f"{v}_{x}" for v in values for x in ("cut", "head")])
+
+
+def with_matches(df: DataFrame, rules: tuple[Rule, ...], wanted: Callable[[Rule], Column]) -> DataFrame:
+    """df (with `text`) and `spans`: what the rules match, where wanted(rule), in code points. The pieces between matches
+    give their places."""
 
-    def step(acc: Column, h: Column) -> Column:
-        start = acc["at"] + F.length(h["gaps"])
-        end = start + F.coalesce(F.length(hit(h)), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(k).alias("k"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(hit(h).isNotNull() & kept(h), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def pieces(rule: Rule) -> Column:
+        kept = lambda hit: F.length(F.regexp_extract(hit, rule.pattern, rule.group) if rule.group else hit) >= rule.least
+        both = F.arrays_zip(F.split("text", rule.pattern, -1).alias("gap"), F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0)).alias("hit"))
+        found = F.transform(both, lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.coalesce(F.length(p["hit"]), F.lit(0)).alias("hit"), (p["hit"].isNotNull() & kept(p["hit"])).alias("kept")))
+        return F.when(wanted(rule) & F.col("text").rlike(rule.pattern), found).otherwise(F.array().cast("array<struct<gap:int,hit:int,kept:boolean>>"))
 
-    pieces = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("hits"))
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+    def spans(rule: Rule, k: int) -> Column:
+        placed = F.filter(F.arrays_zip(F.col(f"p{k}").alias("p"), F.col(f"n{k}_before").alias("at")), lambda x: x["p"]["kept"])
+        start = lambda x: x["at"] + x["p"]["gap"]
+        return F.transform(placed, lambda x: F.struct(start(x).alias("start"), F.lit(k).alias("k"), (start(x) + x["p"]["hit"]).alias("end"), F.lit(rule.kind).alias("kind")))
+
+    names, own = df.columns, range(len(rules))
+    df = df.withColumns({f"p{k}": pieces(r) for k, r in enumerate(rules)})
+    df = before(df.withColumns({f"n{k}": F.transform(f"p{k}", lambda p: p["gap"] + p["hit"]) for k in own}), [f"n{k}" for k in own], lambda a, b: a + b)
+    return df.select(*names, F.concat(*[spans(r, k) for k, r in enumerate(rules)]).alias("spans"))
 
 
 def address(versions: DataFrame, text: str = "text") -> DataFrame:
@@ -79,16 +112,35 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
         blobs = blobs.withColumn("seen", F.lit(None).cast("array<string>"))
     tags = F.array(*[F.lit(tag(r)) for r in rules])
     blobs = blobs.withColumn("seen", F.coalesce("seen", F.array().cast("array<string>"))).withColumn("tags", F.array_except(tags, "seen")).where(F.size("tags") > 0)
-    none = F.from_json(F.lit("[]"), SPAN)
-    spans = [F.when(F.array_contains("tags", tag(r)), matches(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules)]
-    return blobs.select("blob", "tags", F.concat(*spans).alias("spans"))
+    return with_matches(blobs.select("blob", "tags", "text"), rules, lambda r: F.array_contains("tags", tag(r))).drop("text")
+
+
+def update_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The ledger stored at `path`, after what it lacks of `versions` has been scanned and appended. There may be none yet."""
+    spark = versions.sparkSession
+    try:
+        ledger = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        ledger = None
+    scan_unseen(versions, ledger, rules, text).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def new_ledger(spark: SparkSession) -> str:
+    """A place for a ledger in the shared folder."""
+    return f"{shared_folder(spark)}/ledger-{uuid.uuid4()}"
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, text: str = "text") -> DataFrame:
-    """Every row of `versions` with the sorted spans that the ledger holds for its content."""
+    """Every row of `versions` with the sorted spans that the ledger holds for its content. Blobs with findings are
+    written before they are joined: broadcast, if they have few bytes, or else by a join whose hot blobs can be split."""
     none = F.from_json(F.lit("[]"), SPAN)
-    found = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return address(versions, text).join(found, "blob", "left").withColumn("spans", F.coalesce("spans", none))
+    # no filter below the aggregate: it would be pushed through the scan and repeat it
+    found = durable(ledger.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).where(F.size("spans") > 0))
+    size = found.agg(F.sum(F.size("spans") * 40 + 100)).first()[0] or 0
+    return address(versions, text).join(F.broadcast(found) if size <= BROADCAST else found, "blob", "left").withColumn("spans", F.coalesce("spans", none))
 
 
 def joined(spans: Column) -> Column:
@@ -97,20 +149,25 @@ def joined(spans: Column) -> Column:
 
 def redact(df: DataFrame, spans: str = "spans", text: str = "text") -> DataFrame:
     """Replaces every span by [kind]; where spans overlap, the part that an earlier one covers stays with that one."""
-    t, n = F.coalesce(F.col(text), F.lit("")), F.length(F.coalesce(F.col(text), F.lit("")))
+    whole = df.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(spans).alias("spans"))
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    whole = whole.withColumns({"pieces": F.when(F.size("spans") > 0, cut).otherwise(F.array().cast("array<string>")), "ends": F.transform("spans", lambda s: s["end"])})
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        part = F.concat(t.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.when(fresh, part).otherwise(F.lit(""))).alias("out"))
+    def between(start: Column, end: Column) -> Column:
+        """Code points from start to end: only the pieces that hold them are looked at."""
+        first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+        return F.when(end > start, F.substring(F.array_join(F.slice("pieces", first + 1, last - first + 1), ""), start % PIECE + 1, end - start)).otherwise("")
 
-    new = F.aggregate(F.col(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], t.substr(a["at"] + 1, n)))
-    return df.withColumn(text, F.when(F.size(spans) > 0, new).otherwise(F.col(text)))
+    placed = F.filter(F.arrays_zip(F.col("spans").alias("s"), F.col("ends_before").alias("at")), lambda x: x["s"]["start"] >= x["at"])
+    parts = F.transform(placed, lambda x: F.concat(between(x["at"], x["s"]["start"]), F.lit("["), x["s"]["kind"], F.lit("]")))
+    new = F.array_join(F.concat(parts, F.array(between(F.array_max("ends"), F.length("text")))), "")
+    done = before(whole, ["ends"], lambda a, b: F.greatest(a, b)).select("row", F.when(F.size("spans") > 0, new).otherwise(F.col("text")).alias("text"))
+    return done.select([F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns])
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = findings_by_path(docs, scan_unseen(docs))
+    found = findings_by_path(docs, update_ledger(docs, new_ledger(spark)))
     base = F.filter("spans", lambda s: s["k"] < sum(r.base for r in RULES))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -230,6 +230,27 @@ def test_ledger_scans_only_what_is_new(spark):
     assert sorted(r.text for r in secrets.redact(secrets.findings_by_path(v1, first)).collect()) == ["[assign]", "[assign]", "nothing"]
 
 
+def test_many_findings_in_one_text(spark):
+    """As many findings as fit into some megabytes: places and redacted text against plain Python."""
+    some = [f"é token=abcdefgh{k:05d} {k:032x}" for k in range(50_000)]
+    text = "\n".join(some)
+    rows = spark.createDataFrame([(1, text), (2, text + "x"), (3, "token=" + "f" * 2000 + " " + "0" * 3000)], "doc_id long, text string")
+    found = secrets.findings_by_path(rows, secrets.scan_unseen(rows))
+    got = {r.doc_id: r for r in secrets.redact(found.withColumn("joined", secrets.joined(F.col("spans")))).collect()}
+    assert len(got[1].spans) == 100_000 and sha(got[1].joined) == sha(",".join(base_spans(text)))
+    want = "\n".join(["é [assign] [hex]"] * 50_000)
+    assert [sha(got[k].text) for k in (1, 2)] == [sha(want), sha(want + "x")]
+    assert got[3].text == "[assign] [hex]"
+
+
+def test_stored_ledger(spark, tmp_path):
+    v1 = spark.createDataFrame([("a", "token=abcdefgh1"), ("b", "nothing"), (None, None)], "path string, text string")
+    v2 = v1.union(spark.createDataFrame([("a", "token=zzzzzzzz9")], "path string, text string"))
+    path = f"{tmp_path}/ledger"
+    assert [secrets.update_ledger(v, path).count() for v in (v1, v1, v2, v2)] == [3, 3, 4, 4]
+    assert sorted((r.path or "", len(r.spans)) for r in secrets.findings_by_path(v2, spark.read.parquet(path)).collect()) == [("", 0), ("a", 1), ("a", 1), ("b", 0)]
+
+
 def test_secret_query_is_native(spark, folder):
     plan = secrets.op8_secret_scan(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
