@@ -40,7 +40,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"), "text")
-    found = secrets.findings_by_path(rows, secrets.scan_unseen(rows))
+    found = secrets.findings_by_path(rows, secrets.update_ledger(rows, secrets.new_ledger(prepare(spark))))
     return secrets.redact(found).select(with_text(docs, F.col("text")))
 
 
