@@ -6,13 +6,15 @@ lowest density on the path from the body to the densest node is the threshold; t
 the content, widened to its ancestors below the body while they reach the threshold, and to its article element.
 
 Defined cases: null and empty pages, and pages without text, give an empty string; repeated rows give equal rows; an
-empty table gives an empty table; broken markup is closed where HTML closes it; extra columns are ignored.
+empty table gives an empty table; pages of any length are read whole, in time linear in their tags; of equal density sums
+the first node counts; broken markup is closed where HTML closes it; extra columns are ignored.
 """
 from __future__ import annotations
 
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -100,6 +102,7 @@ def extract(page: str) -> str:
     chars, links = [0], [0]
     texts: list[tuple[int, int, str]] = []  # node, block, text
     open_, block, at = [0], 0, 0
+    inside, held = [False], Counter()  # whether a node is in a link; open elements by tag
 
     def text(raw: str) -> None:
         node = open_[-1]
@@ -109,10 +112,14 @@ def extract(page: str) -> str:
             n = len("".join(raw.split()))
             if n:
                 chars[node] += n
-                if any(tags[k] == "a" for k in open_):
+                if inside[node]:
                     links[node] += n
             texts.append((node, block, raw))
 
+    def close_to(k: int) -> None:
+        held.subtract([tags[i] for i in open_[k:]])
+        del open_[k:]
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             text(page[at : m.start()])
@@ -126,8 +133,10 @@ def extract(page: str) -> str:
             if tag in _ENDS:
                 close, within = _ENDS[tag]
                 for k in range(len(open_) - 1, 0, -1):
+                    if not any(held[t] for t in close):
+                        break
                     if tags[open_[k]] in close:
-                        del open_[k:]
+                        close_to(k)
                     elif tags[open_[k]] in within:
                         break
             if tag == "br":
@@ -140,15 +149,17 @@ def extract(page: str) -> str:
             article.append(own or tag in ("article", "main", "h1"))
             chars.append(0)
             links.append(0)
+            inside.append(inside[open_[-1]] or tag == "a")
             if tag not in _VOID and not m[4].endswith("/>"):
                 open_.append(len(tags) - 1)
+                held[tag] += 1
         elif m[2]:
             tag = m[2].lower()
             if tag not in _INLINE:
                 block += 1
-            for k in range(len(open_) - 1, 0, -1):
+            for k in range(len(open_) - 1, 0, -1) if held[tag] else ():
                 if tags[open_[k]] == tag:
-                    del open_[k:]
+                    close_to(k)
                     break
                 if tag in _INLINE and tags[open_[k]] not in _INLINE:
                     break
