@@ -20,11 +20,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; one of its own only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share; one of its own only in local mode, where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="framelark-ckpt")
             atexit.register(shutil.rmtree, folder, True)
         sc.setCheckpointDir(folder)
