@@ -4,11 +4,13 @@ Frequent words are classes of their own; the rest share a class by the hash of t
 token's class from the classes of the two tokens before it: a position's vectors are scaled, summed, and multiplied
 with every class's vector at once, which with the softmax gives normalised probabilities; a word takes its part of its
 class by its count. Unseen words are one event, whose probability is the part of training tokens seen once.
-Every task trains on all its training texts from the same start, with noise shared by a batch; the tasks' parameters
-are averaged by tokens. Counts are exact, over all training tokens; only counts, class sums and the model's parameters
-(bounded by its classes) reach the driver.
+Training documents fall to shards by their ids; each shard trains on all its documents from the same start, with noise
+shared by a batch; the shards' parameters are averaged by tokens, WIDTH at a time. So scores do not depend on partitions.
+Counts are exact, over all training tokens; only class sums and the model's parameters (bounded by its classes) reach the
+driver, merged WIDTH at a time before.
 
 Defined cases: null and empty texts are the end token alone; repeated rows are scored each and count each; without
+texts of any length are scored whole; without
 training texts every token is unseen and the model's score is the base score; an empty table gives an empty table;
 rows without doc_id are left out; extra columns are ignored.
 """
@@ -29,6 +31,8 @@ from .exchange import BITS, Block, ask, blocks, bucket_bits, expand, pack_keys,
 
 #: Words that are classes; classes of other words by their last TAIL bytes; vector length; tokens before; batch; noise.
 FREQUENT, RARE, TAIL, DIM, ORDER, BATCH, NOISE = 640, 384, 3, 16, 2, 4096, 64
+#: Training tokens of a shard, about, and of a piece of it; what is merged into one at a time.
+SHARD, PIECE, WIDTH = 1 << 21, 1 << 19, 64
 FOLDS = 10
 END = np.uint64(0x5851F42D4C957F2D)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -188,12 +192,20 @@ def count(held: DataFrame) -> tuple[DataFrame, Counts]:
         return table_of(out, kinds)
 
     replies = durable(sent.groupBy("bucket").applyInArrow(answer, "block long, bucket int, n binary, sums binary"))
-    total, best = np.zeros(3 + RARE, np.int64), np.zeros((0, 3), np.int64)
-    for r in replies.where("sums IS NOT NULL").select("sums").toLocalIterator():  # bounded for each bucket
-        a = np.frombuffer(expand(r.sums), "<i8")
-        total += a[: len(total)]
-        best = np.concatenate([best, a[len(total) :].reshape(3, -1).T])
-        best = best[np.lexsort([best[:, 0], -best[:, 1]])][:FREQUENT]
+    def merged(a: list[np.ndarray]) -> np.ndarray:
+        best = np.concatenate([x[3 + RARE :].reshape(3, -1).T for x in a])
+        best = best[np.lexsort([best[:, 0].astype(np.uint64), -best[:, 1]])][:FREQUENT]
+        return np.concatenate([np.sum([x[: 3 + RARE] for x in a], axis=0), best.T.ravel()])
+
+    def merge(t: pa.Table) -> pa.Table:
+        found = merged([np.frombuffer(expand(x), "<i8") for x in t.column("sums").to_pylist()])
+        return table_of([(t.column("bucket")[0].as_py() // WIDTH, squeeze(found.astype("<i8")))], pa.schema([("bucket", pa.int32()), ("sums", pa.binary())]))
+
+    sums, left = replies.where("sums IS NOT NULL").select("bucket", "sums"), 1 << bits
+    while left > WIDTH:  # WIDTH buckets become one, until so few are left
+        sums, left = sums.groupBy(F.floor(F.col("bucket") / WIDTH)).applyInArrow(merge, "bucket int, sums binary"), -(-left // WIDTH)
+    a = merged([np.zeros(3 + RARE, np.int64), *(np.frombuffer(expand(r.sums), "<i8") for r in sums.collect())])
+    total, best = a[: 3 + RARE], a[3 + RARE :].reshape(3, -1).T
     best = best[np.argsort(best[:, 0].astype(np.uint64))]
     weight = np.concatenate([np.zeros(FREQUENT, np.int64), total[3:]])
     weight[: len(best)] = best[:, 1]
@@ -202,37 +214,59 @@ def count(held: DataFrame) -> tuple[DataFrame, Counts]:
 
 
 def fit(held: DataFrame, counts: Counts, bits: int) -> Model:
-    """The average of the tasks' models, each trained on every training token of its blocks."""
+    """The average of the shards' models, each trained on every training token of its documents. Documents fall to shards
+    by their ids and are taken in one order there, so that the partitions of the input change nothing."""
     start = Model.start(counts.weight)
     noise = np.maximum(counts.weight, 0.1) ** 0.75
     noise = noise / noise.sum()
-    kinds = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("values", pa.binary())])
+    shards = max(1, -(-counts.total // SHARD))
+    dealt_kinds = pa.schema([("shard", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("classes", pa.binary())])
+    kinds = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("n", pa.int64()), ("values", pa.binary())])
+    ddl = "part int, shard long, n long, values binary"
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*[a.copy() for a in start.arrays()])
-        memory, n = [np.full(a.shape, 1e-6, np.float32) for a in model.arrays()], 0
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 block = Block.of(b, k)
                 h, index, rare = tokens(block)
-                classes = counts.classes(short(h, bits), rare)
-                learned = np.repeat(~held_out(block.doc_ids), np.diff(index))
-                c = contexts(classes, index, len(counts.weight))[learned]
-                if len(c):
-                    train(model, c, classes[learned], noise, memory, np.random.default_rng(block.block & 0xFFFF))
-                    n += len(c)
-        if n:
-            yield from table_of([(k, n, squeeze(a.astype("<f4"))) for k, a in enumerate(model.arrays())], kinds).to_batches()
-
-    total = pa.schema([("part", pa.int32()), ("values", pa.binary())])
+                classes = counts.classes(short(h, bits), rare).astype("<u2")
+                by: dict[int, list[int]] = {}
+                for d in np.flatnonzero(~held_out(block.doc_ids)).tolist():
+                    by.setdefault(zlib.crc32(str(block.doc_ids[d]).encode()) // FOLDS % shards, []).append(d)
+                size = np.diff(index)
+                found = [(s, block.doc_ids[ds].astype("<i8").tobytes(), size[ds].astype("<i8").tobytes(), squeeze(b"".join(classes[index[d] : index[d + 1]].tobytes() for d in ds))) for s, ds in by.items()]
+                if found:
+                    yield from table_of(found, dealt_kinds).to_batches()
+
+    def learn(t: pa.Table) -> pa.Table:
+        shard = t.column("shard")[0].as_py()
+        docs, sizes = (np.concatenate([np.frombuffer(x, "<i8") for x in t.column(c).to_pylist()]) for c in ("docs", "sizes"))
+        flat = np.concatenate([np.frombuffer(expand(x), "<u2") for x in t.column("classes").to_pylist()])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        order = sorted(range(len(docs)), key=lambda d: (int(docs[d]), flat[ends[d] : ends[d + 1]].tobytes()))
+        order = np.array(order)[np.random.default_rng(shard).permutation(len(order))]
+        model = Model(*[a.copy() for a in start.arrays()])
+        memory, at, piece = [np.full(a.shape, 1e-6, np.float32) for a in model.arrays()], 0, 0
+        while at < len(order):  # documents of about PIECE tokens at a time
+            to = max(at + 1, int(np.searchsorted(np.cumsum(sizes[order[at:]]), PIECE)) + at)
+            some = order[at:to]
+            classes = np.concatenate([flat[ends[d] : ends[d + 1]] for d in some.tolist()]).astype(np.int64)
+            train(model, contexts(classes, np.concatenate([[0], np.cumsum(sizes[some])]), len(counts.weight)), classes, noise, memory, np.random.default_rng([shard, piece]))
+            at, piece = to, piece + 1
+        return table_of([(k, shard, int(sizes.sum()), squeeze(a.astype("<f4"))) for k, a in enumerate(model.arrays())], kinds)
 
     def average(t: pa.Table) -> pa.Table:
-        n = np.array(t.column("n").to_pylist(), float)
-        a = sum(w * np.frombuffer(expand(v), "<f4") for w, v in zip(n / n.sum(), t.column("values").to_pylist(), strict=True))
-        return table_of([(t.column("part")[0].as_py(), squeeze(a.astype("<f4")))], total)
-
-    some = held.mapInArrow(learn, "part int, n long, values binary")
-    got = {r.part: np.frombuffer(expand(r["values"]), "<f4") for r in some.groupBy("part").applyInArrow(average, "part int, values binary").collect()}
+        rows = sorted(zip(t.column("shard").to_pylist(), t.column("n").to_pylist(), t.column("values").to_pylist(), strict=True))
+        total = sum(n for _, n, _ in rows)
+        a = sum(n / total * np.frombuffer(expand(v), "<f4").astype(float) for _, n, v in rows)
+        return table_of([(t.column("part")[0].as_py(), rows[0][0] // WIDTH, total, squeeze(a.astype("<f4")))], kinds)
+
+    models, left = held.mapInArrow(deal, "shard long, docs binary, sizes binary, classes binary").groupBy("shard").applyInArrow(learn, ddl), shards
+    while True:  # WIDTH models become one, until one is left
+        models, left = models.groupBy("part", F.floor(F.col("shard") / WIDTH)).applyInArrow(average, ddl), -(-left // WIDTH)
+        if left == 1:
+            break
+    got = {r.part: np.frombuffer(expand(r["values"]), "<f4") for r in models.collect()}
     return Model(*[got[k].reshape(a.shape) if k in got else a for k, a in enumerate(start.arrays())])
 
 

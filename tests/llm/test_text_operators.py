@@ -186,6 +186,14 @@ def test_scores(spark, messy, folder):
         assert r.score < 0
 
 
+def test_scores_do_not_depend_on_partitions(spark, documents, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 5000)
+    monkeypatch.setattr(lm, "WIDTH", 2)
+    score = lambda n: sorted((r.doc_id, r.score) for r in lm.score_documents(documents.repartition(n)).collect())
+    a, b = score(1), score(7)
+    assert [i for i, _ in a] == [i for i, _ in b] and [x for _, x in a] == pytest.approx([x for _, x in b], rel=1e-6)  # single precision
+
+
 def test_model_is_normalised_and_beats_the_base(spark):
     m = lm.Model.start(np.arange(10.0))
     c = np.array([[3, 10], [0, 1]])
