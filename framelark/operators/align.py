@@ -20,7 +20,7 @@ def cost_rows(a: DataFrame, b: DataFrame, keys: list[str], dist: str = "cosine",
     centre = F.round(F.col("i") * F.col("_n") / F.greatest(F.col("_m"), F.lit(1))).cast("long")
     low = F.lit(0).cast("long") if radius is None else F.greatest(centre - radius, F.lit(0))
     high = F.col("_n") if radius is None else F.least(centre + radius, F.col("_n"))
-    wanted = a.withColumnRenamed("vec", "_a").join(F.broadcast(sizes), keys).select(*keys, "i", "_a", F.explode(F.sequence(low, high)).alias("j"))
+    wanted = a.withColumnRenamed("vec", "_a").join(sizes, keys).select(*keys, "i", "_a", F.explode(F.sequence(low, high)).alias("j"))
     measure = {"cosine": cosine_distance, "euclidean": euclidean_distance}[dist]
     return wanted.join(b.withColumnRenamed("vec", "_b"), [*keys, "j"]).select(*keys, "i", "j", measure(F.col("_a"), F.col("_b")).alias("cost"))
 
@@ -92,7 +92,11 @@ def last_write(rows: DataFrame, keys: list[str], value: str, order: str) -> Data
 
 def compare_mappings(raw: DataFrame, smooth: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, sony_idx, zed_idx, zed_smooth, changed, line). A frame that `smooth` lacks makes the run fail."""
-    rows = raw.join(smooth.select(*keys, "sony_idx", "zed_smooth"), [*keys, "sony_idx"], "left")
+    return compared(raw.join(smooth.select(*keys, "sony_idx", "zed_smooth"), [*keys, "sony_idx"], "left"))
+
+
+def compared(rows: DataFrame) -> DataFrame:
+    """Rows (sony_idx, zed_idx, zed_smooth) with `changed` and `line`, where both mappings stand side by side."""
     there = F.when(F.col("zed_smooth").isNull(), F.raise_error(F.format_string("frame %d is not in the smoothed mapping", "sony_idx")).cast("long")).otherwise(F.col("zed_smooth"))
     plain = F.format_string("Sony Frame %05d -> ZED Frame %05d", "sony_idx", "zed_idx")
     changed = F.col("zed_idx") != F.col("zed_smooth")

@@ -223,7 +223,7 @@ def bounds_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corners(spark, sf_dir).where("vec_id < 40").withColumn("camera", F.col("vec_id") % 2)
+    c = corners(spark, sf_dir).withColumn("camera", F.col("vec_id") % 2)
     return quality.coverage(c, ["camera"], 1920, 1080).select("camera", "n_pixels", F.round("share", 6).alias("share"))
 
 
@@ -345,6 +345,6 @@ SELECT v AS vec_id, pick FROM f""",
     "flat_errors": f"WITH {_ERR} SELECT frame, round(error, 6) AS error FROM e",
     "shared_ids": f"WITH {_PAIR}, f AS (SELECT DISTINCT a.vec_id // 2 AS frame FROM c a JOIN c b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0) SELECT frame, coalesce(string_agg(corner_id::VARCHAR, ',' ORDER BY corner_id), '') AS ids, coalesce(bool_or(corner_id = 0), false) AS has_first FROM f LEFT JOIN p USING (frame) GROUP BY frame",
     "bounds_filter": f"WITH {_COR} SELECT vec_id, corner_id FROM c WHERE trunc(x) >= 0 AND trunc(x) < 1100 AND trunc(y) >= 0 AND trunc(y) < 700",
-    "coverage_mask": f"WITH {_COR}, o AS (SELECT dx, dy FROM (SELECT unnest(range(-8, 9)) AS dx), (SELECT unnest(range(-8, 9)) AS dy) WHERE dx * dx + dy * dy <= 64), q AS (SELECT DISTINCT vec_id % 2 AS camera, trunc(x)::INT + dx AS i, trunc(y)::INT + dy AS j FROM c, o WHERE vec_id < 40 AND trunc(x) >= 0 AND trunc(x) < 1920 AND trunc(y) >= 0 AND trunc(y) < 1080) SELECT camera, count(*) AS n_pixels, round(count(*) / (1920 * 1080)::DOUBLE, 6) AS share FROM q WHERE i >= 0 AND i < 1920 AND j >= 0 AND j < 1080 GROUP BY camera",
+    "coverage_mask": f"WITH {_COR}, o AS (SELECT dx, dy FROM (SELECT unnest(range(-8, 9)) AS dx), (SELECT unnest(range(-8, 9)) AS dy) WHERE dx * dx + dy * dy <= 64), q AS (SELECT DISTINCT vec_id % 2 AS camera, trunc(x)::INT + dx AS i, trunc(y)::INT + dy AS j FROM c, o WHERE trunc(x) >= 0 AND trunc(x) < 1920 AND trunc(y) >= 0 AND trunc(y) < 1080) SELECT camera, count(*) AS n_pixels, round(count(*) / (1920 * 1080)::DOUBLE, 6) AS share FROM q WHERE i >= 0 AND i < 1920 AND j >= 0 AND j < 1080 GROUP BY camera",
     "config_grid_best": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS k FROM nation) SELECT n_regionkey::BIGINT AS dict_id, p AS params, n_name AS frame, (n_nationkey * 7 % 23)::INT AS n_corners FROM n, (SELECT unnest(['default', 'relaxed']) AS p, unnest([0, 1]) AS o) WHERE k <= 3 AND n_nationkey * 7 % 23 >= 6 ORDER BY n_corners DESC, (n_regionkey * 2 + o) * 100 + n_nationkey LIMIT 1",
 }

@@ -10,7 +10,8 @@ from ..sources.sinks import copy_manifest, mapping_object
 from ..sources.tables import mapping_entries, positions
 from ._common import table
 
-WINDOW = 1501
+#: Frames of the smoothing window; keys of a recording.
+WINDOW, RUN = 1501, 500
 _MAPPING = "SELECT o_orderkey + 1 AS sony_idx, o_orderkey + 1 + o_custkey % 30 AS zed_idx FROM orders"
 
 
@@ -33,8 +34,7 @@ def drift_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = series.smooth_mapping(mapping(spark, sf_dir), WINDOW)
-    return align.compare_mappings(m.select("sony_idx", "zed_idx"), m.select("sony_idx", "zed_smooth"))
+    return align.compared(series.smooth_mapping(mapping(spark, sf_dir), WINDOW).select("sony_idx", "zed_idx", "zed_smooth"))
 
 
 def mapping_comparison_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,17 +64,24 @@ def listing_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(c, ["camera"])
 
 
-def _listing(spark: SparkSession, sf_dir: str, name: str, column: str) -> DataFrame:
-    return table(spark, sf_dir, name).select(F.lit("d").alias("dataset"), F.col(column).alias("path"))
+def _listing(spark: SparkSession, sf_dir: str, name: str, column: str, key: str) -> DataFrame:
+    """A recording for each run of RUN keys, so a listing is bounded whatever the table's size."""
+    return table(spark, sf_dir, name).select(F.floor(F.col(key) / RUN).alias("dataset"), F.col(column).alias("path"))
+
+
+def _listings(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [_listing(spark, sf_dir, *x) for x in (("customer", "c_name", "c_custkey"), ("supplier", "s_name", "s_suppkey"), ("part", "p_name", "p_partkey"))]
 
 
 def sync_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(F.lit("d").alias("dataset"), (F.col("c_custkey") + 1).alias("sony_idx"), (F.floor(F.col("c_custkey") / 2) + 1).alias("zed_idx"))
-    return align.sync_manifest(c, _listing(spark, sf_dir, "customer", "c_name"), _listing(spark, sf_dir, "supplier", "s_name"), _listing(spark, sf_dir, "part", "p_name"), ["dataset"])
+    key = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(F.floor(key / RUN).alias("dataset"), (key % RUN + 1).alias("sony_idx"), (F.floor(key % RUN / 2) + 1).alias("zed_idx"))
+    return align.sync_manifest(c, *_listings(spark, sf_dir), ["dataset"])
 
 
 def zip_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.zip_pairs(_listing(spark, sf_dir, "customer", "c_name"), _listing(spark, sf_dir, "supplier", "s_name"), ["dataset"], "path").drop("dataset")
+    customers, suppliers, _ = _listings(spark, sf_dir)
+    return align.zip_pairs(customers, suppliers, ["dataset"], "path")
 
 
 def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,28 +89,30 @@ def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.last_write(l, ["l_orderkey"], "l_partkey", "turn")
 
 
-def features(spark: SparkSession, sf_dir: str, label: int, to: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where(F.col("label") == label).select(F.lit("d").alias("dataset"), "vec_id", F.col("embedding").alias("vec"))
+def features(spark: SparkSession, sf_dir: str, camera: int, to: str) -> DataFrame:
+    """Labels 2k and 2k + 1 are the two cameras of a recording; there is one for each k and run of RUN vectors."""
+    dataset = F.concat_ws("-", F.floor(F.col("label") / 2), F.floor(F.col("vec_id") / RUN))
+    e = table(spark, sf_dir, "embeddings").where(F.col("label") % 2 == camera).select(dataset.alias("dataset"), "vec_id", F.col("embedding").alias("vec"))
     return series.numbered(e, "vec_id", to, 0, ("dataset",)).select("dataset", to, "vec")
 
 
 def cosine_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = align.cost_rows(features(spark, sf_dir, 0, "i"), features(spark, sf_dir, 1, "j"), ["dataset"])
-    return c.select("i", "j", F.round("cost", 6).alias("cost"))
+    return c.select("dataset", "i", "j", F.round("cost", 6).alias("cost"))
 
 
 def cosine_cost_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = align.cost_rows(features(spark, sf_dir, 0, "i"), features(spark, sf_dir, 1, "j"), ["dataset"], radius=3)
-    return c.select("i", "j", F.round("cost", 6).alias("cost"))
+    return c.select("dataset", "i", "j", F.round("cost", 6).alias("cost"))
 
 
 def dtw_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.align_series(features(spark, sf_dir, 0, "i"), features(spark, sf_dir, 1, "j"), ["dataset"]).select("i", "j", F.round("cost", 6).alias("cost"))
+    return align.align_series(features(spark, sf_dir, 0, "i"), features(spark, sf_dir, 1, "j"), ["dataset"]).select("dataset", "i", "j", F.round("cost", 6).alias("cost"))
 
 
 def dtw_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = align.align_series(features(spark, sf_dir, 0, "i"), features(spark, sf_dir, 1, "j"), ["dataset"])
-    return align.frame_mapping(p, ["dataset"]).drop("dataset")
+    return align.frame_mapping(p, ["dataset"])
 
 
 def frame_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +150,10 @@ t AS (SELECT p.*, s0::DOUBLE AS t0, (s1 - c * s0)::DOUBLE AS t1, (s2 - 2 * c * s
 g AS (SELECT sony_idx, zed_idx, (t0 * {_Q4}::DOUBLE - t2 * {_Q2}::DOUBLE) / {_DEN}::DOUBLE + k * t1 / {_Q2}::DOUBLE + k * k * (t2 * {WINDOW}::DOUBLE - t0 * {_Q2}::DOUBLE) / {_DEN}::DOUBLE AS smooth FROM t),
 f AS (SELECT *, greatest(1, max(round_even(smooth, 0)::BIGINT) OVER (ORDER BY sony_idx)) AS zed_smooth FROM g)"""
 _LINE = "printf('Sony Frame %05d -> ZED Frame %05d', sony_idx, zed_idx) || CASE WHEN zed_idx <> zed_smooth THEN printf('-> Smoothed %05d', zed_smooth) ELSE '' END"
-_COSINE = """a AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS u FROM embeddings WHERE label = 0),
-b AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS j, embedding::DOUBLE[] AS v FROM embeddings WHERE label = 1)"""
+_COSINE = f"""e AS (SELECT (label // 2) || '-' || (vec_id // {RUN}) AS dataset, * FROM embeddings),
+a AS (SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS u FROM e WHERE label % 2 = 0),
+b AS (SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY vec_id) - 1 AS j, embedding::DOUBLE[] AS v FROM e WHERE label % 2 = 1)"""
+_LISTED = ", ".join(f"{n} AS (SELECT {x}key // {RUN} AS dataset, {c} AS p, row_number() OVER (PARTITION BY {x}key // {RUN} ORDER BY {c}) AS k FROM {t})" for n, t, c, x in (("s", "customer", "c_name", "c_cust"), ("z", "supplier", "s_name", "s_supp"), ("d", "part", "p_name", "p_part")))
 _COST = "round(1 - list_dot_product(u, v) / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v))), 6)"
 
 QUERIES = {f.__name__: f for f in (savgol_mapping, monotone_mapping, drift_series, mapping_comparison_lines, mapping_mismatch_count, mapping_json_object, json_map_rows, sample_every_nth, listing_positions, sync_manifest, zip_by_position, last_write_wins, cosine_cost, cosine_cost_band, dtw_path, dtw_mapping, frame_names, path_parts, copy_list, depth_cleanup, pixel_channels)}
@@ -156,13 +167,13 @@ ORACLE = {
     "json_map_rows": "SELECT event_id, k AS key, json_extract(props, '$.' || k)::BIGINT AS value FROM events, LATERAL (SELECT unnest(json_keys(props)) AS k)",
     "sample_every_nth": "SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS frame_idx FROM events WHERE event_id % 3 = 0",
     "listing_positions": "SELECT c_nationkey AS camera, c_name AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS position FROM customer",
-    "sync_manifest": """WITH s AS (SELECT c_name AS p, row_number() OVER (ORDER BY c_name) AS k FROM customer), z AS (SELECT s_name AS p, row_number() OVER (ORDER BY s_name) AS k FROM supplier), d AS (SELECT p_name AS p, row_number() OVER (ORDER BY p_name) AS k FROM part),
-m AS (SELECT c_custkey + 1 AS a, c_custkey // 2 + 1 AS b FROM customer)
-SELECT 'd' AS dataset, printf('%05d.png', a) AS name, s.p AS sony_path, z.p AS zed_rgb_path, d.p AS zed_depth_path FROM m JOIN s ON s.k = a JOIN z ON z.k = b JOIN d ON d.k = b""",
-    "zip_by_position": "WITH a AS (SELECT c_name AS first, row_number() OVER (ORDER BY c_name) AS position FROM customer), b AS (SELECT s_name AS second, row_number() OVER (ORDER BY s_name) AS position FROM supplier) SELECT * FROM a JOIN b USING (position)",
+    "sync_manifest": f"""WITH {_LISTED},
+m AS (SELECT c_custkey // {RUN} AS dataset, c_custkey % {RUN} + 1 AS a, c_custkey % {RUN} // 2 + 1 AS b FROM customer)
+SELECT dataset, printf('%05d.png', a) AS name, s.p AS sony_path, z.p AS zed_rgb_path, d.p AS zed_depth_path FROM m JOIN s USING (dataset) JOIN z USING (dataset) JOIN d USING (dataset) WHERE s.k = a AND z.k = b AND d.k = b""",
+    "zip_by_position": f"WITH {_LISTED} SELECT dataset, k AS position, s.p AS first, z.p AS second FROM s JOIN z USING (dataset, k)",
     "last_write_wins": "SELECT l_orderkey, max_by(l_partkey, l_linenumber * 10000000 + l_partkey) AS l_partkey FROM lineitem GROUP BY 1",
-    "cosine_cost": f"WITH {_COSINE} SELECT i, j, {_COST} AS cost FROM a, b",
-    "cosine_cost_band": f"WITH {_COSINE}, n AS (SELECT (SELECT max(i) FROM a) AS m, (SELECT max(j) FROM b) AS n) SELECT i, j, {_COST} AS cost FROM a, b, n WHERE abs(round(i * n / greatest(m, 1), 0)::BIGINT - j) <= 3",
+    "cosine_cost": f"WITH {_COSINE} SELECT dataset, i, j, {_COST} AS cost FROM a JOIN b USING (dataset)",
+    "cosine_cost_band": f"WITH {_COSINE}, n AS (SELECT dataset, m, n FROM (SELECT dataset, max(i) AS m FROM a GROUP BY 1) JOIN (SELECT dataset, max(j) AS n FROM b GROUP BY 1) USING (dataset)) SELECT dataset, i, j, {_COST} AS cost FROM a JOIN b USING (dataset) JOIN n USING (dataset) WHERE abs(round(i * n / greatest(m, 1), 0)::BIGINT - j) <= 3",
     "frame_names": "SELECT o_orderkey, printf('%05d.png', o_orderkey * 37) AS name, lower(o_orderstatus) || printf('_rgb_%05d.png', o_orderkey * 37) AS raw_name, printf('%+.3f', o_totalprice) AS signed FROM orders",
     "path_parts": "SELECT page_id, split_part(url, '/', -1) AS base, split_part(split_part(url, '/', -1), '.', 1) AS stem FROM pages",
     "copy_list": "SELECT url AS src, 'synced/' || printf('%05d.png', page_id) AS dst FROM pages",
