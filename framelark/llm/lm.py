@@ -1,13 +1,17 @@
 """Language-model scores from a log-bilinear model trained with noise-contrastive estimation.
 
-Frequent words are classes of their own; the rest share a class by the hash of their last bytes. The model predicts a
-token's class from the classes of the two tokens before it: a position's vectors are scaled, summed, and multiplied
-with every class's vector at once, which with the softmax gives normalised probabilities; a word takes its part of its
-class by its count. Unseen words are one event, whose probability is the part of training tokens seen once.
-Training documents fall to shards by their ids; each shard trains on all its documents from the same start, with noise
-shared by a batch; the shards' parameters are averaged by tokens, WIDTH at a time. So scores do not depend on partitions.
-Counts are exact, over all training tokens; only class sums and the model's parameters (bounded by its classes) reach the
-driver, merged WIDTH at a time before.
+A symbol is a word with at least N ** (2 / 3) / OWN of the table's N tokens, or a hash of the last bytes of all other
+words. So the symbols that are words grow with the table, and are at most OWN * N ** (1 / 3), which is what the driver
+gets. The most frequent symbols are classes of their own, the rest fall to classes by their rank, so that classes and
+their members are both about as many as the root of the symbols.
+The model predicts a token's symbol from those of the two tokens before it: a position's vectors are scaled, summed, and
+multiplied with every class's vector at once, then with those of the class's members; both softmaxes give normalised
+probabilities. A word takes its part of its symbol by its count. Unseen words are one event, whose probability is the
+part of training tokens seen once.
+Training documents fall to shards and rounds by their ids. In a round each shard trains on all its documents of the round
+from the same model, with noise shared by a batch; the shards' parameters are averaged by tokens, WIDTH at a time, and
+the next round begins with the average. So scores do not depend on partitions. Counts are exact, over all training
+tokens; only symbol sums and the model's parameters reach the driver, merged WIDTH at a time before.
 
 Defined cases: null and empty texts are the end token alone; repeated rows are scored each and count each; without
 texts of any length are scored whole; without
@@ -29,8 +33,9 @@ from . import words
 from ._common import durable, table
 from .exchange import BITS, Block, ask, blocks, bucket_bits, expand, pack_keys, planes, runs, short, squeeze, table_of, unpack_keys, unplanes
 
-#: Words that are classes; classes of other words by their last TAIL bytes; vector length; tokens before; batch; noise.
-FREQUENT, RARE, TAIL, DIM, ORDER, BATCH, NOISE = 640, 384, 3, 16, 2, 4096, 64
+#: Factor of the words that are symbols; symbols of other words by their last TAIL bytes; vector length; tokens before;
+#: batch; noise classes of a batch; noise members of a token; rounds of training.
+OWN, RARE, TAIL, DIM, ORDER, BATCH, NOISE, AMONG, ROUNDS = 64, 384, 3, 16, 2, 4096, 64, 4, 4
 #: Training tokens of a shard, about, and of a piece of it; what is merged into one at a time.
 SHARD, PIECE, WIDTH = 1 << 21, 1 << 19, 64
 FOLDS = 10
@@ -56,41 +61,90 @@ def held_out(doc_ids: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Counts:
-    """Totals of the training tokens and the classes made from them."""
+    """Totals of the training tokens and the symbols made from them, numbered by falling weight."""
     total: int
     distinct: int
     once: int
     frequent: np.ndarray  # hashes, sorted
-    class_of: np.ndarray  # their classes
-    weight: np.ndarray  # training tokens of each class
+    symbol_of: np.ndarray  # their symbols
+    rare: np.ndarray  # the symbols of tail hashes
+    weight: np.ndarray  # training tokens of each symbol
 
-    def classes(self, h: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    def symbols(self, h: np.ndarray, rare: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.frequent, h)
         at[at == len(self.frequent)] = 0
         hit = self.frequent[at] == h if len(self.frequent) else np.zeros(len(h), bool)
-        return np.where(hit, self.class_of[at] if len(self.frequent) else 0, FREQUENT + rare)
+        return np.where(hit, self.symbol_of[at] if len(self.frequent) else 0, self.rare[rare])
+
+
+@dataclass
+class Classes:
+    """The first `single` symbols are classes of their own, the rest fall to classes of `width` by rank."""
+    symbols: int
+    single: int
+    width: int
+
+    @classmethod
+    def of(cls, symbols: int) -> Classes:
+        root = int(np.ceil(np.sqrt(symbols)))
+        return cls(symbols, min(symbols, 2 * root), root)
+
+    @property
+    def number(self) -> int:
+        return self.single + -(-(self.symbols - self.single) // self.width)
+
+    def of_symbol(self, s: np.ndarray) -> np.ndarray:
+        return np.where(s < self.single, s, self.single + (s - self.single) // self.width)
+
+    def begin(self, c: np.ndarray | int) -> np.ndarray:
+        return self.single + (c - self.single) * self.width
+
+    def end(self, c: np.ndarray | int) -> np.ndarray:
+        return np.minimum(self.begin(c) + self.width, self.symbols)
 
 
 @dataclass
 class Model:
-    """Context scales (ORDER, DIM), input and output vectors, output offsets; the last input row stands for no token."""
+    """Context scales (ORDER, DIM), input vectors of symbols, output vectors and offsets of classes and of symbols in
+    their class; the last input row stands for no token."""
     scale: np.ndarray
     inputs: np.ndarray
     outputs: np.ndarray
     offset: np.ndarray
+    members: np.ndarray
+    bias: np.ndarray
 
     @classmethod
     def start(cls, weight: np.ndarray) -> Model:
-        n, rng = len(weight), np.random.default_rng(7)
-        p = (weight + 0.1) / (weight + 0.1).sum()
-        return cls(np.ones((ORDER, DIM), np.float32), rng.normal(0, 0.1, (n + 1, DIM)).astype(np.float32), rng.normal(0, 0.1, (n, DIM)).astype(np.float32), np.log(p).astype(np.float32))
+        n, rng, classes = len(weight), np.random.default_rng(7), Classes.of(len(weight))
+        p = weight + 0.1
+        of = np.bincount(classes.of_symbol(np.arange(n)), p, minlength=classes.number)
+        small = lambda rows: rng.normal(0, 0.1, (rows, DIM)).astype(np.float32)
+        within = np.log(p / of[classes.of_symbol(np.arange(n))]).astype(np.float32)
+        return cls(np.ones((ORDER, DIM), np.float32), small(n + 1), small(classes.number), np.log(of / of.sum()).astype(np.float32), small(n), within)
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.scale, self.inputs, self.outputs, self.offset]
+        return [self.scale, self.inputs, self.outputs, self.offset, self.members, self.bias]
 
     def context(self, c: np.ndarray) -> np.ndarray:
         return sum(self.inputs[c[:, k]] * self.scale[k] for k in range(ORDER))
 
+    def log_probability(self, c: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of the wanted symbols after contexts c."""
+        classes = Classes.of(len(self.members))
+        of = classes.of_symbol(wanted)
+        out = self.log_softmax(c, of)
+        order = np.argsort(of, kind="stable")
+        edge = np.searchsorted(of[order], np.arange(classes.single, classes.number + 1))
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            lo, hi = int(classes.begin(classes.single + k)), int(classes.end(classes.single + k))
+            for at in range(edge[k], edge[k + 1], 1 << 14):
+                some = order[at : min(at + (1 << 14), edge[k + 1])]
+                s = self.context(c[some]) @ self.members[lo:hi].T + self.bias[lo:hi]
+                s -= s.max(1, keepdims=True)
+                out[some] += s[np.arange(len(some)), wanted[some] - lo] - np.log(np.exp(s).sum(1))
+        return out
+
     def log_softmax(self, c: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Natural log probabilities of the wanted classes after contexts c; each distinct context once."""
         size = len(self.inputs)
@@ -107,12 +161,12 @@ class Model:
         return out
 
 
-def contexts(classes: np.ndarray, index: np.ndarray, none: int) -> np.ndarray:
-    """The ORDER classes before each token of its own text; `none` where there is none."""
-    place = np.arange(len(classes)) - np.repeat(index[:-1], np.diff(index))
-    out = np.full((len(classes), ORDER), none, np.int64)
+def contexts(symbols: np.ndarray, index: np.ndarray, none: int) -> np.ndarray:
+    """The ORDER symbols before each token of its own text; `none` where there is none."""
+    place = np.arange(len(symbols)) - np.repeat(index[:-1], np.diff(index))
+    out = np.full((len(symbols), ORDER), none, np.int64)
     for k in range(ORDER):
-        out[k + 1 :, k] = np.where(place[k + 1 :] > k, classes[: -(k + 1)], none)
+        out[k + 1 :, k] = np.where(place[k + 1 :] > k, symbols[: -(k + 1)], none)
     return out
 
 
@@ -131,22 +185,41 @@ def train(model: Model, c: np.ndarray, wanted: np.ndarray, noise: np.ndarray, me
         memory[k][own] += g * g
         a[own] += rate * g / np.sqrt(memory[k][own])
 
-    log_noise = np.log(noise * NOISE).astype(np.float32)
+    classes = Classes.of(len(noise))
+    of = classes.of_symbol(np.arange(len(noise)))
+    of_class = np.bincount(of, noise, minlength=classes.number)
+    of_class = of_class / of_class.sum()
+    upto = np.concatenate([[0], np.cumsum(noise)])
+    log_noise = np.log(of_class * NOISE).astype(np.float32)
+    shared = np.maximum(of, classes.single)
+    among = upto[classes.end(shared)] - upto[np.minimum(classes.begin(shared), len(noise))]
+    log_among = np.log(np.divide(noise, among, out=np.ones(len(noise)), where=of >= classes.single) * AMONG).astype(np.float32)
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     shuffled = rng.permutation(len(wanted))
-    drawn = np.searchsorted(np.cumsum(noise), rng.random(NOISE * (len(wanted) // BATCH + 1))).clip(0, len(noise) - 1)
+    drawn = np.searchsorted(np.cumsum(of_class), rng.random(NOISE * (len(wanted) // BATCH + 1))).clip(0, classes.number - 1)
     for k, at in enumerate(range(0, len(wanted), BATCH)):
         some = shuffled[at : at + BATCH]
-        w, ctx, q = wanted[some], c[some], drawn[k * NOISE : (k + 1) * NOISE]
+        w, ctx, q = of[wanted[some]], c[some], drawn[k * NOISE : (k + 1) * NOISE]
         r = model.context(ctx)
-        own = (r * model.outputs[w]).sum(1) + model.offset[w] - log_noise[w]
-        other = r @ model.outputs[q].T + model.offset[q] - log_noise[q]
-        up = 1 / (1 + np.exp(np.clip(own, -30, 30)))  # towards the token
-        down = -1 / (1 + np.exp(-np.clip(other, -30, 30)))  # away from the noise
+        up = sigmoid(-((r * model.outputs[w]).sum(1) + model.offset[w] - log_noise[w]))  # towards the token
+        down = -sigmoid(r @ model.outputs[q].T + model.offset[q] - log_noise[q])  # away from the noise
         back = up[:, None] * model.outputs[w] + down @ model.outputs[q]
         n = np.float32(len(some))
         rows = np.concatenate([w, q])
         step(2, rows, np.concatenate([up[:, None] * r, down.T @ r]) / n)
         step(3, rows, np.concatenate([up, down.sum(0)]) / n)
+        inside = np.flatnonzero(w >= classes.single)
+        if len(inside):  # the token against members of its class
+            v, g, x = wanted[some][inside], w[inside], r[inside]
+            lo, hi = upto[classes.begin(g)], upto[classes.end(g)]
+            m = np.searchsorted(upto, lo[:, None] + rng.random((len(v), AMONG)) * (hi - lo)[:, None], side="right") - 1
+            m = np.clip(m, classes.begin(g)[:, None], classes.end(g)[:, None] - 1)
+            up = sigmoid(-((x * model.members[v]).sum(1) + model.bias[v] - log_among[v]))
+            down = -sigmoid(np.einsum("nd,nkd->nk", x, model.members[m]) + model.bias[m] - log_among[m])
+            back[inside] += up[:, None] * model.members[v] + np.einsum("nk,nkd->nd", down, model.members[m])
+            rows = np.concatenate([v, m.ravel()])
+            step(4, rows, np.concatenate([up[:, None] * x, (down[:, :, None] * x[:, None]).reshape(-1, DIM)]) / n)
+            step(5, rows, np.concatenate([up, down.ravel()]) / n)
         for j in range(ORDER):
             step(1, ctx[:, j], back * model.scale[j] / n)
         step(0, None, np.stack([(back * model.inputs[ctx[:, j]]).sum(0) for j in range(ORDER)]) / n)
@@ -155,6 +228,8 @@ def train(model: Model, c: np.ndarray, wanted: np.ndarray, noise: np.ndarray, me
 def count(held: DataFrame) -> tuple[DataFrame, Counts]:
     """(block, bucket, counts): each block's words' training counts in its own order; and the totals."""
     bits = bucket_bits(held)
+    size = held.agg(F.sum(F.col("n_words") + F.col("n_docs"))).first()[0] or 0
+    least = max(1, int(np.ceil(size ** (2 / 3) / OWN)))
 
     def questions(block: Block) -> Iterator[tuple]:
         h, index, rare = tokens(block)
@@ -179,8 +254,7 @@ def count(held: DataFrame) -> tuple[DataFrame, Counts]:
         keys, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
         total = np.bincount(inverse, n, minlength=len(keys)).astype(np.int64)
         rare = rare[first].astype(np.int64)
-        top = np.argsort(-total, kind="stable")[:FREQUENT]
-        top = top[total[top] > 0]
+        top = np.flatnonzero(total >= least)
         full = keys[top] | np.uint64(bucket) << np.uint64(BITS)
         sums = np.concatenate([[total.sum(), (total > 0).sum(), (total == 1).sum()], np.bincount(rare, total, minlength=RARE)]).astype("<i8")
         best = np.concatenate([full.astype("<i8"), total[top], rare[top]]).astype("<i8")
@@ -194,7 +268,6 @@ def count(held: DataFrame) -> tuple[DataFrame, Counts]:
     replies = durable(sent.groupBy("bucket").applyInArrow(answer, "block long, bucket int, n binary, sums binary"))
     def merged(a: list[np.ndarray]) -> np.ndarray:
         best = np.concatenate([x[3 + RARE :].reshape(3, -1).T for x in a])
-        best = best[np.lexsort([best[:, 0].astype(np.uint64), -best[:, 1]])][:FREQUENT]
         return np.concatenate([np.sum([x[: 3 + RARE] for x in a], axis=0), best.T.ravel()])
 
     def merge(t: pa.Table) -> pa.Table:
@@ -207,20 +280,24 @@ def count(held: DataFrame) -> tuple[DataFrame, Counts]:
     a = merged([np.zeros(3 + RARE, np.int64), *(np.frombuffer(expand(r.sums), "<i8") for r in sums.collect())])
     total, best = a[: 3 + RARE], a[3 + RARE :].reshape(3, -1).T
     best = best[np.argsort(best[:, 0].astype(np.uint64))]
-    weight = np.concatenate([np.zeros(FREQUENT, np.int64), total[3:]])
-    weight[: len(best)] = best[:, 1]
-    np.subtract.at(weight, FREQUENT + best[:, 2], best[:, 1])
-    return replies, Counts(int(total[0]), int(total[1]), int(total[2]), best[:, 0].astype(np.uint64), np.arange(len(best)), weight)
+    rest = total[3:].copy()
+    np.subtract.at(rest, best[:, 2], best[:, 1])
+    weight = np.concatenate([best[:, 1], rest])
+    order = np.argsort(-weight, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return replies, Counts(int(total[0]), int(total[1]), int(total[2]), best[:, 0].astype(np.uint64), rank[: len(best)], rank[len(best) :], weight[order])
 
 
 def fit(held: DataFrame, counts: Counts, bits: int) -> Model:
-    """The average of the shards' models, each trained on every training token of its documents. Documents fall to shards
-    by their ids and are taken in one order there, so that the partitions of the input change nothing."""
-    start = Model.start(counts.weight)
+    """A model that every training token has trained once, in ROUNDS averages over shards. Documents fall to shards and
+    rounds by their ids and are taken in one order there, so that the partitions of the input change nothing."""
+    model = Model.start(counts.weight)
+    state = [*model.arrays(), *(np.full(a.shape, 1e-6, np.float32) for a in model.arrays())]  # with the squares of the steps
     noise = np.maximum(counts.weight, 0.1) ** 0.75
     noise = noise / noise.sum()
     shards = max(1, -(-counts.total // SHARD))
-    dealt_kinds = pa.schema([("shard", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("classes", pa.binary())])
+    dealt_kinds = pa.schema([("turn", pa.int64()), ("shard", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("symbols", pa.binary())])
     kinds = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("n", pa.int64()), ("values", pa.binary())])
     ddl = "part int, shard long, n long, values binary"
 
@@ -229,31 +306,35 @@ def fit(held: DataFrame, counts: Counts, bits: int) -> Model:
             for k in range(b.num_rows):
                 block = Block.of(b, k)
                 h, index, rare = tokens(block)
-                classes = counts.classes(short(h, bits), rare).astype("<u2")
-                by: dict[int, list[int]] = {}
+                symbols = counts.symbols(short(h, bits), rare).astype("<u4")
+                by: dict[tuple[int, int], list[int]] = {}
                 for d in np.flatnonzero(~held_out(block.doc_ids)).tolist():
-                    by.setdefault(zlib.crc32(str(block.doc_ids[d]).encode()) // FOLDS % shards, []).append(d)
+                    turn, shard = divmod(zlib.crc32(str(block.doc_ids[d]).encode()) // FOLDS, shards)
+                    by.setdefault((turn % ROUNDS, shard), []).append(d)
                 size = np.diff(index)
-                found = [(s, block.doc_ids[ds].astype("<i8").tobytes(), size[ds].astype("<i8").tobytes(), squeeze(b"".join(classes[index[d] : index[d + 1]].tobytes() for d in ds))) for s, ds in by.items()]
+                found = [(t, s, block.doc_ids[ds].astype("<i8").tobytes(), size[ds].astype("<i8").tobytes(), planes(np.concatenate([symbols[index[d] : index[d + 1]] for d in ds]), 4)) for (t, s), ds in by.items()]
                 if found:
                     yield from table_of(found, dealt_kinds).to_batches()
 
-    def learn(t: pa.Table) -> pa.Table:
-        shard = t.column("shard")[0].as_py()
-        docs, sizes = (np.concatenate([np.frombuffer(x, "<i8") for x in t.column(c).to_pylist()]) for c in ("docs", "sizes"))
-        flat = np.concatenate([np.frombuffer(expand(x), "<u2") for x in t.column("classes").to_pylist()])
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        order = sorted(range(len(docs)), key=lambda d: (int(docs[d]), flat[ends[d] : ends[d + 1]].tobytes()))
-        order = np.array(order)[np.random.default_rng(shard).permutation(len(order))]
-        model = Model(*[a.copy() for a in start.arrays()])
-        memory, at, piece = [np.full(a.shape, 1e-6, np.float32) for a in model.arrays()], 0, 0
-        while at < len(order):  # documents of about PIECE tokens at a time
-            to = max(at + 1, int(np.searchsorted(np.cumsum(sizes[order[at:]]), PIECE)) + at)
-            some = order[at:to]
-            classes = np.concatenate([flat[ends[d] : ends[d + 1]] for d in some.tolist()]).astype(np.int64)
-            train(model, contexts(classes, np.concatenate([[0], np.cumsum(sizes[some])]), len(counts.weight)), classes, noise, memory, np.random.default_rng([shard, piece]))
-            at, piece = to, piece + 1
-        return table_of([(k, shard, int(sizes.sum()), squeeze(a.astype("<f4"))) for k, a in enumerate(model.arrays())], kinds)
+    def learner(turn: int, state: list[np.ndarray]):
+        def learn(t: pa.Table) -> pa.Table:
+            shard = t.column("shard")[0].as_py()
+            docs, sizes = (np.concatenate([np.frombuffer(x, "<i8") for x in t.column(c).to_pylist()]) for c in ("docs", "sizes"))
+            flat = np.concatenate([unplanes(x, 4).astype("<u4") for x in t.column("symbols").to_pylist()])
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            order = sorted(range(len(docs)), key=lambda d: (int(docs[d]), flat[ends[d] : ends[d + 1]].tobytes()))
+            order = np.array(order)[np.random.default_rng([turn, shard]).permutation(len(order))]
+            own = [a.copy() for a in state]
+            model, memory, at, piece = Model(*own[: len(own) // 2]), own[len(own) // 2 :], 0, 0
+            while at < len(order):  # documents of about PIECE tokens at a time
+                to = max(at + 1, int(np.searchsorted(np.cumsum(sizes[order[at:]]), PIECE)) + at)
+                some = order[at:to]
+                symbols = np.concatenate([flat[ends[d] : ends[d + 1]] for d in some.tolist()]).astype(np.int64)
+                train(model, contexts(symbols, np.concatenate([[0], np.cumsum(sizes[some])]), len(counts.weight)), symbols, noise, memory, np.random.default_rng([turn, shard, piece]))
+                at, piece = to, piece + 1
+            return table_of([(k, shard, int(sizes.sum()), squeeze(a.astype("<f4"))) for k, a in enumerate(own)], kinds)
+
+        return learn
 
     def average(t: pa.Table) -> pa.Table:
         rows = sorted(zip(t.column("shard").to_pylist(), t.column("n").to_pylist(), t.column("values").to_pylist(), strict=True))
@@ -261,13 +342,14 @@ def fit(held: DataFrame, counts: Counts, bits: int) -> Model:
         a = sum(n / total * np.frombuffer(expand(v), "<f4").astype(float) for _, n, v in rows)
         return table_of([(t.column("part")[0].as_py(), rows[0][0] // WIDTH, total, squeeze(a.astype("<f4")))], kinds)
 
-    models, left = held.mapInArrow(deal, "shard long, docs binary, sizes binary, classes binary").groupBy("shard").applyInArrow(learn, ddl), shards
-    while True:  # WIDTH models become one, until one is left
-        models, left = models.groupBy("part", F.floor(F.col("shard") / WIDTH)).applyInArrow(average, ddl), -(-left // WIDTH)
-        if left == 1:
-            break
-    got = {r.part: np.frombuffer(expand(r["values"]), "<f4") for r in models.collect()}
-    return Model(*[got[k].reshape(a.shape) if k in got else a for k, a in enumerate(start.arrays())])
+    dealt = durable(held.mapInArrow(deal, "turn long, shard long, docs binary, sizes binary, symbols binary"))
+    for turn in range(ROUNDS):
+        models, left = dealt.where(F.col("turn") == turn).groupBy("shard").applyInArrow(learner(turn, state), ddl), shards
+        while left > 1:  # WIDTH models become one, until one is left
+            models, left = models.groupBy("part", F.floor(F.col("shard") / WIDTH)).applyInArrow(average, ddl), -(-left // WIDTH)
+        got = {r.part: np.frombuffer(expand(r["values"]), "<f4") for r in models.collect()}
+        state = [got[k].reshape(a.shape).copy() if k in got else a for k, a in enumerate(state)]
+    return Model(*state[: len(state) // 2])
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -288,11 +370,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
         c = np.concatenate([unplanes(n[b], 5) for b in sorted(n)]).astype(np.int64)[np.unique(key, return_inverse=True)[1]]
         base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
         if total:
-            classes = counts.classes(key, rare)
-            p = model.log_softmax(contexts(classes, index, len(counts.weight)), classes) / np.log(10)
+            symbols = counts.symbols(key, rare)
+            p = model.log_probability(contexts(symbols, index, len(counts.weight)), symbols) / np.log(10)
             known = c > 0
             value = np.full(len(c), np.log10(unseen))
-            value[known] = np.log10(1 - unseen) + p[known] + np.log10(c[known] / counts.weight[classes[known]])
+            value[known] = np.log10(1 - unseen) + p[known] + np.log10(c[known] / counts.weight[symbols[known]])
         else:
             value = base
         sums = lambda x: np.add.reduceat(x, index[:-1]) if len(x) else np.zeros(0)  # noqa: E731  every text has a token

@@ -195,15 +195,42 @@ def test_scores_do_not_depend_on_partitions(spark, documents, monkeypatch):
 
 
 def test_model_is_normalised_and_beats_the_base(spark):
-    m = lm.Model.start(np.arange(10.0))
-    c = np.array([[3, 10], [0, 1]])
-    p = np.stack([np.exp(m.log_softmax(c, np.full(2, k))) for k in range(10)])
-    assert np.allclose(p.sum(0), 1)
+    for n in (1, 10, 60):  # every symbol, those in classes with others included
+        m = lm.Model.start(np.arange(float(n))[::-1])
+        c = np.array([[n // 3, n], [0, n // 2]])
+        p = np.stack([np.exp(m.log_probability(c, np.full(2, k))) for k in range(n)])
+        assert np.allclose(p.sum(0), 1)
     p = lm.op5_log_bilinear(spark, SF).toPandas()
     q = p[p.held_out]
     assert q.score.sum() > q.base_score.sum()
 
 
+def test_training_learns_members_of_classes():
+    rng, n = np.random.default_rng(1), 100
+    before = rng.integers(0, n, 60_000)
+    wanted = (before + 1) % n  # the next symbol follows from the one before
+    c = np.stack([before, np.full(len(before), n)], 1)
+    m = lm.Model.start(np.ones(n))
+    memory = [np.full(a.shape, 1e-6, np.float32) for a in m.arrays()]
+    start = m.log_probability(c, wanted).mean()
+    for k in range(4):
+        lm.train(m, c, wanted, np.full(n, 1 / n), memory, np.random.default_rng(k))
+    assert start < -4 and m.log_probability(c, wanted).mean() > -2
+    members = wanted >= lm.Classes.of(n).single
+    assert m.log_probability(c[members], wanted[members]).mean() > -2.5
+
+
+def test_symbols_grow_with_the_table(spark, monkeypatch):
+    texts = [(i, " ".join(f"w{(i * 31 + k * k) % 400}" for k in range(200))) for i in range(60)]
+
+    def own(rows):
+        return len(lm.count(lm.blocks(spark.createDataFrame(rows, "doc_id long, text string")))[1].frequent)
+
+    monkeypatch.setattr(lm, "OWN", 8)
+    few, many = own(texts[:10]), own(texts)
+    assert 0 < few < many <= 8 * (61 * 201) ** (1 / 3)
+
+
 BASE = {"assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8), "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 16), "hex": (re.compile(r"[0-9a-f]+"), 0, 32)}
 SECRETS = [None, "", "token=token:abcdefgh1", "PassWord : 'abcdefgh' x", "api_key=short apikey=\"longenough/+=.\"", "AKIA" + "Z" * 11, "AKIA" + "Z" * 12 + " é AKIA", "é" * 5 + "0123456789abcdef" * 3 + "g", "f" * 31, "secret=" + "deadbeef" * 8, "ghp_" + "a" * 36, "secret==abcdefgh secret=abc secret=abcdefghi", "x" * 50000 + " token=abcdefghij"]
 
