@@ -35,7 +35,7 @@ from .exchange import BITS, Block, ask, blocks, bucket_bits, expand, pack_keys,
 
 #: Factor of the words that are symbols; symbols of other words by their last TAIL bytes; vector length; tokens before;
 #: batch; noise classes of a batch; noise members of a token; rounds of training.
-OWN, RARE, TAIL, DIM, ORDER, BATCH, NOISE, AMONG, ROUNDS = 64, 384, 3, 16, 2, 4096, 64, 4, 4
+OWN, RARE, TAIL, DIM, ORDER, BATCH, NOISE, AMONG, ROUNDS = 64, 384, 3, 16, 2, 4096, 64, 2, 4
 #: Training tokens of a shard, about, and of a piece of it; what is merged into one at a time.
 SHARD, PIECE, WIDTH = 1 << 21, 1 << 19, 64
 FOLDS = 10
@@ -173,17 +173,18 @@ def contexts(symbols: np.ndarray, index: np.ndarray, none: int) -> np.ndarray:
 def train(model: Model, c: np.ndarray, wanted: np.ndarray, noise: np.ndarray, memory: list[np.ndarray], rng: np.random.Generator, rate: float = 0.1) -> None:
     """One pass of noise-contrastive estimation: each token against noise classes drawn once for its batch."""
 
-    def step(k: int, rows: np.ndarray | None, g: np.ndarray) -> None:
-        a = model.arrays()[k]
-        if rows is None:
-            memory[k] += g * g
-            a += rate * g / np.sqrt(memory[k])
-            return
+    def step(rows: np.ndarray, *changes: tuple[int, np.ndarray]) -> None:
+        """Adds changes (which array, what to each of its rows): those of one row are summed first."""
+        rows = rows.astype(np.min_scalar_type(len(model.inputs)))  # short ones sort faster
         order = np.argsort(rows, kind="stable")
-        own, first = np.unique(rows[order], return_index=True)
-        g = np.add.reduceat(g[order], first, axis=0)
-        memory[k][own] += g * g
-        a[own] += rate * g / np.sqrt(memory[k][own])
+        own = rows[order]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        own = own[first]
+        for k, g in changes:
+            g = np.add.reduceat(g[order], first, axis=0)
+            squares = memory[k][own] + g * g
+            memory[k][own] = squares
+            model.arrays()[k][own] += rate * g / np.sqrt(squares)
 
     classes = Classes.of(len(noise))
     of = classes.of_symbol(np.arange(len(noise)))
@@ -205,9 +206,7 @@ def train(model: Model, c: np.ndarray, wanted: np.ndarray, noise: np.ndarray, me
         down = -sigmoid(r @ model.outputs[q].T + model.offset[q] - log_noise[q])  # away from the noise
         back = up[:, None] * model.outputs[w] + down @ model.outputs[q]
         n = np.float32(len(some))
-        rows = np.concatenate([w, q])
-        step(2, rows, np.concatenate([up[:, None] * r, down.T @ r]) / n)
-        step(3, rows, np.concatenate([up, down.sum(0)]) / n)
+        step(np.concatenate([w, q]), (2, np.concatenate([up[:, None] * r, down.T @ r]) / n), (3, np.concatenate([up, down.sum(0)]) / n))
         inside = np.flatnonzero(w >= classes.single)
         if len(inside):  # the token against members of its class
             v, g, x = wanted[some][inside], w[inside], r[inside]
@@ -217,12 +216,10 @@ def train(model: Model, c: np.ndarray, wanted: np.ndarray, noise: np.ndarray, me
             up = sigmoid(-((x * model.members[v]).sum(1) + model.bias[v] - log_among[v]))
             down = -sigmoid(np.einsum("nd,nkd->nk", x, model.members[m]) + model.bias[m] - log_among[m])
             back[inside] += up[:, None] * model.members[v] + np.einsum("nk,nkd->nd", down, model.members[m])
-            rows = np.concatenate([v, m.ravel()])
-            step(4, rows, np.concatenate([up[:, None] * x, (down[:, :, None] * x[:, None]).reshape(-1, DIM)]) / n)
-            step(5, rows, np.concatenate([up, down.ravel()]) / n)
+            step(np.concatenate([v, m.ravel()]), (4, np.concatenate([up[:, None] * x, (down[:, :, None] * x[:, None]).reshape(-1, DIM)]) / n), (5, np.concatenate([up, down.ravel()]) / n))
         for j in range(ORDER):
-            step(1, ctx[:, j], back * model.scale[j] / n)
-        step(0, None, np.stack([(back * model.inputs[ctx[:, j]]).sum(0) for j in range(ORDER)]) / n)
+            step(ctx[:, j], (1, back * model.scale[j] / n))
+        step(np.arange(ORDER), (0, np.stack([(back * model.inputs[ctx[:, j]]).sum(0) for j in range(ORDER)]) / n))
 
 
 def count(held: DataFrame) -> tuple[DataFrame, Counts]:

@@ -221,7 +221,7 @@ def test_training_learns_members_of_classes():
 
 
 def test_symbols_grow_with_the_table(spark, monkeypatch):
-    texts = [(i, " ".join(f"w{(i * 31 + k * k) % 400}" for k in range(200))) for i in range(60)]
+    texts = [(i, " ".join(f"w{(i * 7919 + k * 104729) % (k + 1)}" for k in range(200))) for i in range(60)]
 
     def own(rows):
         return len(lm.count(lm.blocks(spark.createDataFrame(rows, "doc_id long, text string")))[1].frequent)
