@@ -35,7 +35,7 @@ from .exchange import BITS, Block, ask, blocks, bucket_bits, expand, pack_keys,
 
 #: Factor of the words that are symbols; symbols of other words by their last TAIL bytes; vector length; tokens before;
 #: batch; noise classes of a batch; noise members of a token; rounds of training.
-OWN, RARE, TAIL, DIM, ORDER, BATCH, NOISE, AMONG, ROUNDS = 64, 384, 3, 16, 2, 4096, 64, 2, 4
+OWN, RARE, TAIL, DIM, ORDER, BATCH, NOISE, AMONG, ROUNDS = 64, 384, 3, 16, 2, 4096, 32, 2, 4
 #: Training tokens of a shard, about, and of a piece of it; what is merged into one at a time.
 SHARD, PIECE, WIDTH = 1 << 21, 1 << 19, 64
 FOLDS = 10
@@ -130,35 +130,36 @@ class Model:
         return sum(self.inputs[c[:, k]] * self.scale[k] for k in range(ORDER))
 
     def log_probability(self, c: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of the wanted symbols after contexts c."""
-        classes = Classes.of(len(self.members))
-        of = classes.of_symbol(wanted)
-        out = self.log_softmax(c, of)
+        """Natural log probabilities of the wanted symbols after contexts c; each distinct context's vector once."""
+        size, classes = len(self.inputs), Classes.of(len(self.members))
+        code, inverse = np.unique(c @ (size ** np.arange(ORDER)), return_inverse=True)
+        r = self.context(np.stack([code // size**k % size for k in range(ORDER)], 1))
+        of, out = classes.of_symbol(wanted), np.empty(len(wanted))
+        order = np.argsort(inverse, kind="stable")
+        edge = np.searchsorted(inverse[order], np.arange(0, len(r) + 2048, 2048))
+        for k in range(0, len(r), 2048):
+            s, z = log_sums(r[k : k + 2048], self.outputs, self.offset)
+            some = order[edge[k // 2048] : edge[k // 2048 + 1]]
+            out[some] = s[inverse[some] - k, of[some]] - z[inverse[some] - k]
         order = np.argsort(of, kind="stable")
         edge = np.searchsorted(of[order], np.arange(classes.single, classes.number + 1))
         for k in np.flatnonzero(np.diff(edge)).tolist():
             lo, hi = int(classes.begin(classes.single + k)), int(classes.end(classes.single + k))
-            for at in range(edge[k], edge[k + 1], 1 << 14):
-                some = order[at : min(at + (1 << 14), edge[k + 1])]
-                s = self.context(c[some]) @ self.members[lo:hi].T + self.bias[lo:hi]
-                s -= s.max(1, keepdims=True)
-                out[some] += s[np.arange(len(some)), wanted[some] - lo] - np.log(np.exp(s).sum(1))
+            for at in range(edge[k], edge[k + 1], 4096):
+                some = order[at : min(at + 4096, edge[k + 1])]
+                s, z = log_sums(r[inverse[some]], self.members[lo:hi], self.bias[lo:hi])
+                out[some] += s[np.arange(len(some)), wanted[some] - lo] - z
         return out
 
-    def log_softmax(self, c: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of the wanted classes after contexts c; each distinct context once."""
-        size = len(self.inputs)
-        code, inverse = np.unique(c @ (size ** np.arange(ORDER)), return_inverse=True)
-        c = np.stack([code // size**k % size for k in range(ORDER)], 1)
-        out, order = np.empty(len(wanted)), np.argsort(inverse, kind="stable")
-        edge = np.searchsorted(inverse[order], np.arange(0, len(c) + 2048, 2048))
-        for k in range(0, len(c), 2048):
-            s = self.context(c[k : k + 2048]) @ self.outputs.T + self.offset
-            s -= s.max(1, keepdims=True)
-            z = np.log(np.exp(s).sum(1))
-            some = order[edge[k // 2048] : edge[k // 2048 + 1]]
-            out[some] = s[inverse[some] - k, wanted[some]] - z[inverse[some] - k]
-        return out
+
+def log_sums(r: np.ndarray, vectors: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, the logarithm of the sum of their exponentials) for each row of r."""
+    s = r @ vectors.T + offset
+    bound = np.sqrt((r * r).sum(1).max() * (vectors * vectors).sum(1).max()) + np.abs(offset).max()
+    if bound > 60:  # exponentials might leave single precision
+        top = s.max(1)
+        return s, top + np.log(np.exp(s - top[:, None]).sum(1))
+    return s, np.log(np.exp(s).sum(1))
 
 
 def contexts(symbols: np.ndarray, index: np.ndarray, none: int) -> np.ndarray:
