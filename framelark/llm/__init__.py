@@ -4,7 +4,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> function of session and folder) and ORACLE (name -> DuckDB SQL).
-MODULES = ["substrings", "packing", "jaccard", "language", "lm", "pieces", "gif", "secrets", "html", "neighbours", "clustering", "quality"]
+MODULES = ["substrings", "packing", "jaccard", "language", "lm", "pieces", "gif", "secrets", "html", "neighbours", "clustering", "quality", "divergence"]
 
 
 def queries() -> dict:
