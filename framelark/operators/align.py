@@ -1,14 +1,13 @@
 """Alignment of two feature series by dynamic time warping, and what follows from a frame mapping."""
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InsufficientDataError
 from ..functions.columns import cosine_distance, euclidean_distance, frame_name
 from ..sources.tables import positions
+from .warping import banded_path, tiled_path
 
 
 def cost_rows(a: DataFrame, b: DataFrame, keys: list[str], dist: str = "cosine", radius: int | None = None) -> DataFrame:
@@ -25,59 +24,10 @@ def cost_rows(a: DataFrame, b: DataFrame, keys: list[str], dist: str = "cosine",
     return wanted.join(b.withColumnRenamed("vec", "_b"), [*keys, "j"]).select(*keys, "i", "j", measure(F.col("_a"), F.col("_b")).alias("cost"))
 
 
-def warp(a: np.ndarray, b: np.ndarray, dist: str = "cosine", radius: int | None = None) -> tuple[float, list[tuple[int, int]]]:
-    """(cost, path) of the cheapest monotone path; on ties a step in a, then in b, then in both goes first.
-
-    Anti-diagonals are computed at once; a byte for each cell keeps the step. With a radius, cells farther from the
-    diagonal are closed.
-    """
-    n, m = len(a), len(b)
-    step = np.zeros((n, m), np.int8)
-    before, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)  # by i + 1, of the two diagonals in front
-    total = 0.0
-    for d in range(n + m - 1):
-        i = np.arange(max(0, d - m + 1), min(n, d + 1))
-        j = d - i
-        x, y = a[i], b[j]
-        if dist == "cosine":
-            c = 1.0 - (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-        else:
-            c = np.sqrt(((x - y) ** 2).sum(1))
-        if radius is not None:
-            c = np.where(np.abs(i * max(m - 1, 1) / max(n - 1, 1) - j) <= max(radius, m / n), c, np.inf)
-        options = np.stack([last[i], last[i + 1], before[i]])  # from (i-1, j), (i, j-1), (i-1, j-1)
-        if d == 0:
-            options[2] = 0.0
-        best = options.argmin(0)
-        now = np.full(n + 1, np.inf)
-        now[i + 1] = options[best, np.arange(len(i))] + c
-        step[i, j] = best
-        before, last = last, now
-        total = float(now[n])
-    path, i, j = [], n - 1, m - 1
-    while i >= 0 and j >= 0:
-        path.append((i, j))
-        if i == 0 and j == 0:
-            break
-        k = step[i, j]
-        i, j = i - (k != 1), j - (k != 0)
-    return total, path[::-1]
-
-
 def align_series(a: DataFrame, b: DataFrame, keys: list[str], dist: str = "cosine", radius: int | None = None) -> DataFrame:
-    """(keys, i, j, cost): the warping path of each recording's two series (keys, i, vec) and (keys, j, vec). A path runs
-    through its whole recording, so a recording is one task: its directions take one byte for each pair of frames."""
-
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=[*keys, "i", "j", "cost"])
-        left, right = left.sort_values("i"), right.sort_values("j")
-        total, path = warp(np.stack(left["vec"]).astype(float), np.stack(right["vec"]).astype(float), dist, radius)
-        i, j = np.array(path).T
-        return pd.DataFrame({**{k: left[k].iloc[0] for k in keys}, "i": left["i"].to_numpy()[i], "j": right["j"].to_numpy()[j], "cost": total})
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in a.select(*keys).schema)
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(one, f"{schema}, i long, j long, cost double")
+    """(keys, i, j, cost): the cheapest path of each recording's two series (keys, i, vec) and (keys, j, vec), tile by
+    tile; with a radius, the cheapest of those near the diagonal."""
+    return tiled_path(a, b, keys, dist) if radius is None else banded_path(a, b, keys, radius, dist)
 
 
 def frame_mapping(path: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import basename, bgra_to_rgb, clean_depth, frame_name, raw_frame_name, signed, stem
-from ..operators import align, series
+from ..operators import align, series, warping
 from ..sources.sinks import copy_manifest, mapping_object
 from ..sources.tables import mapping_entries, positions
 from ._common import table
@@ -115,6 +115,16 @@ def dtw_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.frame_mapping(p, ["dataset"])
 
 
+def dtw_fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = warping.fast_path(features(spark, sf_dir, 0, "i"), features(spark, sf_dir, 1, "j"), ["dataset"])
+    return p.select("dataset", "i", "j", F.round("cost", 6).alias("cost"))
+
+
+def dtw_euclidean_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = align.align_series(features(spark, sf_dir, 0, "i"), features(spark, sf_dir, 1, "j"), ["dataset"], "euclidean")
+    return align.frame_mapping(p, ["dataset"])
+
+
 def frame_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey") * 37
     return table(spark, sf_dir, "orders").select("o_orderkey", frame_name(key).alias("name"), raw_frame_name(F.lower("o_orderstatus"), key).alias("raw_name"), signed(F.col("o_totalprice")).alias("signed"))
@@ -154,9 +164,20 @@ _COSINE = f"""e AS (SELECT (label // 2) || '-' || (vec_id // {RUN}) AS dataset,
 a AS (SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS u FROM e WHERE label % 2 = 0),
 b AS (SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY vec_id) - 1 AS j, embedding::DOUBLE[] AS v FROM e WHERE label % 2 = 1)"""
 _LISTED = ", ".join(f"{n} AS (SELECT {x}key // {RUN} AS dataset, {c} AS p, row_number() OVER (PARTITION BY {x}key // {RUN} ORDER BY {c}) AS k FROM {t})" for n, t, c, x in (("s", "customer", "c_name", "c_cust"), ("z", "supplier", "s_name", "s_supp"), ("d", "part", "p_name", "p_part")))
+#: A cell knows the accumulated costs above and to the left of it, as these are in the corner of cells that follow.
+_EXACT = {"cosine": "1 - list_dot_product(u, v) / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v)))", "euclidean": "list_distance(u, v)"}
+_WARPED = {dist: f"""WITH RECURSIVE {_COSINE},
+c AS MATERIALIZED (SELECT dataset, i, j, i + j AS d, {cost} AS c FROM a JOIN b USING (dataset)),
+w AS (SELECT dataset, i, j, d, c AS total, 'infinity'::DOUBLE AS up, 'infinity'::DOUBLE AS back, 2 AS step FROM c WHERE d = 0
+UNION ALL SELECT dataset, i, j, d, c + least(up, back, corner), up, back, CASE WHEN up <= least(back, corner) THEN 0 WHEN back <= corner THEN 1 ELSE 2 END
+  FROM (SELECT c.dataset, c.i, c.j, c.d, any_value(c.c) AS c, min(CASE WHEN w.i < c.i THEN w.total ELSE 'infinity' END) AS up, min(CASE WHEN w.j < c.j THEN w.total ELSE 'infinity' END) AS back, min(CASE WHEN w.i < c.i THEN w.back ELSE w.up END) AS corner
+    FROM w JOIN c ON c.dataset = w.dataset AND c.d = w.d + 1 AND c.i - w.i IN (0, 1) GROUP BY ALL)),
+made AS MATERIALIZED (SELECT * FROM w),
+p AS (SELECT dataset, i, j, step, total AS cost FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY d DESC) AS k FROM made) WHERE k = 1
+UNION ALL SELECT e.dataset, e.i, e.j, e.step, p.cost FROM p JOIN made e ON e.dataset = p.dataset AND e.i = p.i - CASE WHEN p.step = 1 THEN 0 ELSE 1 END AND e.j = p.j - CASE WHEN p.step = 0 THEN 0 ELSE 1 END)""" for dist, cost in _EXACT.items()}
 _COST = "round(1 - list_dot_product(u, v) / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v))), 6)"
 
-QUERIES = {f.__name__: f for f in (savgol_mapping, monotone_mapping, drift_series, mapping_comparison_lines, mapping_mismatch_count, mapping_json_object, json_map_rows, sample_every_nth, listing_positions, sync_manifest, zip_by_position, last_write_wins, cosine_cost, cosine_cost_band, dtw_path, dtw_mapping, frame_names, path_parts, copy_list, depth_cleanup, pixel_channels)}
+QUERIES = {f.__name__: f for f in (savgol_mapping, monotone_mapping, drift_series, mapping_comparison_lines, mapping_mismatch_count, mapping_json_object, json_map_rows, sample_every_nth, listing_positions, sync_manifest, zip_by_position, last_write_wins, cosine_cost, cosine_cost_band, dtw_path, dtw_mapping, dtw_fast_path, dtw_euclidean_mapping, frame_names, path_parts, copy_list, depth_cleanup, pixel_channels)}
 ORACLE = {
     "savgol_mapping": f"WITH {_SG} SELECT sony_idx, zed_idx, round(smooth, 6) AS smooth FROM f",
     "monotone_mapping": f"WITH {_SG} SELECT sony_idx, zed_idx, zed_smooth FROM f",
@@ -174,6 +195,9 @@ SELECT dataset, printf('%05d.png', a) AS name, s.p AS sony_path, z.p AS zed_rgb_
     "last_write_wins": "SELECT l_orderkey, max_by(l_partkey, l_linenumber * 10000000 + l_partkey) AS l_partkey FROM lineitem GROUP BY 1",
     "cosine_cost": f"WITH {_COSINE} SELECT dataset, i, j, {_COST} AS cost FROM a JOIN b USING (dataset)",
     "cosine_cost_band": f"WITH {_COSINE}, n AS (SELECT dataset, m, n FROM (SELECT dataset, max(i) AS m FROM a GROUP BY 1) JOIN (SELECT dataset, max(j) AS n FROM b GROUP BY 1) USING (dataset)) SELECT dataset, i, j, {_COST} AS cost FROM a JOIN b USING (dataset) JOIN n USING (dataset) WHERE abs(round(i * n / greatest(m, 1), 0)::BIGINT - j) <= 3",
+    "dtw_path": f"{_WARPED['cosine']} SELECT dataset, i, j, round(cost, 6) AS cost FROM p",
+    "dtw_mapping": f"{_WARPED['cosine']} SELECT dataset, i + 1 AS sony_idx, max(j) + 1 AS zed_idx FROM p GROUP BY ALL",
+    "dtw_euclidean_mapping": f"{_WARPED['euclidean']} SELECT dataset, i + 1 AS sony_idx, max(j) + 1 AS zed_idx FROM p GROUP BY ALL",
     "frame_names": "SELECT o_orderkey, printf('%05d.png', o_orderkey * 37) AS name, lower(o_orderstatus) || printf('_rgb_%05d.png', o_orderkey * 37) AS raw_name, printf('%+.3f', o_totalprice) AS signed FROM orders",
     "path_parts": "SELECT page_id, split_part(url, '/', -1) AS base, split_part(split_part(url, '/', -1), '.', 1) AS stem FROM pages",
     "copy_list": "SELECT url AS src, 'synced/' || printf('%05d.png', page_id) AS dst FROM pages",

@@ -80,26 +80,6 @@ def test_rounding_and_names(spark):
     assert one(spark, columns.is_image(F.lit("A.JPG"))) is True
 
 
-def test_warp_against_plain_dynamic_programming():
-    rng = np.random.default_rng(1)
-    for n, m in ((1, 1), (1, 5), (6, 1), (9, 7), (20, 33)):
-        a, b = rng.normal(size=(n, 4)), rng.normal(size=(m, 4))
-        d = 1 - (a @ b.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
-        t = np.full((n + 1, m + 1), np.inf)
-        t[0, 0] = 0
-        for i in range(n):
-            for j in range(m):
-                t[i + 1, j + 1] = d[i, j] + min(t[i, j + 1], t[i + 1, j], t[i, j])
-        cost, path = align.warp(a, b)
-        assert cost == pytest.approx(t[n, m])
-        assert path[0] == (0, 0) and path[-1] == (n - 1, m - 1)
-        assert sum(d[i, j] for i, j in path) == pytest.approx(cost)
-        assert all((x[0] - y[0], x[1] - y[1]) in ((1, 0), (0, 1), (1, 1)) for y, x in zip(path, path[1:], strict=False))
-        assert align.warp(a, b, radius=100)[0] == pytest.approx(cost)
-    x = rng.normal(size=(12, 4))
-    assert align.warp(x, x)[1] == [(k, k) for k in range(12)]
-
-
 def test_path_to_mapping_takes_the_last(spark):
     path = spark.createDataFrame([("d", 0, 0), ("d", 0, 1), ("d", 1, 2)], "dataset string, i long, j long")
     assert sorted((r.sony_idx, r.zed_idx) for r in align.frame_mapping(path, ["dataset"]).collect()) == [(1, 2), (2, 3)]
