@@ -39,17 +39,18 @@ def terms(text: str) -> list[bytes]:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs) of rows (lang, source, text); each group has a row with a null term and n of 0."""
+    """(lang, source, term, n, docs) of rows (lang, source, text), in parts to be added up; each group has rows with a null
+    term and n of 0."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[tuple[str, str], Counter] = {}
         docs: dict[tuple[str, str], Counter] = {}
         held = 0  # rows so far, at most
 
-        def out() -> pa.RecordBatch:
-            flat = [(*g, t.decode(), c, docs[g][t]) for g, own in n.items() for t, c in own.items()] + [(*g, None, 0, 0) for g in n]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in flat], kind) for k, kind in enumerate(kinds)], names=["lang", "source", "term", "n", "docs"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, source), own in n.items():
+                columns = [pa.array([*own, None], pa.binary()).cast(pa.string()), pa.array([*own.values(), 0], pa.int64()), pa.array([*map(docs[lang, source].__getitem__, own), 0], pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(own) + 1), pa.repeat(source, len(own) + 1), *columns], names=["lang", "source", "term", "n", "docs"])
 
         for b in batches:
             for lang, source, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
@@ -59,15 +60,14 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 docs.setdefault(group, Counter()).update(own)
                 held += len(own) + 1
                 if held >= HELD and (held := sum(map(len, n.values()))) >= HELD // 2:
-                    yield out()
+                    yield from out()
                     n.clear()
                     docs.clear()
                     held = 0
         if n:
-            yield out()
+            yield from out()
 
-    parts = docs.select(*[F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")]).mapInArrow(rows, "lang string, source string, term string, n long, docs long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return docs.select(*[F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")]).mapInArrow(rows, "lang string, source string, term string, n long, docs long")
 
 
 def share(count: str, total: str) -> str:
@@ -88,15 +88,26 @@ def shares(count: np.ndarray, total: int) -> np.ndarray:
     return p + 1
 
 
-def kept_counts(counts: DataFrame, least: int = LEAST_DOCS, size: int = TERMS) -> DataFrame:
-    """(lang, source, term, n, total, in_lang, n_terms, block, place, width): the rows of kept terms. total: in all of the
-    language; in_lang: of all its kept terms; n_terms: how many it keeps. A term has a place in a block of `width` ones."""
-    kept = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs")
+def wanted_counts(parts: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
+    """(lang, source, term, n, total): the sums of terms that `least` documents of their language hold, and the groups' rows
+    with null terms. total: in all of the language. One shuffle deals out terms, which is all that both sums need."""
+    sums = parts.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = W.partitionBy("lang", "term")
+    both = sums.withColumns({"total": F.sum("n").over(term), "in_docs": F.sum("docs").over(term)})
+    return both.where((F.col("in_docs") >= least) | F.col("term").isNull()).select("lang", "source", "term", "n", "total")
+
+
+def kept_counts(wanted: DataFrame, size: int = TERMS) -> DataFrame:
+    """(lang, source, term, n, total, in_lang, n_terms, block, place, width) of kept terms. in_lang: what all of the language's
+    sum to; n_terms: how many it keeps. A term has a place in a block of `width` ones."""
+    rows = wanted.where("term IS NOT NULL")
+    kept = rows.groupBy("lang", "term").agg(F.first("total").alias("total"))
     langs = kept.groupBy("lang").agg(F.sum("total").alias("in_lang"), F.count("*").alias("n_terms"))
-    dealt = kept.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.ceil(F.col("n_terms") / size)).cast("int"))
+    # dealt out anew, as the join may have left a whole language in one task
+    dealt = kept.drop("total").join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.ceil(F.col("n_terms") / size)).cast("int")).repartition("lang", "block")
     block = W.partitionBy("lang", "block")
     placed = dealt.withColumns({"place": F.row_number().over(block.orderBy("term")) - 1, "width": F.count("*").over(block).cast("int")})
-    return counts.where("term IS NOT NULL").drop("docs").join(placed, ["lang", "term"])
+    return rows.join(placed, ["lang", "term"])
 
 
 def all_groups(counts: DataFrame, kept: DataFrame, size: int = GROUPS) -> DataFrame:
@@ -149,8 +160,8 @@ def term_divergence(groups: DataFrame, kept: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, n_groups: int = GROUPS, n_terms: int = TERMS) -> DataFrame:
     """(lang, source, part, item, value, rank) of rows (lang, source, text)."""
-    counts = durable(term_counts(docs))
-    kept = durable(kept_counts(counts, least, n_terms))
+    counts = durable(wanted_counts(term_counts(docs), least))
+    kept = durable(kept_counts(counts, n_terms))
     groups = durable(all_groups(counts, kept, n_groups))
     rank = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     row = lambda df, part: df.withColumn("rank", rank).select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
