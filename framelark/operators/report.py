@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import percentile
+
 
 def grade(mean: Column) -> Column:
     """A frame's grade; between 2.5 and 2.8 it has none."""
@@ -25,7 +27,9 @@ def by_frame(errors: DataFrame, keys: list[str], error: str = "error") -> DataFr
 
 def overall(errors: DataFrame, error: str = "error", keys: tuple[str, ...] = ()) -> DataFrame:
     """Over all corners, not over frames; the percentile is exact, between neighbours in proportion."""
-    return errors.groupBy(*keys).agg(F.avg(error).alias("overall_mean_px"), F.stddev_pop(error).alias("overall_std_px"), F.percentile(error, 0.95).alias("percentile_95_px"))
+    key = (F.struct(*keys) if keys else F.lit(0)).alias("_key")
+    means = errors.groupBy(*keys).agg(F.avg(error).alias("overall_mean_px"), F.stddev_pop(error).alias("overall_std_px")).select("*", key)
+    return means.join(percentile(errors, error, 0.95, keys, "percentile_95_px"), "_key", "left").drop("_key")
 
 
 def grades(frames: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

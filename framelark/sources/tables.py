@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .. import schemas
 from ..errors import InsufficientDataError, MissingInputError
 from ..functions.columns import basename, is_image, nan_to_null
+from ..operators.series import numbered
 
 
 def listing(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
@@ -26,8 +26,8 @@ def first_file(spark: SparkSession, folder: str, glob: str) -> str:
 
 
 def positions(names: DataFrame, keys: list[str], name: str = "name", to: str = "position") -> DataFrame:
-    """1-based places of names in their sorted listing; a listing is one camera's frames of one recording."""
-    return names.withColumn(to, F.row_number().over(W.partitionBy(*keys).orderBy(name)).cast("long"))
+    """1-based places of names in their sorted listing; a listing of any length, in as many tasks as it needs."""
+    return numbered(names, name, to, 1, tuple(keys))
 
 
 def need(df: DataFrame, least: int, what: str) -> DataFrame:

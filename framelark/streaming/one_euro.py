@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.series import OneEuro
+from ..operators.series import Cutoffs, filter_row
 
 
 class OneEuroProcessor(StatefulProcessor):
@@ -16,17 +16,20 @@ class OneEuroProcessor(StatefulProcessor):
     (time does not go on) pass as they are, and the state stays."""
 
     def __init__(self, key: str, min_cutoff: float = 1.0, beta: float = 0.05, d_cutoff: float = 1.0) -> None:
-        self.key, self.params = key, (min_cutoff, beta, d_cutoff)
+        self.key, self.cutoffs = key, Cutoffs(min_cutoff, beta, d_cutoff)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("filter", "t double, x double, dx double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         df = pd.concat(rows).sort_values(["t", "id"], kind="stable")
-        held = self.state.get() if self.state.exists() else None
-        f = OneEuro(held[0], float("nan") if held[1] is None else held[1], *self.params, dx=held[2]) if held else OneEuro(df["t"].iloc[0], df["x"].iloc[0], *self.params)
-        out = [f.step(t, x) for t, x in zip(df["t"].tolist(), df["x"].tolist(), strict=True)]
-        self.state.update((f.t, None if f.x != f.x else f.x, f.dx))
+        stored = self.state.get() if self.state.exists() else None
+        held = None if stored is None else (stored[0], float("nan") if stored[1] is None else stored[1], stored[2])
+        out = []
+        for t, x in zip(df["t"].tolist(), df["x"].tolist(), strict=True):
+            held, y = filter_row(held, t, x, self.cutoffs)
+            out.append(y)
+        self.state.update((held[0], None if held[1] != held[1] else held[1], held[2]))
         yield pd.DataFrame({self.key: key[0], "id": df["id"].to_numpy(), "filtered": out})
 
     def close(self) -> None:

@@ -23,8 +23,8 @@ def one(spark, expr, **values):
 def euro(values, times=None):
     f, out = None, []
     for t, x in zip(times or [k / 30 for k in range(len(values))], values, strict=True):
-        f = f or series.OneEuro(t, x)
-        out.append(f.step(t, x))
+        f, y = series.filter_row(f, t, x)
+        out.append(y)
     return out
 
 
@@ -59,7 +59,7 @@ def test_savgol_reproduces_a_parabola_and_needs_a_window(spark):
 
 def test_chunked_orders_match_plain_ones(spark):
     df = spark.range(1000).select((F.col("id") * 3).alias("k"), F.pmod(F.hash("id"), F.lit(500)).cast("long").alias("v"))
-    got = series.running_max(series.numbered(df, "k", "n", 1, size=100), "k", "v", "top", 1, size=100).orderBy("k").toPandas()
+    got = series.running_max(series.numbered(df, "k", "n", 1), "k", "v", "top", 1).orderBy("k").toPandas()
     assert got["n"].tolist() == list(range(1, 1001))
     assert got["top"].tolist() == np.maximum(1, got["v"].cummax()).tolist()
 
