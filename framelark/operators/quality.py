@@ -1,12 +1,15 @@
 """Detection and motion quality: statuses, best variants, shared corners, the motion gate, frame features, selection."""
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..scratch import durable
 from ..sources.tables import need
 
 
@@ -83,34 +86,107 @@ def normalised(df: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     return df.join(F.broadcast(ends)).select(*[c for c in df.columns if c not in columns], *[((F.col(c) - F.col(f"_low_{c}")) / span(c)).alias(c) for c in columns])
 
 
-#: Frames up to which one task selects; beyond, every pick is a distributed pass.
-ONE_TASK = 200_000
-
-
-def farthest_point(df: DataFrame, n: int = 45, name: str = "name", columns: tuple[str, ...] = FEATURES, one_task: int = ONE_TASK) -> DataFrame:
-    """(name, pick) of n diverse rows: the first by name, then always the row farthest from all picked ones."""
+#: Cells along a column; rows that a scanned cell reports; slack of bounds for rounding; share of the distance asked for
+#: from which a cell is scanned along with others.
+CELLS, REPORTED, SLACK, AHEAD = 8, 64, 1e-9, 0.75
+
+
+class Cells:
+    """What is known of the rows of each cell of a grid: the box around them, how far from all picks some row is for sure,
+    the rows that the last scan of the cell reported with their distance, and how far the rest can be."""
+
+    def __init__(self, boxes: list, columns: tuple[str, ...]) -> None:
+        self.names = [r["_cell"] for r in boxes]
+        self.low, self.high = (np.array([[r[f"{end}_{c}"] for c in columns] for r in boxes]) for end in ("low", "high"))
+        self.sure = np.full(len(boxes), np.inf)
+        self.rest = np.full(len(boxes), np.inf)  # bound on rows that were not reported
+        self.exact = np.zeros(len(boxes), bool)  # scanned since the last pick: the first reported row is the cell's next
+        self.seen = np.zeros(len(boxes), bool)  # scanned ever: what is sure may have been picked from the others only
+        self.rows: list[dict] = [{} for _ in boxes]
+
+    def picked(self, name: object, at: tuple[float, ...]) -> None:
+        """A pick brings bounds, sure distances (some row of the cell has at least that) and reported rows down."""
+        p = np.array(at)
+        self.exact[:] = False
+        gap = np.maximum(np.maximum(self.low - p, p - self.high), 0.0)
+        reach = np.maximum(np.abs(p - self.low), np.abs(p - self.high))
+        far = np.sqrt((reach * reach).sum(1)) * (1 + SLACK)
+        self.rest = np.minimum(self.rest, far)
+        self.sure = np.minimum(self.sure, np.sqrt((gap * gap).sum(1)) * (1 - SLACK))
+        for own in self.rows:
+            own.pop(name, None)
+            for other, (where, d) in own.items():
+                own[other] = (where, min(d, apart(where, at)))
+
+    def best(self) -> tuple | None:
+        """The farthest reported row (distance, name, place), the first by name of equal ones."""
+        found = [(-d, name, where) for own in self.rows for name, (where, d) in own.items()]
+        return min(found, key=lambda f: f[:2]) if found else None
+
+    def open(self) -> list[int]:
+        """Cells to scan: those with rows not reported that may be as far as the farthest one known, or as any is sure to be;
+        where there are such, also those that come close, which the next picks would ask for."""
+        best = self.best()
+        known = max(-best[0] if best else -np.inf, self.sure[~self.seen].max(initial=-np.inf))
+        left = ~self.exact & (self.rest > -np.inf)
+        return np.flatnonzero(left & (self.rest >= AHEAD * known)).tolist() if (left & (self.rest >= known)).any() else []
+
+    def scanned(self, cell: int, rows: list[tuple]) -> None:
+        """rows (distance, name, place), the farthest REPORTED of the cell."""
+        self.rows[cell] = {name: (where, d) for d, name, where in rows}
+        self.rest[cell] = rows[-1][0] * (1 + SLACK) if len(rows) == REPORTED else -np.inf
+        self.exact[cell] = self.seen[cell] = True
+
+
+def apart(a: tuple[float, ...], b: tuple[float, ...]) -> float:
+    """Euclidean distance, summed in the order in which Spark sums it."""
+    total = (a[0] - b[0]) * (a[0] - b[0])
+    for x, y in zip(a[1:], b[1:], strict=True):
+        total += (x - y) * (x - y)
+    return math.sqrt(total)
+
+
+def farthest_point(df: DataFrame, n: int = 45, name: str = "name", columns: tuple[str, ...] = FEATURES, cells: int = CELLS) -> DataFrame:
+    """(name, pick) of n diverse rows: the first by name, then always the row farthest from all picked ones, of equally
+    far ones the first by name.
+
+    Rows lie in the cells of a grid. The driver keeps bounds of each cell, at most cells ** len(columns) of them, and the
+    REPORTED farthest rows of cells that were scanned. Only cells whose other rows could be the next pick are scanned
+    again, by tasks that send those rows only, so a pick mostly needs no job, and no task sees all rows. Null or NaN
+    columns make no pick.
+    """
     pool = need(normalised(df, columns).select(name, *columns), n, "frames to pick from")
-    kind = df.schema[name].dataType.simpleString()
-    if pool.limit(one_task + 1).count() <= one_task:
-
-        def pick(p: pd.DataFrame) -> pd.DataFrame:
-            p = p.sort_values(name, kind="stable")
-            x = p[list(columns)].to_numpy(float)
-            far, chosen = np.full(len(x), np.inf), [0]
-            while len(chosen) < n:
-                far = np.minimum(far, np.sqrt(((x - x[chosen[-1]]) ** 2).sum(1)))
-                far[chosen] = -1.0
-                chosen.append(int(far.argmax()))
-            return pd.DataFrame({name: p[name].to_numpy()[chosen], "pick": range(1, n + 1)})
-
-        return pool.groupBy().applyInPandas(pick, f"{name} {kind}, pick int")
-    chosen = [pool.orderBy(name).first()]
-    while len(chosen) < n:
-        away = [F.sqrt(sum(((F.col(c) - F.lit(r[c])) * (F.col(c) - F.lit(r[c])) for c in columns[1:]), (F.col(columns[0]) - r[columns[0]]) * (F.col(columns[0]) - r[columns[0]]))) for r in chosen]
-        rest = pool.where(~F.col(name).isin([r[name] for r in chosen])).withColumn("_far", F.least(*away) if len(away) > 1 else away[0])
-        top = rest.agg(F.max("_far")).first()[0]
-        chosen.append(rest.where(F.col("_far") == F.lit(top)).orderBy(name).first())
-    return df.sparkSession.createDataFrame([(r[name], k) for k, r in enumerate(chosen, 1)], f"{name} {kind}, pick int")
+    fine = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns])
+    cell = F.concat_ws(",", *[F.least(F.floor(F.col(c) * cells), F.lit(cells - 1)).cast("string") for c in columns])
+    rows = durable(need(pool.where(fine), n, "frames with all features").withColumn("_cell", cell))
+    known = Cells(rows.groupBy("_cell").agg(*[f(c).alias(f"{end}_{c}") for c in columns for end, f in (("low", F.min), ("high", F.max))]).orderBy("_cell").collect(), columns)
+    place = lambda r: tuple(r[c] for c in columns)
+    first = rows.orderBy(name).first()
+    picks = [(first[name], place(first))]
+    known.picked(*picks[0])
+    while len(picks) < n:
+        while wanted := known.open():
+            found: dict[str, list] = {known.names[k]: [] for k in wanted}
+            for r in farthest_of_cells(rows, list(found), picks, name, columns):
+                found[r["_cell"]].append((r["_far"], r[name], place(r)))
+            for k in wanted:
+                known.scanned(k, sorted(found[known.names[k]], key=lambda x: (-x[0], x[1])))
+        _, *pick = known.best()
+        picks.append(tuple(pick))
+        known.picked(*pick)
+    return df.sparkSession.createDataFrame([(p[0], k) for k, p in enumerate(picks, 1)], f"{name} {df.schema[name].dataType.simpleString()}, pick int")
+
+
+def farthest_of_cells(rows: DataFrame, cells: list[str], picks: list[tuple], name: str, columns: tuple[str, ...]) -> list:
+    """(_cell, name, columns, _far): of each cell the rows that are farthest from all picks, without those."""
+    chosen = F.array(*[F.struct(F.lit(p).alias("name"), *[F.lit(x).alias(c) for c, x in zip(columns, at, strict=True)]) for p, at in picks])
+
+    def distance(p: Column) -> Column:
+        return F.sqrt(reduce(lambda a, b: a + b, [(F.col(c) - p[c]) * (F.col(c) - p[c]) for c in columns]))
+
+    near = rows.where(F.col("_cell").isin(cells) & ~F.col(name).isin([p for p, _ in picks])).withColumn("_far", F.array_min(F.transform(chosen, distance)))
+    order = F.row_number().over(W.partitionBy("_cell").orderBy(F.desc("_far"), name))
+    return near.withColumn("_k", order).where(F.col("_k") <= REPORTED).collect()  # Spark cuts to the first ones by task
 
 
 def grid_search(found: DataFrame, params: list[str], least: int = 6) -> DataFrame:
@@ -144,10 +220,18 @@ def in_bounds(x: Column, y: Column, width: Column | int, height: Column | int) -
 
 
 def coverage(corners: DataFrame, keys: list[str], width: int, height: int, radius: int = 8) -> DataFrame:
-    """(keys, n_pixels, share) covered by discs around corners within the picture; a pixel counts once."""
-    disc = [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if dx * dx + dy * dy <= radius * radius]
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in disc])
-    centres = corners.where(in_bounds(F.col("x"), F.col("y"), width, height)).select(*keys, F.col("x").cast("int").alias("i"), F.col("y").cast("int").alias("j")).distinct()
-    pixels = centres.select(*keys, "i", "j", F.explode(offsets).alias("o")).select(*keys, (F.col("i") + F.col("o.dx")).alias("i"), (F.col("j") + F.col("o.dy")).alias("j"))
-    seen = pixels.where((F.col("i") >= 0) & (F.col("i") < width) & (F.col("j") >= 0) & (F.col("j") < height)).distinct()
-    return seen.groupBy(*keys).agg(F.count("*").alias("n_pixels")).withColumn("share", F.col("n_pixels") / F.lit(float(width * height)))
+    """(keys, n_pixels, share) covered by discs around corners within the picture; a pixel counts once.
+
+    A disc is a span of pixels in each of its 2 * radius + 1 rows. Of spans that begin at the same pixel the longest is
+    kept, by task first, so a row of the picture has at most as many as pixels; a sweep over a row adds what each reaches
+    beyond those before it.
+    """
+    reach = [(dy, math.isqrt(radius * radius - dy * dy)) for dy in range(-radius, radius + 1)]
+    i, j = F.col("x").cast("int"), F.col("y").cast("int")
+    spans = F.array(*[F.struct((j + dy).alias("row"), F.greatest(i - r, F.lit(0)).alias("low"), F.least(i + r, F.lit(width - 1)).alias("high")) for dy, r in reach])
+    rows = corners.where(in_bounds(F.col("x"), F.col("y"), width, height)).select(*keys, F.explode(spans).alias("s")).select(*keys, "s.*").where((F.col("row") >= 0) & (F.col("row") < height))
+    longest = rows.groupBy(*keys, "row", "low").agg(F.max("high").alias("high"))
+    before = F.coalesce(F.max("high").over(W.partitionBy(*keys, "row").orderBy("low").rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))
+    new = F.greatest(F.col("high") - F.greatest(before, F.col("low") - 1), F.lit(0))
+    swept = longest.withColumn("new", new).groupBy(*keys).agg(F.sum("new").alias("n_pixels"))
+    return swept.withColumn("share", F.col("n_pixels") / F.lit(float(width * height)))

@@ -127,15 +127,6 @@ def test_features_of_flat_clouds_and_constant_columns(spark):
     assert [(r.a, r.b) for r in n] == [(0.0, 0.0), (0.0, 1.0)]
 
 
-def test_farthest_point_ways_agree(spark):
-    rng = np.random.default_rng(3)
-    df = spark.createDataFrame([(f"{k:03d}", *rng.random(2).tolist()) for k in range(60)], "name string, a double, b double")
-    picks = lambda n: [r.name for r in quality.farthest_point(df, 8, "name", ("a", "b"), n).orderBy("pick").collect()]
-    assert picks(1000) == picks(10) and picks(1000)[0] == "000" and len(set(picks(10))) == 8
-    with pytest.raises(InsufficientDataError):
-        quality.farthest_point(df, 61, "name", ("a", "b"))
-
-
 def test_grades(spark):
     df = spark.createDataFrame([(1.49,), (1.5,), (2.5,), (2.79,), (2.8,)], ["m"])
     assert [r[0] for r in df.select(report.grade(F.col("m"))).collect()] == ["good", "warn", None, None, "bad"]
