@@ -226,10 +226,10 @@ def coverage(corners: DataFrame, keys: list[str], width: int, height: int, radiu
     kept, by task first, so a row of the picture has at most as many as pixels; a sweep over a row adds what each reaches
     beyond those before it.
     """
-    reach = [(dy, math.isqrt(radius * radius - dy * dy)) for dy in range(-radius, radius + 1)]
-    i, j = F.col("x").cast("int"), F.col("y").cast("int")
-    spans = F.array(*[F.struct((j + dy).alias("row"), F.greatest(i - r, F.lit(0)).alias("low"), F.least(i + r, F.lit(width - 1)).alias("high")) for dy, r in reach])
-    rows = corners.where(in_bounds(F.col("x"), F.col("y"), width, height)).select(*keys, F.explode(spans).alias("s")).select(*keys, "s.*").where((F.col("row") >= 0) & (F.col("row") < height))
+    reach = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(math.isqrt(radius * radius - dy * dy)).alias("r")) for dy in range(-radius, radius + 1)])
+    centres = corners.where(in_bounds(F.col("x"), F.col("y"), width, height)).select(*keys, F.col("x").cast("int").alias("_i"), F.col("y").cast("int").alias("_j"))
+    spans = centres.select("*", F.explode(reach).alias("s")).select(*keys, (F.col("_j") + F.col("s.dy")).alias("row"), F.greatest(F.col("_i") - F.col("s.r"), F.lit(0)).alias("low"), F.least(F.col("_i") + F.col("s.r"), F.lit(width - 1)).alias("high"))
+    rows = spans.where((F.col("row") >= 0) & (F.col("row") < height))
     longest = rows.groupBy(*keys, "row", "low").agg(F.max("high").alias("high"))
     before = F.coalesce(F.max("high").over(W.partitionBy(*keys, "row").orderBy("low").rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))
     new = F.greatest(F.col("high") - F.greatest(before, F.col("low") - 1), F.lit(0))
