@@ -16,7 +16,7 @@ EXTRINSICS = "extrinsics"
 def transform_points(points: DataFrame, calibration: DataFrame, keys: list[str], names: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
     """points (keys, x, y, z) moved from the depth camera to the colour camera, metres. One calibration row a recording."""
     e = calibration.select(*keys, F.col(f"{EXTRINSICS}.rotation_matrix_3x3").alias("_r"), F.col(f"{EXTRINSICS}.translation_metres").alias("_t"))
-    there = points.join(F.broadcast(e), keys) if keys else points.join(F.broadcast(e))
+    there = points.join(e, keys) if keys else points.join(F.broadcast(e))  # without keys, one row
     moved = geometry.rigid([F.col(n) for n in names], geometry.matrix(F.col("_r")), [F.col("_t")[k] for k in range(3)])
     return there.select(*[c for c in points.columns if c not in names], *[m.alias(n) for m, n in zip(moved, names, strict=True)])
 
@@ -44,18 +44,19 @@ def calibration_document(solved: DataFrame, cameras: dict[str, DataFrame], pairs
     return out.select(meta.alias("meta"), *cameras, extrinsics.alias(EXTRINSICS), unit_views(F.col("translation_metres")).alias("ue5_offset"))
 
 
-def reprojection_errors(pairs: DataFrame, keys: list[str], first: tuple, second: tuple, r: np.ndarray, t: np.ndarray, frame: str = "frame", least: int = 4) -> DataFrame:
+def reprojection_errors(pairs: DataFrame, keys: list[str], first: tuple | str, second: tuple | str, r: np.ndarray | str, t: np.ndarray | str, frame: str = "frame", least: int = 4) -> DataFrame:
     """(keys, frame, corner_id, error): the board's pose from the first camera's corners, its corners moved to the second
-    camera, projected, and held against what that saw. pairs: (keys, frame, corner_id, xa, ya, xb, yb, bx, by, bz)."""
-    r, t = np.asarray(r, float), np.asarray(t, float)
+    camera, projected, and held against what that saw. pairs: (keys, frame, corner_id, xa, ya, xb, yb, bx, by, bz). Cameras,
+    rotation and shift are given for all recordings, or as names: of solvers.with_camera, and of columns."""
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
         if len(df) < least:
             return pd.DataFrame(columns=[*keys, frame, "corner_id", "error"])
+        turn, shift = (np.stack(df[x].iloc[0]).astype(float) if isinstance(x, str) else np.asarray(x, float) for x in (r, t))
         p = df[["bx", "by", "bz"]].to_numpy(float)
-        v, shift, _ = solvers.board_pose(p, df[["xa", "ya"]].to_numpy(float), *first)
-        there = p @ solvers.rotation(v).T + shift
-        off = solvers.projected(there, r, t, *second) - df[["xb", "yb"]].to_numpy(float)
+        v, at, _ = solvers.board_pose(p, df[["xa", "ya"]].to_numpy(float), *solvers.camera_in(df, first))
+        there = p @ solvers.rotation(v).T + at
+        off = solvers.projected(there, turn, shift, *solvers.camera_in(df, second)) - df[["xb", "yb"]].to_numpy(float)
         return df[[*keys, frame, "corner_id"]].assign(error=np.sqrt((off * off).sum(1)))
 
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in (*keys, frame, "corner_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..errors import InsufficientDataError
 from ..scratch import durable
 from ..sources.tables import need
 
@@ -79,11 +80,12 @@ def frame_features(corners: DataFrame, keys: list[str], width: str = "width", he
     return corners.groupBy(*keys).agg(*[v.cast("float").cast("double").alias(n) for n, v in zip(FEATURES, values, strict=True)])
 
 
-def normalised(df: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
-    """Columns scaled to their range over the table; a constant one becomes 0."""
-    ends = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))])
+def normalised(df: DataFrame, columns: tuple[str, ...] = FEATURES, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Columns scaled to their range over the table, or over each key's rows; a constant one becomes 0."""
+    ends = df.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))])
     span = lambda c: F.when(F.col(f"_high_{c}") > F.col(f"_low_{c}"), F.col(f"_high_{c}") - F.col(f"_low_{c}")).otherwise(1.0)
-    return df.join(F.broadcast(ends)).select(*[c for c in df.columns if c not in columns], *[((F.col(c) - F.col(f"_low_{c}")) / span(c)).alias(c) for c in columns])
+    there = df.join(ends, list(keys)) if keys else df.join(F.broadcast(ends))
+    return there.select(*[c for c in df.columns if c not in columns], *[((F.col(c) - F.col(f"_low_{c}")) / span(c)).alias(c) for c in columns])
 
 
 #: Cells along a column; rows that a scanned cell reports; slack of bounds for rounding; share of the distance asked for
@@ -177,6 +179,33 @@ def farthest_point(df: DataFrame, n: int = 45, name: str = "name", columns: tupl
     return df.sparkSession.createDataFrame([(p[0], k) for k, p in enumerate(picks, 1)], f"{name} {df.schema[name].dataType.simpleString()}, pick int")
 
 
+#: Picks after which the rows' distances are written.
+WRITTEN = 8
+
+
+def farthest_points(df: DataFrame, keys: list[str], n: int = 45, name: str = "name", columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """(keys, name, pick): the n picks of farthest_point of every key, all keys side by side. Raises if a key has fewer rows.
+
+    A pick is one aggregate over all rows, made by task first; rows keep how far they are from their key's picks so far,
+    which is written every few picks. Null keys take no part.
+    """
+    fine = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns])
+    pool = normalised(df.select(*keys, name, *columns), columns, tuple(keys)).where(fine)
+    short = pool.groupBy(*keys).count().where(F.col("count") < n).limit(1).collect()
+    if short:
+        raise InsufficientDataError(f"frames to pick from: {short[0]['count']} of at least {n} in {[short[0][k] for k in keys]}")
+    rows = durable(pool.withColumn("_far", F.lit(float("inf"))))
+    best = F.min_by(F.struct(name, *columns), F.struct(-F.col("_far"), F.col(name))).alias("_p")
+    square = lambda c: (F.col(c) - F.col(f"_p.{c}")) * (F.col(c) - F.col(f"_p.{c}"))
+    away = F.sqrt(reduce(lambda a, b: a + b, map(square, columns)))
+    picks = []
+    for k in range(1, n + 1):
+        picks.append(durable(rows.groupBy(*keys).agg(best).withColumn("pick", F.lit(k))))
+        rows = rows.join(picks[-1].drop("pick"), keys).where(F.col(name) != F.col(f"_p.{name}")).withColumn("_far", F.least("_far", away)).drop("_p")
+        rows = durable(rows) if k % WRITTEN == 0 and k < n else rows
+    return reduce(DataFrame.unionByName, picks).select(*keys, F.col(f"_p.{name}").alias(name), "pick")
+
+
 def farthest_of_cells(rows: DataFrame, cells: list[str], picks: list[tuple], name: str, columns: tuple[str, ...]) -> list:
     """(_cell, name, columns, _far): of each cell the rows that are farthest from all picks, without those."""
     chosen = F.array(*[F.struct(F.lit(p).alias("name"), *[F.lit(x).alias(c) for c, x in zip(columns, at, strict=True)]) for p, at in picks])

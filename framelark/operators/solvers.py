@@ -9,6 +9,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def rotation(v: np.ndarray) -> np.ndarray:
@@ -192,11 +193,24 @@ def calibrate(corners: DataFrame, keys: list[str], frame: str = "frame") -> Data
     return corners.groupBy(*keys).applyInPandas(one, _schema(corners, keys) + "camera_matrix array<array<double>>, distortion_coeffs array<array<double>>, rms double, n_views long")
 
 
-def stereo_calibrate(pairs: DataFrame, keys: list[str], first: tuple, second: tuple, frame: str = "frame") -> DataFrame:
-    """One row a recording of (keys, frame, corner_id, xa, ya, xb, yb, bx, by, bz): rotation and shift in their units, E, F, rms."""
+def with_camera(rows: DataFrame, keys: list[str], cameras: DataFrame, name: str) -> DataFrame:
+    """rows with their recording's camera of calibrate() as columns <name>_k and <name>_d."""
+    return rows.join(cameras.select(*keys, F.col("camera_matrix").alias(f"{name}_k"), F.col("distortion_coeffs").alias(f"{name}_d")), keys)
+
+
+def camera_in(df: pd.DataFrame, which: tuple[np.ndarray, np.ndarray] | str) -> tuple[np.ndarray, np.ndarray]:
+    """(K, d): as given, or those of a recording's rows by the name that with_camera gave them."""
+    if not isinstance(which, str):
+        return which
+    return np.stack(df[f"{which}_k"].iloc[0]).astype(float), np.stack(df[f"{which}_d"].iloc[0]).astype(float).ravel()
+
+
+def stereo_calibrate(pairs: DataFrame, keys: list[str], first: tuple | str, second: tuple | str, frame: str = "frame") -> DataFrame:
+    """One row a recording of (keys, frame, corner_id, xa, ya, xb, yb, bx, by, bz): rotation and shift in their units, E, F,
+    rms. The cameras are given for all recordings, or by the names of each one's own."""
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
-        s = stereo(views_of(df, frame, ("xa", "ya"), ("xb", "yb")), first, second)
+        s = stereo(views_of(df, frame, ("xa", "ya"), ("xb", "yb")), camera_in(df, first), camera_in(df, second))
         v = rodrigues(s["R"])
         row = {"rotation_matrix_3x3": s["R"].tolist(), "rotation_rodrigues": v, "rotation_degrees": np.degrees(v), "translation_metres": s["T"], "translation_cm": s["T"] * 100, "essential_matrix": s["E"].tolist(), "fundamental_matrix": s["F"].tolist(), "stereo_rms_px": s["rms"]}
         return pd.DataFrame([{**{c: df[c].iloc[0] for c in keys}, **row}])

@@ -3,13 +3,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import InsufficientDataError
 from ..operators import align, calibration, movement, quality, report, series, solvers
+from ..scratch import durable
 from ..shipping import ship
-from ..sources.tables import board, need
+from ..sources.tables import board
 
 
 @dataclass
@@ -42,24 +43,26 @@ class Calibrated:
 
 
 def spatial(sony: DataFrame, zed: DataFrame, count: int = 45, least: int = 45, min_pairs: int = 5, lag: int = 3, px: float = 1.5) -> Calibrated:
-    """Phase 2 for one recording: corners (dataset, frame long, corner_id, x, y, width, height) of both cameras to the
-    frames picked, the calibration document and the validation report."""
+    """Phase 2 for any number of recordings: corners (dataset, frame long, corner_id, x, y, width, height) of both cameras to
+    each recording's picked frames, calibration document and validation report. Raises if a recording has too few frames."""
     spark = ship(sony.sparkSession)
     keys = ["dataset", "frame"]
     ok = quality.enough_shared(quality.matched_corners(zed, sony, keys), keys, least).select(*keys)
     still = quality.motion_gate(ok, sony.select(*keys, "corner_id", "x", "y"), ["dataset"], lag=lag, px=px).where("still").select(*keys)
-    features = quality.frame_features(sony.join(still, keys, "left_semi"), ["frame"])
-    picked = quality.farthest_point(features, count, "frame").cache()
-    pairs = quality.collect_pairs(zed, sony, keys, least).join(picked.select("frame"), "frame", "left_semi").join(F.broadcast(board(spark)), "corner_id").cache()
-    need(pairs.select(*keys).distinct(), min_pairs, "frame pairs")
-    cameras = {"zed_camera": solvers.calibrate(pairs.withColumnsRenamed({"xa": "x", "ya": "y"}), ["dataset"]), "sony_camera": solvers.calibrate(pairs.withColumnsRenamed({"xb": "x", "yb": "y"}), ["dataset"])}
-    cameras = {n: df.cache() for n, df in cameras.items()}
-    one = {n: df.first() for n, df in cameras.items()}  # two small rows
-    first, second = ((np.array(one[n].camera_matrix), np.array(one[n].distortion_coeffs).ravel()) for n in ("zed_camera", "sony_camera"))
-    solved = solvers.stereo_calibrate(pairs, ["dataset"], first, second).cache()
-    document = calibration.calibration_document(solved, {"sony_camera": cameras["sony_camera"], "zed_camera": cameras["zed_camera"]}, pairs)
-    row = solved.first()
-    errors = calibration.reprojection_errors(pairs, ["dataset"], first, second, np.array(row.rotation_matrix_3x3), np.array(row.translation_metres))
+    features = quality.frame_features(sony.join(still, keys, "left_semi"), keys)
+    picked = durable(quality.farthest_points(features, ["dataset"], count, "frame"))
+    pairs = durable(quality.collect_pairs(zed, sony, keys, least).join(picked.select(*keys), keys, "left_semi").join(F.broadcast(board(spark)), "corner_id"))
+    few = sony.select("dataset").distinct().join(pairs.groupBy("dataset").agg(F.countDistinct("frame").alias("n")), "dataset", "left").where(F.coalesce("n", F.lit(0)) < min_pairs).limit(1).collect()
+    if few:
+        raise InsufficientDataError(f"frame pairs: {few[0]['n'] or 0} of at least {min_pairs} in {few[0]['dataset']}")
+    cameras = {n: durable(solvers.calibrate(pairs.withColumnsRenamed({x: "x", y: "y"}), ["dataset"])) for n, x, y in (("zed_camera", "xa", "ya"), ("sony_camera", "xb", "yb"))}
+    seen = pairs
+    for name, df in cameras.items():
+        seen = solvers.with_camera(seen, ["dataset"], df, name)
+    solved = durable(solvers.stereo_calibrate(seen, ["dataset"], "zed_camera", "sony_camera"))
+    document = calibration.calibration_document(solved, cameras, pairs)
+    placed = seen.join(solved.select("dataset", "rotation_matrix_3x3", "translation_metres"), "dataset")
+    errors = calibration.reprojection_errors(placed, ["dataset"], "zed_camera", "sony_camera", "rotation_matrix_3x3", "translation_metres")
     return Calibrated(picked, document, errors, report.validation_report(errors))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framelark import __main__ as cli
 from framelark import schemas
+from framelark.errors import InsufficientDataError
 from framelark.operators import calibration
 from framelark.plans import phases, spatial
 
@@ -40,6 +41,24 @@ def test_spatial_phase_recovers_the_cameras(spark):
     assert np.allclose(np.linalg.svd(e)[1][0], np.linalg.svd(e)[1][1], rtol=1e-3)
 
 
+def test_spatial_phase_of_several_recordings(spark):
+    """A second recording of cameras whose pictures are half as large gets cameras of its own, and the same extrinsics."""
+    v = spatial.synthetic_views(spark, 8).withColumns({"width": F.lit(1920), "height": F.lit(1080)})
+    half = v.withColumns({c: F.col(c) / 2 for c in ("xa", "ya", "xb", "yb")}).withColumn("dataset", F.lit("half"))
+    both = v.withColumn("dataset", F.lit("full")).unionByName(half)
+    twice = both.withColumn("frame", (F.col("frame") * 10 + 3).cast("long")).unionByName(both.withColumn("frame", (F.col("frame") * 10).cast("long")))
+    side = lambda a, b: twice.select("dataset", "frame", "corner_id", F.col(a).alias("x"), F.col(b).alias("y"), "width", "height")
+    got = phases.spatial(side("xb", "yb"), side("xa", "ya"), count=6)
+    docs, reports = {r.meta.dataset: r for r in got.document.collect()}, {r.dataset: r for r in got.report.collect()}
+    assert {r.dataset: r["count"] for r in got.picked.groupBy("dataset").count().collect()} == {"full": 6, "half": 6}
+    for name, focal in (("full", 1500), ("half", 750)):
+        assert docs[name].sony_camera.camera_matrix[0][0] == pytest.approx(focal, abs=3)
+        assert np.allclose(docs[name].extrinsics.translation_cm, spatial.CENTIMETRES, atol=0.1)
+        assert reports[name].overall_mean_px < 0.05
+    with pytest.raises(InsufficientDataError):
+        phases.spatial(side("xb", "yb"), side("xa", "ya"), count=9)
+
+
 def test_filtering_phase(spark):
     rows = [("d", k, *[None if (i == 0 and k == 4) else float(k + i) for i in range(114)]) for k in range(10)]
     df = spark.createDataFrame(rows, "dataset string, " + schemas.SKELETON)

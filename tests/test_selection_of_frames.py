@@ -37,6 +37,19 @@ def test_picks(spark, monkeypatch, kind, cells, reported):
     assert got == by_definition(rows, n)
 
 
+def test_picks_by_recording(spark, monkeypatch):
+    monkeypatch.setattr(quality, "WRITTEN", 2)
+    every = clouds()
+    rows = [(kind, name, *at) for kind, own in every.items() for name, at in own]
+    df = spark.createDataFrame(rows, "dataset string, name string, a double, b double").repartition(3)
+    got = {}
+    for r in quality.farthest_points(df, ["dataset"], 5, "name", ("a", "b")).orderBy("pick").collect():
+        got.setdefault(r.dataset, []).append(r.name)
+    assert got == {kind: by_definition(own, 5) for kind, own in every.items()}
+    with pytest.raises(InsufficientDataError, match="same"):
+        quality.farthest_points(df, ["dataset"], 11, "name", ("a", "b"))
+
+
 def test_few_scans(spark, monkeypatch):
     scans = []
     whole = quality.farthest_of_cells
