@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..errors import InsufficientDataError, MissingInputError
+from ..functions import headers
 from ..functions.columns import basename, is_image, nan_to_null
 from ..operators.series import numbered
 
@@ -72,6 +73,18 @@ def image_size(frames: DataFrame, keys: list[str], order: str = "path") -> DataF
     return frames.where("width IS NOT NULL AND height IS NOT NULL").groupBy(*keys).agg(size).select(*keys, "size.width", "size.height")
 
 
+def with_size(files: DataFrame, content: str = "content") -> DataFrame:
+    """files with width and height from their headers, null for those that cannot be read."""
+    return files.withColumn("_size", headers.size(F.col(content))).withColumns({c: F.col(f"_size.{c}") for c in ("width", "height")}).drop("_size")
+
+
+def folder_size(spark: SparkSession, folder: str) -> DataFrame:
+    """(folder, width, height) of the first readable picture of each folder below."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(is_image(F.col("path")))
+    sized = with_size(files).select("path", "width", "height").withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    return image_size(sized, ["folder"])
+
+
 def decoded(df: DataFrame, kind: str) -> DataFrame:
     """A table from an outside decoder or model, held against its schema: pictures and videos are not decoded here."""
     schema = {"frames": schemas.FRAMES, "depth": schemas.DEPTH, "features": schemas.FEATURES, "corners": schemas.CORNERS, "skeleton": schemas.SKELETON, "grid": schemas.GRID}[kind]
