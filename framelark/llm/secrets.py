@@ -5,7 +5,8 @@ pairs have been scanned and what they gave; a run scans only pairs that the ledg
 the findings back to all paths that hold the blob.
 
 Defined cases: a null text is the empty blob; an empty table gives an empty table; repeated rows and exact copies
-share one blob and each row gets its findings; texts are scanned whole, however long, and with many findings (places are
+share one blob and each row gets its findings; a ledger may hold a (blob, rule@version) more than once, as after a retried
+append, and other versions of a rule, which are not looked at; texts are scanned whole, however long, and with many findings (places are
 summed STRIDE at a time); findings that start together go in the order of the rules; extra columns are ignored by the digest and kept by `redact`.
 """
 from __future__ import annotations
@@ -70,8 +71,8 @@ def before(df: DataFrame, values: list[str], merge: Callable[[Column, Column], C
 
 
 def with_matches(df: DataFrame, rules: tuple[Rule, ...], wanted: Callable[[Rule], Column]) -> DataFrame:
-    """df (with `text`) and `spans`: what the rules match, where wanted(rule), in code points. The pieces between matches
-    give their places."""
+    """df (with `text`) and `found`: for each wanted(rule) its tag and what it matches, in code points. The pieces between
+    matches give their places."""
 
     def pieces(rule: Rule) -> Column:
         kept = lambda hit: F.length(F.regexp_extract(hit, rule.pattern, rule.group) if rule.group else hit) >= rule.least
@@ -79,15 +80,16 @@ def with_matches(df: DataFrame, rules: tuple[Rule, ...], wanted: Callable[[Rule]
         found = F.transform(both, lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.coalesce(F.length(p["hit"]), F.lit(0)).alias("hit"), (p["hit"].isNotNull() & kept(p["hit"])).alias("kept")))
         return F.when(wanted(rule) & F.col("text").rlike(rule.pattern), found).otherwise(F.array().cast("array<struct<gap:int,hit:int,kept:boolean>>"))
 
-    def spans(rule: Rule, k: int) -> Column:
+    def found(rule: Rule, k: int) -> Column:
         placed = F.filter(F.arrays_zip(F.col(f"p{k}").alias("p"), F.col(f"n{k}_before").alias("at")), lambda x: x["p"]["kept"])
         start = lambda x: x["at"] + x["p"]["gap"]
-        return F.transform(placed, lambda x: F.struct(start(x).alias("start"), F.lit(k).alias("k"), (start(x) + x["p"]["hit"]).alias("end"), F.lit(rule.kind).alias("kind")))
+        spans = F.transform(placed, lambda x: F.struct(start(x).alias("start"), (start(x) + x["p"]["hit"]).alias("end")))
+        return F.when(wanted(rule), F.struct(F.lit(tag(rule)).alias("tag"), spans.alias("spans")))
 
     names, own = df.columns, range(len(rules))
     df = df.withColumns({f"p{k}": pieces(r) for k, r in enumerate(rules)})
     df = before(df.withColumns({f"n{k}": F.transform(f"p{k}", lambda p: p["gap"] + p["hit"]) for k in own}), [f"n{k}" for k in own], lambda a, b: a + b)
-    return df.select(*names, F.concat(*[spans(r, k) for k, r in enumerate(rules)]).alias("spans"))
+    return df.select(*names, F.array_compact(F.array(*[found(r, k) for k, r in enumerate(rules)])).alias("found"))
 
 
 def address(versions: DataFrame, text: str = "text") -> DataFrame:
@@ -100,9 +102,11 @@ def tag(rule: Rule) -> str:
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """Ledger rows (blob, tags, spans) for the blobs of `versions` that lack a rule: only lacking rules are scanned.
+    """Ledger rows (blob, tags, found: tag and spans of each rule) for the blobs of `versions` that lack a rule: only lacking rules,
+    in the versions asked for, are scanned.
 
-    `ledger` has the same columns; a blob may have several rows there, one for each run that added rules.
+    `ledger` has the same columns; a blob may have several rows there, for each run that added rules and for runs that
+    did the same at once or again.
     """
     blobs = address(versions.select(F.col(text).alias("text")), "text").groupBy("blob").agg(F.coalesce(F.first("text"), F.lit("")).alias("text"))
     if ledger is not None:
@@ -133,12 +137,17 @@ def new_ledger(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/ledger-{uuid.uuid4()}"
 
 
-def findings_by_path(versions: DataFrame, ledger: DataFrame, text: str = "text") -> DataFrame:
-    """Every row of `versions` with the sorted spans that the ledger holds for its content. Blobs with findings are
-    written before they are joined: broadcast, if they have few bytes, or else by a join whose hot blobs can be split."""
+def findings_by_path(versions: DataFrame, ledger: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Every row of `versions` with the sorted spans that the ledger holds for its content from the given versions of rules;
+    other versions' stay unused. What a ledger holds twice counts once. Blobs with findings are written before they are
+    joined: broadcast, if they have few bytes, or else by a join whose hot blobs can be split."""
     none = F.from_json(F.lit("[]"), SPAN)
+    order = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(tag(r)), F.struct(F.lit(k).alias("k"), F.lit(r.kind).alias("kind")))])
+    asked = F.filter("found", lambda f: f["tag"].isin([tag(r) for r in rules]))
+    span = lambda f, s: F.struct(s["start"].alias("start"), order[f["tag"]]["k"].alias("k"), s["end"].alias("end"), order[f["tag"]]["kind"].alias("kind"))
     # no filter below the aggregate: it would be pushed through the scan and repeat it
-    found = durable(ledger.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).where(F.size("spans") > 0))
+    blobs = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")).withColumn("found", asked)
+    found = durable(blobs.select("blob", F.array_sort(F.flatten(F.transform("found", lambda f: F.transform(f["spans"], lambda s: span(f, s))))).alias("spans")).where(F.size("spans") > 0))
     size = found.agg(F.sum(F.size("spans") * 40 + 100)).first()[0] or 0
     return address(versions, text).join(F.broadcast(found) if size <= BROADCAST else found, "blob", "left").withColumn("spans", F.coalesce("spans", none))
 

@@ -265,6 +265,24 @@ def test_ledger_scans_only_what_is_new(spark):
     assert sorted(r.text for r in secrets.redact(secrets.findings_by_path(v1, first)).collect()) == ["[assign]", "[assign]", "nothing"]
 
 
+def test_versions_of_a_rule_and_repeated_appends(spark, tmp_path):
+    """Only the spans of the version asked for come out; what a ledger holds twice counts once."""
+    v = spark.createDataFrame([("a", "token=abcdefgh1 x"), ("b", "token=abcdefgh1 x"), ("c", None)], "path string, text string")
+    old, path = secrets.RULES, f"{tmp_path}/ledger"
+    new = (*secrets.RULES[1:], secrets.Rule("assign", r"token=[a-z0-9]+\x20x", 0, 1, version=2))  # also in another place among the rules
+    once = secrets.update_ledger(v, path, old).collect()
+    assert {len(r.found) for r in once} == {len(old)}
+    ledger = secrets.update_ledger(v, path, new)
+    assert ledger.count() == 4 and secrets.update_ledger(v, path, new).count() == 4
+    spans = lambda rules: [secrets.findings_by_path(v, spark.read.parquet(path), rules=rules).where("path = 'a'").select(secrets.joined(F.col("spans"))).first()[0] for _ in range(1)]
+    assert spans(old) == ["assign:0:15"]
+    assert spans(new) == ["assign:0:17"]
+    spark.read.parquet(path).coalesce(1).write.parquet(f"{tmp_path}/copy")
+    spark.read.parquet(f"{tmp_path}/copy").write.mode("append").parquet(path)  # as after a retried append
+    assert ledger.count() < spark.read.parquet(path).count() == 8
+    assert spans(old) == ["assign:0:15"] and spans(new) == ["assign:0:17"]
+
+
 def test_many_findings_in_one_text(spark):
     """As many findings as fit into some megabytes: places and redacted text against plain Python."""
     some = [f"é token=abcdefgh{k:05d} {k:032x}" for k in range(50_000)]
