@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
-Every page becomes a DOM. Menus, forms, adverts, comments and the like go by element, role or class name; by name, a
-wrapper that holds the article stays. For each node left, characters per tag, adjusted for links, give its density; a node's density sum adds its children's. The
+Every page becomes a DOM. Menus, forms, adverts, comments and the like go by element, role or class name; a form, or a
+wrapper with such a name, stays if it holds the article. For each node left, characters per tag, adjusted for links, give its density; a node's density sum adds its children's. The
 lowest density on the path from the body to the densest node is the threshold; the node of the largest density sum is
 the content, widened to its ancestors below the body while they reach the threshold, and to its article element.
 
@@ -27,7 +27,7 @@ _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_GONE = frozenset("nav header footer aside form button select option textarea dialog menu object embed template head".split())
+_GONE = frozenset("nav header footer aside button select option textarea dialog menu object embed template head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog form menu menubar".split())
 _NAMES = frozenset("ad ads advert adverts advertisement adslot banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split())
 _HEADS = frozenset("header head top".split())
@@ -54,6 +54,8 @@ def seen_as(tag: str, attributes: str) -> tuple[bool, str, bool]:
     "comments" or "other"); and whether it is named as an article."""
     if tag in _GONE:
         return True, "", False
+    if tag == "form":  # goes as what has such a name; a form around the page or its article stays
+        return False, "other", False
     if not attributes or tag in ("html", "body", "article", "main"):
         return False, "", tag in ("article", "main")
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}

@@ -156,6 +156,15 @@ def test_long_pages_take_linear_time():
     assert time.process_time() - began < 60
 
 
+def test_forms_around_the_article():
+    """A form that holds the page or its article stays; others go."""
+    story = "<p>" + "Some words of the story, told at length. " * 8 + "</p><p>" + "And how it went on. " * 9 + "</p>"
+    want = html.extract(f"<body><article>{story}</article></body>")
+    assert want.startswith("Some words") and want.endswith("went on.")
+    for page in (f"<body><form id=aspnetForm><div>{story}</div></form></body>", f"<article><form>{story}</form></article>", f"<form method=post><nav>Home</nav><article>{story}</article><footer>f</footer></form>", f"<body><form><select><option>a</select><button>Search</button></form><article>{story}<form>Mail: <input><label>your name</label></form></article></body>"):
+        assert html.extract(page) == want
+
+
 def test_page_query(spark, tmp_path):
     rows = [(1, "u", PAGE), (2, None, None), (3, "v", ""), (1, "u", PAGE)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
