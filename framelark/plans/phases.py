@@ -10,7 +10,7 @@ from ..errors import InsufficientDataError
 from ..operators import align, calibration, movement, quality, report, series, solvers
 from ..scratch import durable
 from ..shipping import ship
-from ..sources.tables import board
+from ..sources.tables import board, need
 
 
 @dataclass
@@ -66,6 +66,17 @@ def spatial(sony: DataFrame, zed: DataFrame, count: int = 45, least: int = 45, m
     return Calibrated(picked, document, errors, report.validation_report(errors))
 
 
+def errors_of(sony: DataFrame, zed: DataFrame, documents: DataFrame, least: int = 45) -> DataFrame:
+    """(dataset, frame, corner_id, error) of corners as in spatial(), under each recording's calibration document. Raises
+    where no pair of frames shares enough corners."""
+    spark = ship(sony.sparkSession)
+    pairs = quality.collect_pairs(zed, sony, ["dataset", "frame"], least).join(F.broadcast(board(spark)), "corner_id")
+    lens = [F.col(f"{name}.{field}").alias(f"{name}_{short}") for name in ("zed_camera", "sony_camera") for field, short in (("camera_matrix", "k"), ("distortion_coeffs", "d"))]
+    known = documents.select(F.col("meta.dataset").alias("dataset"), *lens, "extrinsics.rotation_matrix_3x3", "extrinsics.translation_metres")
+    placed = need(pairs, 1, "corners of frame pairs").join(known, "dataset")
+    return calibration.reprojection_errors(placed, ["dataset"], "zed_camera", "sony_camera", "rotation_matrix_3x3", "translation_metres")
+
+
 def filtering(skeleton: DataFrame, joint: str = "right_wrist", axis: str = "x", fps: float = 30.0) -> DataFrame:
     """Phase 3: (dataset, frame_idx, t, raw, filtered, expansiveness) of skeleton rows (dataset, frame_idx, 114 columns)."""
     ship(skeleton.sparkSession)

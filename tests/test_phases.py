@@ -85,3 +85,41 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["transform-point", str(tmp_path / "c.json"), "--point", "0", "0", "1"])
     out = capsys.readouterr().out
     assert "Location X : +100.000 cm" in out and "Roll  (X) : +0.500°" in out and out.strip().endswith("+1.000000 +2.000000 +4.000000")
+
+
+def test_programs_over_tables(spark, tmp_path, capsys):
+    at = lambda name: str(tmp_path / name)
+    read = lambda name: [json.loads(x) for f in sorted((tmp_path / name).rglob("part*.json")) for x in f.read_text().splitlines()]
+    x = np.cumsum(np.random.default_rng(0).normal(size=(40, 6)), 0)
+    for name, v in (("a", x[3:33]), ("b", x)):
+        spark.createDataFrame([("d", k, r.tolist()) for k, r in enumerate(v)], "dataset string, frame_idx long, vec array<float>").write.parquet(at(name))
+    for out, more in (("exact", []), ("fast", ["--fast", "1"])):
+        cli.main(["sync-frames", at("a"), at("b"), at(out), *more])
+        m = json.loads(next((tmp_path / out / "dataset=d").glob("part*")).read_text())
+        assert len(m) == 30 and m["10"] == 13
+    for folder, n in (("sony", 30), ("rgb", 40), ("depth", 40)):
+        (tmp_path / folder).mkdir()
+        for k in range(n):
+            (tmp_path / folder / f"{folder}{k:03d}.png").write_bytes(b"x")
+    cli.main(["compile-dataset", str(next((tmp_path / "exact" / "dataset=d").glob("part*"))), at("sony"), at("rgb"), at("depth"), at("copies")])
+    copies = {r.dst: r.src.split("/")[-1] for r in spark.read.option("header", True).csv(at("copies")).collect()}
+    assert len(copies) == 90 and copies["synced/zed_depth/00010.png"] == "depth012.png" and copies["synced/sony_rgb/00010.png"] == "sony009.png"
+
+    rows = [("d", "sony", "1.png", 20, 60), ("d", "zed", "1.png", 2, 60), ("d", "zed", "2.png", None, None)]
+    spark.createDataFrame(rows, "dataset string, camera string, file string, n_markers int, n_corners int").write.parquet(at("detections"))
+    cli.main(["inspect-detections", at("detections"), at("summary")])
+    assert [r["status"] for r in read("summary")[0]["zed"]] == ["rejected_no_markers", "unreadable"]
+    spark.createDataFrame([(k, f"dict{k}", "p", "f", 9, n) for k, n in enumerate((3, 8, 8))], "ordinal int, dict_name string, params string, frame string, n_markers int, n_corners int").write.parquet(at("grid"))
+    cli.main(["diagnose-detection", at("grid"), at("best")])
+    assert read("best")[0]["dict_name"] == "dict1"
+    assert "d zed unreadable 1" in capsys.readouterr().out
+
+    v = spatial.synthetic_views(spark, 8).withColumns({"width": F.lit(1920), "height": F.lit(1080)})
+    twice = v.withColumn("frame", (F.col("frame") * 10 + 3).cast("long")).unionByName(v.withColumn("frame", (F.col("frame") * 10).cast("long")))
+    for name, c in (("sony_c", "b"), ("zed_c", "a")):
+        twice.select("dataset", "frame", "corner_id", F.col(f"x{c}").alias("x"), F.col(f"y{c}").alias("y"), "width", "height").write.parquet(at(name))
+    cli.main(["pick-frames", at("sony_c"), at("picks"), "--count", "5"])
+    assert sorted(r["pick"] for r in read("picks")) == [1, 2, 3, 4, 5]
+    cli.main(["calibrate-stereo", at("sony_c"), at("zed_c"), at("solved"), "--count", "6"])
+    cli.main(["validate-calibration", at("sony_c"), at("zed_c"), at("solved/calibration"), at("report")])
+    assert read("report")[0]["n_frames_validated"] == 16 and read("report")[0]["assessment"] == "Excellent"
