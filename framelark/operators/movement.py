@@ -97,6 +97,21 @@ def drive_distances(time: Column, weight_: Column, space: Column) -> Column:
     return F.struct(*[away(d).alias(n) for n, d in DRIVES.items()])
 
 
+#: The eight action drives as corners of the four-dimensional effort space (time: sudden is 1; weight: strong
+#: is 1; space: expanded is 1; flow: free is 1).
+EFFORTS = {
+    "punch": (1, 1, 0, 0), "slash": (1, 1, 1, 1), "wring": (0, 1, 1, 0), "press": (0, 1, 0, 0),
+    "flick": (1, 0, 1, 1), "dab": (1, 0, 0, 0), "float": (0, 0, 1, 1), "glide": (0, 0, 0, 0),
+}
+
+
+def effort_distances(time: Column, weight_: Column, space: Column, flow_: Column) -> Column:
+    """How far a moment is from each drive in the space of all four descriptors, each in 0..1; null where one is lost."""
+    at = (time, weight_, space, flow_)
+    away = lambda d: F.sqrt(reduce(lambda a, b: a + b, [(x - k) * (x - k) for x, k in zip(at, d, strict=True)]))
+    return F.struct(*[away(d).alias(n) for n, d in EFFORTS.items()])
+
+
 def proximity(a: list[Column], b: list[Column], reach: float) -> Column:
     """1 at no distance of two performers' roots, 0 from `reach` on."""
     return F.greatest(F.lit(0.0), 1.0 - between(a, b) / reach)

@@ -1,11 +1,17 @@
 """Phase 3 and 4: skeleton smoothing and movement descriptors; queries over the test tables with their SQL."""
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.columns import output_curve
 from ..operators import movement, quality, series
+from ..scratch import new_folder
+from ..sources import sinks, tables
 from ._common import table
 
 JOINTS = ("pelvis", "spine_2", "left_wrist", "right_wrist")
@@ -98,6 +104,25 @@ def action_drives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select("l_orderkey", "l_linenumber", d.alias("d")).select("l_orderkey", "l_linenumber", *[F.round(f"d.{n}", 6).alias(n) for n in ("punch", "wring", "float")])
 
 
+def effort_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eight drives, with flow; every 13th order has lost its flow."""
+    l = table(spark, sf_dir, "lineitem")
+    flow = F.when(F.col("l_orderkey") % 13 != 0, F.col("l_linenumber") / 7)
+    d = movement.effort_distances(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10, flow)
+    return l.select("l_orderkey", "l_linenumber", d.alias("d")).select("l_orderkey", "l_linenumber", *[F.round(f"d.{n}", 6).alias(n) for n in movement.EFFORTS])
+
+
+def skeleton_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a frame of all 38 joints, some lost, written as wide CSV files and read back."""
+    path = new_folder(spark, "skeletons")
+    value = lambda k: F.when((F.col("vec_id") + k) % 11 != 0, F.element_at("embedding", k % 64 + 1).cast("double"))
+    columns = [c.split(" ")[0] for c in schemas.SKELETON.split(", ")]
+    sinks.write_skeleton(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_idx"), *[value(k).alias(c) for k, c in enumerate(columns[1:])]), path)
+    read = tables.skeleton_csv(spark, path)
+    seen = [F.when(F.col(c).isNull(), 0).otherwise(1) for c in columns[1:]]
+    return read.select("frame_idx", reduce(add, seen).cast("long").alias("n_seen"), F.round(reduce(add, [F.coalesce(c, F.lit(0.0)) for c in columns[1:]]), 6).alias("total"), F.round("pelvis_x", 6).alias("pelvis_x"))
+
+
 def response_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("l_quantity") / 50
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(output_curve(x, 0.1, 0.9, k), 6).alias(k) for k in ("linear", "sigmoid", "piecewise")])
@@ -132,7 +157,7 @@ _MOVE = _SK + ", q AS (SELECT *, (frame_idx - lag(frame_idx) OVER w) * (1.0::DOU
 _DIR = ", ".join(f"round((CASE WHEN r > l THEN right_wrist_{a} ELSE left_wrist_{a} END - spine_2_{a}) / nullif(greatest(l, r), 0), 6) AS {a}" for a in "xyz")
 _DRIVE = lambda t, w, s: f"round(sqrt((l_quantity / 50 - {t}) * (l_quantity / 50 - {t}) + (l_discount * 10 - {w}) * (l_discount * 10 - {w}) + (l_tax * 10 - {s}) * (l_tax * 10 - {s})), 6)"
 
-QUERIES = {f.__name__: f for f in (one_euro_by_user, one_euro_fold, one_euro_with_gaps, event_time_projection, root_joint_filter, first_body, joint_axis, expansiveness, joints_unpivot, joints_pivot, movement_effort, movement_flow, movement_direction, action_drives, response_curves, performer_proximity, mode_rows)}
+QUERIES = {f.__name__: f for f in (one_euro_by_user, one_euro_fold, one_euro_with_gaps, event_time_projection, root_joint_filter, first_body, joint_axis, expansiveness, joints_unpivot, joints_pivot, movement_effort, movement_flow, movement_direction, action_drives, effort_space, skeleton_files, response_curves, performer_proximity, mode_rows)}
 ORACLE = {
     "one_euro_by_user": _EURO_SQL.replace("{value}", "value"),
     "one_euro_fold": _EURO_SQL.replace("{value}", "value"),
@@ -148,6 +173,8 @@ ORACLE = {
     "movement_flow": f"WITH {_MOVE} SELECT frame_idx, round(stddev_pop(dv) OVER (PARTITION BY label ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 5) AS flow FROM m",
     "movement_direction": f"WITH {_SK}, d AS (SELECT *, {_L} AS l, {_R} AS r FROM s WHERE left_wrist_x IS NOT NULL AND right_wrist_x IS NOT NULL) SELECT frame_idx, {_DIR} FROM d",
     "action_drives": f"SELECT l_orderkey, l_linenumber, {_DRIVE(1, 1, 1)} AS punch, {_DRIVE(0, 1, 0)} AS wring, {_DRIVE(0, 0, 0)} AS float FROM lineitem",
+    "effort_space": "WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS t, l_discount * 10 AS w, l_tax * 10 AS s, CASE WHEN l_orderkey % 13 <> 0 THEN l_linenumber / 7 END AS f FROM lineitem) SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(sqrt((t - {d[0]}) * (t - {d[0]}) + (w - {d[1]}) * (w - {d[1]}) + (s - {d[2]}) * (s - {d[2]}) + (f - {d[3]}) * (f - {d[3]})), 6) AS {n}" for n, d in movement.EFFORTS.items()) + " FROM l",
+    "skeleton_files": "SELECT vec_id AS frame_idx, len([k FOR k IN range(114) IF (vec_id + k) % 11 <> 0])::BIGINT AS n_seen, round(list_sum([CASE WHEN (vec_id + k) % 11 <> 0 THEN embedding[k % 64 + 1]::DOUBLE ELSE 0 END FOR k IN range(114)]), 6) AS total, CASE WHEN vec_id % 11 <> 0 THEN round(embedding[1]::DOUBLE, 6) END AS pelvis_x FROM embeddings",
     "response_curves": """WITH u AS (SELECT l_orderkey, l_linenumber, least(greatest((l_quantity / 50 - 0.1::DOUBLE) / 0.8::DOUBLE, 0), 1) AS u FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(u, 6) AS linear, round((1 / (1 + exp(-6 * (u - 0.5::DOUBLE))) - 1 / (1 + exp(3::DOUBLE))) / (1 / (1 + exp(-3::DOUBLE)) - 1 / (1 + exp(3::DOUBLE))), 6) AS sigmoid, round(CASE WHEN u < 0.5 THEN u * 0.5::DOUBLE ELSE 0.25::DOUBLE + (u - 0.5::DOUBLE) * 1.5::DOUBLE END, 6) AS piecewise FROM u""",
     "performer_proximity": f"WITH {_SK} SELECT a.frame_idx, round(greatest(0, 1 - sqrt(" + " + ".join(f"(a.spine_2_{x} - b.spine_2_{x}) * (a.spine_2_{x} - b.spine_2_{x})" for x in "xyz") + ") / 600), 6) AS proximity FROM s a JOIN s b ON b.frame_idx = a.frame_idx + 1",

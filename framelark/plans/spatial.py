@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, headers
 from ..functions.columns import signed
-from ..operators import quality, report, solvers
+from ..operators import calibration, quality, report, solvers
+from ..scratch import new_folder
 from ..sources import tables
 from ..sources.tables import board
 from ._common import table
@@ -228,6 +229,21 @@ def coverage_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.coverage(c, ["camera"], 1920, 1080).select("camera", "n_pixels", F.round("share", 6).alias("share"))
 
 
+def calibrated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calibration document for each nation, written as a JSON file and read back; every part as a point of a recording."""
+    path, k = new_folder(spark, "calibrations"), F.col("n_nationkey")
+    turned, straight = (F.array(*[F.array(*map(F.lit, row)) for row in m]) for m in ([[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]], [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]))
+    shift = F.array(k * 0.5, k * -0.25, F.lit(2.0))
+    extrinsics = F.struct(F.when(k % 2 == 1, turned).otherwise(straight).alias("rotation_matrix_3x3"), shift.alias("translation_metres"))
+    documents = table(spark, sf_dir, "nation").select(F.struct(F.col("n_name").alias("dataset")).alias("meta"), extrinsics.alias("extrinsics"))
+    documents.withColumn("recording", F.col("meta.dataset")).write.partitionBy("recording").json(path)  # a file each
+    read = tables.calibration_json(spark, path).withColumn("dataset", F.col("meta.dataset"))
+    named = table(spark, sf_dir, "nation").select(k.alias("nation"), F.col("n_name").alias("dataset"))
+    p = points(spark, sf_dir).withColumn("nation", F.col("p_partkey") % 25).join(named, "nation").select("p_partkey", "dataset", "X", "Y", "Z")
+    moved = calibration.transform_points(p, read, ["dataset"], ("X", "Y", "Z"))
+    return moved.select("p_partkey", "dataset", *[F.round(c, 6).alias(c.lower()) for c in "XYZ"])
+
+
 def picture_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part as the beginning of a PNG or JPEG file, every seventh cut off; the first readable one of each 20 parts."""
     bytes_of = lambda c, n: F.unhex(F.lpad(F.hex(c), 2 * n, "0"))
@@ -323,7 +339,7 @@ _GRADE = "CASE WHEN a < 1.5 THEN 'good' WHEN a < 2.5 THEN 'warn' WHEN a >= 2.8 T
 _NORM = "SELECT vec_id, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS e{k}" for k in range(4)) + " FROM embeddings"
 _SCALED = f"b AS ({_NORM}), r AS (SELECT " + ", ".join(f"min(e{k}) AS a{k}, max(e{k}) AS z{k}" for k in range(4)) + " FROM b), s AS (SELECT vec_id, " + ", ".join(f"(e{k} - a{k}) / CASE WHEN z{k} > a{k} THEN z{k} - a{k} ELSE 1 END AS e{k}" for k in range(4)) + " FROM b, r)"
 
-QUERIES = {f.__name__: f for f in (detection_status, detection_counts, paired_ok, frames_in_both, best_variant, matched_corners, pair_gate, collected_pairs, motion_gate, board_corners, corners_on_board, frame_features, normalised_features, farthest_point_45, rigid_transform, chained_transform, project_points, reprojection_error, rodrigues_roundtrip, lens_offset_text, reprojection_by_frame, reprojection_overall, validation_grade, frame_classes, error_histogram_40, validation_report_json, flat_errors, shared_ids, bounds_filter, coverage_mask, picture_sizes, config_grid_best, pose_solve, calibrate_camera, stereo_calibrate)}
+QUERIES = {f.__name__: f for f in (detection_status, detection_counts, paired_ok, frames_in_both, best_variant, matched_corners, pair_gate, collected_pairs, motion_gate, board_corners, corners_on_board, frame_features, normalised_features, farthest_point_45, rigid_transform, chained_transform, project_points, reprojection_error, rodrigues_roundtrip, lens_offset_text, reprojection_by_frame, reprojection_overall, validation_grade, frame_classes, error_histogram_40, validation_report_json, flat_errors, shared_ids, bounds_filter, coverage_mask, calibrated_points, picture_sizes, config_grid_best, pose_solve, calibrate_camera, stereo_calibrate)}
 ORACLE = {
     "detection_status": f"WITH {_DET} SELECT * FROM st",
     "detection_counts": f"WITH {_DET} SELECT " + ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ("ok", "unreadable", "rejected_no_markers", "rejected_few_corners")) + " FROM st",
@@ -359,6 +375,7 @@ SELECT v AS vec_id, pick FROM f""",
     "shared_ids": f"WITH {_PAIR}, f AS (SELECT DISTINCT a.vec_id // 2 AS frame FROM c a JOIN c b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0) SELECT frame, coalesce(string_agg(corner_id::VARCHAR, ',' ORDER BY corner_id), '') AS ids, coalesce(bool_or(corner_id = 0), false) AS has_first FROM f LEFT JOIN p USING (frame) GROUP BY frame",
     "bounds_filter": f"WITH {_COR} SELECT vec_id, corner_id FROM c WHERE trunc(x) >= 0 AND trunc(x) < 1100 AND trunc(y) >= 0 AND trunc(y) < 700",
     "coverage_mask": f"WITH {_COR}, o AS (SELECT dx, dy FROM (SELECT unnest(range(-8, 9)) AS dx), (SELECT unnest(range(-8, 9)) AS dy) WHERE dx * dx + dy * dy <= 64), q AS (SELECT DISTINCT vec_id % 2 AS camera, trunc(x)::INT + dx AS i, trunc(y)::INT + dy AS j FROM c, o WHERE trunc(x) >= 0 AND trunc(x) < 1920 AND trunc(y) >= 0 AND trunc(y) < 1080) SELECT camera, count(*) AS n_pixels, round(count(*) / (1920 * 1080)::DOUBLE, 6) AS share FROM q WHERE i >= 0 AND i < 1920 AND j >= 0 AND j < 1080 GROUP BY camera",
+    "calibrated_points": f"WITH {_PT}, n AS (SELECT n_nationkey AS k, n_name AS dataset FROM nation) SELECT p_partkey, dataset, round(CASE WHEN k % 2 = 1 THEN -Y ELSE X END + k * 0.5::DOUBLE, 6) AS x, round(CASE WHEN k % 2 = 1 THEN X ELSE Y END + k * -0.25::DOUBLE, 6) AS y, round(Z + 2, 6) AS z FROM p JOIN n ON k = p_partkey % 25",
     "picture_sizes": "SELECT p_partkey // 20 AS folder, p_partkey % 4000 + 1 AS width, (p_size * 30)::BIGINT AS height FROM part WHERE p_partkey % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) = 1",
     "config_grid_best": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS k FROM nation) SELECT n_regionkey::BIGINT AS dict_id, p AS params, n_name AS frame, (n_nationkey * 7 % 23)::INT AS n_corners FROM n, (SELECT unnest(['default', 'relaxed']) AS p, unnest([0, 1]) AS o) WHERE k <= 3 AND n_nationkey * 7 % 23 >= 6 ORDER BY n_corners DESC, (n_regionkey * 2 + o) * 100 + n_nationkey LIMIT 1",
 }
