@@ -7,11 +7,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import geometry, headers
 from ..functions.columns import signed
 from ..operators import calibration, quality, report, solvers
 from ..scratch import new_folder
-from ..sources import tables
+from ..sources import sinks, tables
 from ..sources.tables import board
 from ._common import table
 
@@ -207,6 +208,19 @@ def validation_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.groupBy("dataset", "n_frames_validated").agg(F.sum("f.n_corners").alias("n_corners"), F.round(F.sum(F.size("f.errors_px")), 0).cast("long").alias("n_errors"))
 
 
+def validation_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report of each 500 orders as a recording. Errors are sixteenths, whose sums are exact."""
+    e = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 500).cast("string").alias("dataset"), F.format_string("%07d", "l_orderkey").alias("frame"), (F.col("l_quantity") / 16).alias("error"))
+    path = new_folder(spark, "reports")
+    sinks.write_report(report.validation_report(e), path)
+    r = spark.read.schema(schemas.VALIDATION_REPORT).json(path)
+    worst = F.array_max(F.transform("per_frame", lambda f: F.struct(f["max_error_px"].alias("max"), f["frame_pair"][0].alias("name"))))
+    return r.select(
+        "dataset", "n_frames_validated", *[F.round(c, 6).alias(c) for c in ("overall_mean_px", "overall_std_px", "percentile_95_px")], "frames_good", "frames_warn", "frames_bad",
+        F.array_join("bad_frame_names", ",").alias("bad"), "assessment", worst["name"].alias("worst"), F.aggregate("per_frame", F.lit(0).cast("long"), lambda n, f: n + F.size(f["errors_px"])).alias("n_errors"),
+    )
+
+
 def flat_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = errors(spark, sf_dir).groupBy("frame").agg(F.collect_list("error").alias("errors_px"))
     return per.select("frame", F.explode("errors_px").alias("error")).select("frame", F.round("error", 6).alias("error"))
@@ -339,7 +353,7 @@ _GRADE = "CASE WHEN a < 1.5 THEN 'good' WHEN a < 2.5 THEN 'warn' WHEN a >= 2.8 T
 _NORM = "SELECT vec_id, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS e{k}" for k in range(4)) + " FROM embeddings"
 _SCALED = f"b AS ({_NORM}), r AS (SELECT " + ", ".join(f"min(e{k}) AS a{k}, max(e{k}) AS z{k}" for k in range(4)) + " FROM b), s AS (SELECT vec_id, " + ", ".join(f"(e{k} - a{k}) / CASE WHEN z{k} > a{k} THEN z{k} - a{k} ELSE 1 END AS e{k}" for k in range(4)) + " FROM b, r)"
 
-QUERIES = {f.__name__: f for f in (detection_status, detection_counts, paired_ok, frames_in_both, best_variant, matched_corners, pair_gate, collected_pairs, motion_gate, board_corners, corners_on_board, frame_features, normalised_features, farthest_point_45, rigid_transform, chained_transform, project_points, reprojection_error, rodrigues_roundtrip, lens_offset_text, reprojection_by_frame, reprojection_overall, validation_grade, frame_classes, error_histogram_40, validation_report_json, flat_errors, shared_ids, bounds_filter, coverage_mask, calibrated_points, picture_sizes, config_grid_best, pose_solve, calibrate_camera, stereo_calibrate)}
+QUERIES = {f.__name__: f for f in (detection_status, detection_counts, paired_ok, frames_in_both, best_variant, matched_corners, pair_gate, collected_pairs, motion_gate, board_corners, corners_on_board, frame_features, normalised_features, farthest_point_45, rigid_transform, chained_transform, project_points, reprojection_error, rodrigues_roundtrip, lens_offset_text, reprojection_by_frame, reprojection_overall, validation_grade, frame_classes, error_histogram_40, validation_report_json, validation_reports, flat_errors, shared_ids, bounds_filter, coverage_mask, calibrated_points, picture_sizes, config_grid_best, pose_solve, calibrate_camera, stereo_calibrate)}
 ORACLE = {
     "detection_status": f"WITH {_DET} SELECT * FROM st",
     "detection_counts": f"WITH {_DET} SELECT " + ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ("ok", "unreadable", "rejected_no_markers", "rejected_few_corners")) + " FROM st",
@@ -371,6 +385,11 @@ SELECT v AS vec_id, pick FROM f""",
     "frame_classes": f"WITH {_MEAN} SELECT frame, {_GRADE} AS grade, CASE WHEN a < 1 THEN 'low' WHEN a < 2 THEN 'middle' ELSE 'high' END AS bar, CASE WHEN a < 0.5 THEN 'Excellent' WHEN a < 1.8 THEN 'Good' WHEN a < 2.5 THEN 'Acceptable' ELSE 'Poor' END AS assessment FROM m",
     "error_histogram_40": "WITH r AS (SELECT min(l_extendedprice) AS a, max(l_extendedprice) AS z FROM lineitem) SELECT least(floor((l_extendedprice - a) / (z - a) * 40), 39)::INT AS bin, count(*) AS n, round(any_value(a + (z - a) / 40 * least(floor((l_extendedprice - a) / (z - a) * 40), 39)), 4) AS low, round(any_value(a + (z - a) / 40 * (least(floor((l_extendedprice - a) / (z - a) * 40), 39) + 1)), 4) AS high FROM lineitem, r GROUP BY 1",
     "validation_report_json": "SELECT (l_orderkey // 500)::VARCHAR AS dataset, count(DISTINCT l_orderkey) AS n_frames_validated, count(*) AS n_corners, count(*) AS n_errors FROM lineitem GROUP BY 1",
+    "validation_reports": f"""WITH e AS (SELECT (l_orderkey // 500)::VARCHAR AS dataset, printf('%07d', l_orderkey) AS frame, l_quantity / 16 AS error FROM lineitem),
+m AS (SELECT dataset, frame, avg(error) AS a, max(error) AS top FROM e GROUP BY ALL),
+f AS (SELECT dataset, count(*) AS n_frames_validated, count(*) FILTER (a < 1.5) AS frames_good, count(*) FILTER (a >= 1.5 AND a < 2.5) AS frames_warn, count(*) FILTER (a >= 2.8) AS frames_bad, coalesce(string_agg(frame, ',' ORDER BY frame) FILTER (a >= 2.8), '') AS bad, max(struct_pack(top := top, frame := frame)).frame AS worst FROM m GROUP BY dataset),
+o AS (SELECT dataset, avg(error) AS a, stddev_pop(error) AS s, quantile_cont(error, 0.95) AS q, count(*) AS n_errors FROM e GROUP BY dataset)
+SELECT dataset, n_frames_validated, round(a, 6) AS overall_mean_px, round(s, 6) AS overall_std_px, round(q, 6) AS percentile_95_px, frames_good, frames_warn, frames_bad, bad, CASE WHEN a < 0.5 THEN 'Excellent' WHEN a < 1.8 THEN 'Good' WHEN a < 2.5 THEN 'Acceptable' ELSE 'Poor' END AS assessment, worst, n_errors FROM f JOIN o USING (dataset)""",
     "flat_errors": f"WITH {_ERR} SELECT frame, round(error, 6) AS error FROM e",
     "shared_ids": f"WITH {_PAIR}, f AS (SELECT DISTINCT a.vec_id // 2 AS frame FROM c a JOIN c b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0) SELECT frame, coalesce(string_agg(corner_id::VARCHAR, ',' ORDER BY corner_id), '') AS ids, coalesce(bool_or(corner_id = 0), false) AS has_first FROM f LEFT JOIN p USING (frame) GROUP BY frame",
     "bounds_filter": f"WITH {_COR} SELECT vec_id, corner_id FROM c WHERE trunc(x) >= 0 AND trunc(x) < 1100 AND trunc(y) >= 0 AND trunc(y) < 700",
