@@ -26,6 +26,39 @@ def classify_detections(df: DataFrame, min_corners: int = 45, min_markers: int =
     return df.withColumn("_d", detection_status(F.col("n_markers"), F.col("n_corners"), min_markers, min_corners)).withColumns({c: F.col(f"_d.{c}") for c in ("status", "n_markers", "n_corners")}).drop("_d")
 
 
+#: Colours (blue, green, red) of a picture's label; the widest picture that is kept as it is.
+FINE, REJECTED, TRIED, WIDEST = (0, 180, 0), (0, 0, 220), (0, 200, 0), 1280
+
+
+def label_of(status: Column, corners: Column) -> Column:
+    """What is written on an inspected frame; nothing on one that cannot be read."""
+    text = F.format_string("Corners: %d  Status: %s", corners, status)
+    return F.when(status == "rejected_no_markers", "REJECTED - no ArUco markers").when(status != "unreadable", text)
+
+
+def trial_label(dictionary: Column, board: Column, markers: Column, corners: Column) -> Column:
+    """What is written on a frame of a configuration that was tried."""
+    return F.format_string("Dict: %s  Board: %s  Markers: %d  ChArUco corners: %d", dictionary, board, markers, corners)
+
+
+def colour(fine: Column, good: tuple[int, int, int] = FINE) -> Column:
+    return F.when(fine, F.array(*map(F.lit, good))).otherwise(F.array(*map(F.lit, REJECTED)))
+
+
+def shown_size(width: Column, height: Column, widest: int = WIDEST) -> Column:
+    """(width, height) in which a frame is written: wider ones are scaled down, fractions of pixels cut."""
+    scale = F.when(width > widest, F.lit(float(widest)) / width).otherwise(1.0)
+    return F.struct((width * scale).cast("int").alias("width"), (height * scale).cast("int").alias("height"))
+
+
+def annotations(classified: DataFrame) -> DataFrame:
+    """classified (status, n_corners, width, height) with the label, its colour and the size of the picture to draw; frames
+    without markers keep their size, unreadable ones give no picture."""
+    kept = F.col("status") == "rejected_no_markers"
+    size = F.when(F.col("status") != "unreadable", F.when(kept, F.struct(F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"))).otherwise(shown_size(F.col("width"), F.col("height"))))
+    return classified.withColumns({"label": label_of(F.col("status"), F.col("n_corners")), "colour": F.when(F.col("status") != "unreadable", colour(F.col("status") == "ok")), "shown": size})
+
+
 def best_variant(tried: DataFrame, keys: list[str], n: str = "n_corners", order: str = "try_order", least: int = 1) -> DataFrame:
     """The row of the most corners of each key; the first tried on a tie; none below `least`."""
     rest = [c for c in tried.columns if c not in keys]

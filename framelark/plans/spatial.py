@@ -44,6 +44,19 @@ def detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection_status(spark, sf_dir).agg(*[F.count_if(s == x).alias(x) for x in ("ok", "unreadable", "rejected_no_markers", "rejected_few_corners")])
 
 
+def annotation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of widths from 640 to 2239; the size of those without a picture is -1 here."""
+    d = detection_status(spark, sf_dir).withColumns({"width": F.col("l_orderkey") % 1600 + 640, "height": F.col("l_orderkey") % 900 + 360})
+    return quality.annotations(d).select("l_orderkey", "label", F.array_join(F.col("colour").cast("array<string>"), " ").alias("colour"), *[F.coalesce(f"shown.{c}", F.lit(-1)).alias(c) for c in ("width", "height")])
+
+
+def trial_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as configurations that were tried."""
+    p = table(spark, sf_dir, "part").withColumns({"board": F.concat_ws("x", F.col("p_size"), F.col("p_size") % 7), "n": F.col("p_partkey") % 13})
+    text = quality.trial_label(F.col("p_name"), F.col("board"), F.col("p_size"), F.col("n"))
+    return p.select("p_partkey", text.alias("label"), F.array_join(quality.colour(F.col("n") >= 6, quality.TRIED).cast("array<string>"), " ").alias("colour"))
+
+
 def _cameras(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = detection_status(spark, sf_dir)
     half = F.floor(F.col("l_orderkey") / 2).alias("frame")
@@ -353,10 +366,14 @@ _GRADE = "CASE WHEN a < 1.5 THEN 'good' WHEN a < 2.5 THEN 'warn' WHEN a >= 2.8 T
 _NORM = "SELECT vec_id, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS e{k}" for k in range(4)) + " FROM embeddings"
 _SCALED = f"b AS ({_NORM}), r AS (SELECT " + ", ".join(f"min(e{k}) AS a{k}, max(e{k}) AS z{k}" for k in range(4)) + " FROM b), s AS (SELECT vec_id, " + ", ".join(f"(e{k} - a{k}) / CASE WHEN z{k} > a{k} THEN z{k} - a{k} ELSE 1 END AS e{k}" for k in range(4)) + " FROM b, r)"
 
-QUERIES = {f.__name__: f for f in (detection_status, detection_counts, paired_ok, frames_in_both, best_variant, matched_corners, pair_gate, collected_pairs, motion_gate, board_corners, corners_on_board, frame_features, normalised_features, farthest_point_45, rigid_transform, chained_transform, project_points, reprojection_error, rodrigues_roundtrip, lens_offset_text, reprojection_by_frame, reprojection_overall, validation_grade, frame_classes, error_histogram_40, validation_report_json, validation_reports, flat_errors, shared_ids, bounds_filter, coverage_mask, calibrated_points, picture_sizes, config_grid_best, pose_solve, calibrate_camera, stereo_calibrate)}
+QUERIES = {f.__name__: f for f in (detection_status, detection_counts, annotation_labels, trial_labels, paired_ok, frames_in_both, best_variant, matched_corners, pair_gate, collected_pairs, motion_gate, board_corners, corners_on_board, frame_features, normalised_features, farthest_point_45, rigid_transform, chained_transform, project_points, reprojection_error, rodrigues_roundtrip, lens_offset_text, reprojection_by_frame, reprojection_overall, validation_grade, frame_classes, error_histogram_40, validation_report_json, validation_reports, flat_errors, shared_ids, bounds_filter, coverage_mask, calibrated_points, picture_sizes, config_grid_best, pose_solve, calibrate_camera, stereo_calibrate)}
 ORACLE = {
     "detection_status": f"WITH {_DET} SELECT * FROM st",
     "detection_counts": f"WITH {_DET} SELECT " + ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ("ok", "unreadable", "rejected_no_markers", "rejected_few_corners")) + " FROM st",
+    "annotation_labels": f"""WITH {_DET}, w AS (SELECT *, l_orderkey % 1600 + 640 AS w, l_orderkey % 900 + 360 AS h FROM st), z AS (SELECT *, CASE WHEN status <> 'rejected_no_markers' AND w > 1280 THEN 1280::DOUBLE / w ELSE 1 END AS z FROM w WHERE status <> 'unreadable')
+SELECT l_orderkey, CASE WHEN status = 'rejected_no_markers' THEN 'REJECTED - no ArUco markers' ELSE 'Corners: ' || n_corners || '  Status: ' || status END AS label, CASE WHEN status = 'ok' THEN '0 180 0' ELSE '0 0 220' END AS colour, trunc(w * z)::INT AS width, trunc(h * z)::INT AS height FROM z
+UNION ALL SELECT l_orderkey, NULL, NULL, -1, -1 FROM st WHERE status = 'unreadable'""",
+    "trial_labels": "SELECT p_partkey, 'Dict: ' || p_name || '  Board: ' || p_size || 'x' || p_size % 7 || '  Markers: ' || p_size || '  ChArUco corners: ' || p_partkey % 13 AS label, CASE WHEN p_partkey % 13 >= 6 THEN '0 200 0' ELSE '0 0 220' END AS colour FROM part",
     "paired_ok": f"WITH {_DET} SELECT a.l_orderkey // 2 AS frame, a.n_corners AS sony_corners, b.n_corners AS zed_corners FROM st a JOIN st b ON b.l_orderkey = a.l_orderkey + 1 WHERE a.l_orderkey % 2 = 0 AND a.status = 'ok' AND b.status = 'ok'",
     "frames_in_both": f"WITH {_DET} SELECT l_orderkey // 2 AS frame, status FROM st WHERE l_orderkey % 2 = 0 AND l_orderkey + 1 IN (SELECT l_orderkey FROM st)",
     "best_variant": "SELECT l_orderkey, l_linenumber AS try_order, trunc(l_quantity - 25)::INT AS n_corners FROM lineitem WHERE trunc(l_quantity - 25) >= 1 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY trunc(l_quantity - 25) DESC, l_linenumber) = 1",
