@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 
 from ..errors import InsufficientDataError
 from ..scratch import durable
-from ..sources.tables import need
 
 
 def detection_status(markers: Column, corners: Column, min_markers: int = 4, min_corners: int = 45) -> Column:
@@ -187,16 +186,19 @@ def farthest_point(df: DataFrame, n: int = 45, name: str = "name", columns: tupl
 
     Rows lie in the cells of a grid. The driver keeps bounds of each cell, at most cells ** len(columns) of them, and the
     REPORTED farthest rows of cells that were scanned. Only cells whose other rows could be the next pick are scanned
-    again, by tasks that send those rows only, so a pick mostly needs no job, and no task sees all rows. Null or NaN
-    columns make no pick.
+    again, by tasks that send those rows only, so a pick mostly needs no job, and no task sees all rows. Names are
+    distinct; rows without one, or with a null or NaN column, are no picks.
     """
-    pool = need(normalised(df, columns).select(name, *columns), n, "frames to pick from")
-    fine = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns])
+    fine = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in columns]) & F.col(name).isNotNull()
     cell = F.concat_ws(",", *[F.least(F.floor(F.col(c) * cells), F.lit(cells - 1)).cast("string") for c in columns])
-    rows = durable(need(pool.where(fine), n, "frames with all features").withColumn("_cell", cell))
-    known = Cells(rows.groupBy("_cell").agg(*[f(c).alias(f"{end}_{c}") for c in columns for end, f in (("low", F.min), ("high", F.max))]).orderBy("_cell").collect(), columns)
+    rows = durable(normalised(df, columns).select(name, *columns).where(fine).withColumn("_cell", cell))
+    ends = [f(c).alias(f"{end}_{c}") for c in columns for end, f in (("low", F.min), ("high", F.max))]
+    boxes = rows.groupBy("_cell").agg(F.count("*").alias("n"), F.min(F.struct(name, *columns)).alias("first"), *ends).collect()  # a row a cell
+    if sum(r["n"] for r in boxes) < n:
+        raise InsufficientDataError(f"frames to pick from: {sum(r['n'] for r in boxes)} of at least {n}")
+    known = Cells(sorted(boxes, key=lambda r: r["_cell"]), columns)
     place = lambda r: tuple(r[c] for c in columns)
-    first = rows.orderBy(name).first()
+    first = min((r["first"] for r in boxes), key=lambda r: r[name])
     picks = [(first[name], place(first))]
     known.picked(*picks[0])
     while len(picks) < n:
