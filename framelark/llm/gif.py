@@ -1,9 +1,9 @@
 """GIF columns: bytes stored as 8-bit samples of timed frames, read back, and described by colour histograms.
 
-The writer stores samples as 9-bit LZW literals with a clear code before the table would need a tenth bit, which numpy
-packs eight codes at a time. The reader takes any GIF: it finds code widths from the distance to the last clear code,
-resolves table entries as copies of earlier output by pointer doubling, and applies palettes, interlacing, disposal
-and transparency.
+The writer is greedy LZW: the longest run of samples that the table holds is one code, of nine bits at first and twelve
+at most, and gives the table its next entry; a full table is cleared. The reader takes any GIF: it finds code widths from
+the distance to the last clear code, resolves table entries as copies of earlier output by pointer doubling, and applies
+palettes, interlacing, disposal and transparency.
 
 Defined cases: a null text is empty and stores 64 zero bytes; a null image gives no frames; equal texts give equal
 values; truncated or foreign bytes raise ValueError; extra columns are ignored.
@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
 
-#: Samples in a row, rows in a frame, hundredths of a second that a frame stays, literals between clear codes.
-WIDTH, HEIGHT, DELAY, RUN = 64, 1024, 10, 254
-CLEAR, STOP = 256, 257
+#: Samples in a row, rows in a frame, hundredths of a second that a frame stays.
+WIDTH, HEIGHT, DELAY = 64, 1024, 10
+#: The first entry's code, codes that a table can hold.
+CLEAR, STOP, FIRST, CODES = 256, 257, 258, 4096
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 
 
@@ -40,19 +41,17 @@ class Frame:
     transparent: int
 
 
-def pack9(codes: np.ndarray) -> bytes:
-    """9-bit codes, lowest bit first."""
-    n = len(codes)
-    c = np.zeros(-(-n // 8) * 8, np.uint64)
-    c[:n] = codes
-    c = c.reshape(-1, 8)
-    low = c[:, 0].copy()
-    for k in range(1, 8):
-        low |= c[:, k] << np.uint64(9 * k)
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, :8] = low.astype("<u8").view(np.uint8).reshape(-1, 8)
-    out[:, 8] = (c[:, 7] >> np.uint64(1)).astype(np.uint8)
-    return out.tobytes()[: -(-9 * n // 8)]
+#: Bits of the code at each distance from a clear code: a code more than the table can name makes them grow.
+WIDTHS = np.minimum(12, 9 + np.searchsorted([255, 767, 1791], np.arange(CODES), side="right"))
+
+
+def pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes of these many bits (12 at most), lowest bit first."""
+    at = np.cumsum(widths) - widths
+    byte, v = at >> 3, codes.astype(np.int64) << (at & 7)
+    size = int(at[-1] + widths[-1] + 7) >> 3
+    # codes share bytes but no bits, so sums are the joined bits
+    return sum(np.bincount(byte + k, v >> 8 * k & 255, size + 2) for k in range(3))[:size].astype(np.uint8).tobytes()
 
 
 def codes_of(data: np.ndarray, bit: int, width: int, count: int) -> np.ndarray:
@@ -65,14 +64,37 @@ def codes_of(data: np.ndarray, bit: int, width: int, count: int) -> np.ndarray:
 
 
 def write_lzw(samples: np.ndarray) -> bytes:
-    """The code stream of 8-bit samples: a clear code, then RUN literals, and so on."""
-    n = len(samples)
-    groups = -(-n // RUN)
-    codes = np.full((groups, RUN + 1), CLEAR, np.uint16)
-    held = np.zeros(groups * RUN, np.uint16)
-    held[:n] = samples
-    codes[:, 1:] = held.reshape(groups, RUN)
-    return pack9(np.append(codes.ravel()[: n + groups], np.uint16(STOP)))
+    """The code stream of 8-bit samples."""
+    codes, begins = [CLEAR], [0]
+    table: dict[int, int] = {}
+    put, known, after, run = codes.append, table.get, FIRST, -1
+    for s in samples.tobytes():
+        if run < 0:
+            run = s
+            continue
+        longer = run << 8 | s
+        if (code := known(longer)) is not None:
+            run = code
+            continue
+        put(run)
+        if after < CODES:
+            table[longer] = after
+            after += 1
+        else:
+            begins.append(len(codes))
+            put(CLEAR)
+            table.clear()
+            after = FIRST
+        run = s
+    if run >= 0:
+        put(run)
+    put(STOP)
+    # a clear code still has the width of the table that it ends
+    begin = np.array(begins)
+    since = np.arange(len(codes)) - np.repeat(begin, np.diff(np.append(begin, len(codes)))) - 1
+    since[begin[1:]] = np.diff(begin) - 1
+    since[0] = 0
+    return pack(np.array(codes), WIDTHS[since])
 
 
 def _expand(codes: np.ndarray, first: int) -> np.ndarray:
@@ -107,23 +129,6 @@ def _expand(codes: np.ndarray, first: int) -> np.ndarray:
 def read_lzw(data: bytes, least: int, count: int) -> np.ndarray:
     """`count` samples of a code stream whose literals have `least` bits."""
     d = np.frombuffer(data, np.uint8)
-    if least == 8 and count:  # literals with a clear code at a fixed distance: all codes have nine bits
-        groups = -(-count // RUN)
-        n = count + groups
-        if 9 * n <= 8 * len(d):
-            pad = np.zeros(-(-n // 8) * 9, np.uint8)
-            pad[: min(len(d), len(pad))] = d[: len(pad)]
-            pad = pad.reshape(-1, 9)
-            low = np.ascontiguousarray(pad[:, :8]).view("<u8").ravel()
-            c = np.empty((len(pad), 8), np.uint16)
-            for k in range(7):
-                c[:, k] = (low >> np.uint64(9 * k)) & np.uint64(511)
-            c[:, 7] = (low >> np.uint64(63)).astype(np.uint16) | pad[:, 8].astype(np.uint16) << 1
-            held = np.zeros(groups * (RUN + 1), np.uint16)
-            held[:n] = c.ravel()[:n]
-            held = held.reshape(groups, RUN + 1)
-            if (held[:, 0] == CLEAR).all() and (held[:, 1:] < 256).all():
-                return held[:, 1:].ravel()[:count].astype(np.uint8)
     clear, bit, bits, out, got = 1 << least, 0, 8 * len(d), [], 0
     ended = False
     while not ended and got < count and bit + least + 1 <= bits:

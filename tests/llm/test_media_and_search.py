@@ -230,3 +230,23 @@ def test_walk_goes_by_falling_sum():
     q = rng.normal(size=6)
     near = ((index.first @ q[:3])[:, None] + (index.second @ q[3:])[None]).ravel()
     assert index.walk(q, 35) == np.argsort(-near, kind="stable").tolist()
+
+
+def test_the_writer_is_greedy_lzw():
+    """The codes of a plain greedy encoder, which fills the table, and repeats that shrink."""
+    rng = random.Random(3)
+    for samples in ([7], [0] * 640, [rng.randrange(256) for _ in range(300)], [i // 7 % 256 for i in range(3000)], list(b"to be or not to be, " * 90)):
+        assert gif.write_lzw(np.array(samples, np.uint8)) == lzw(samples, 8)
+    assert len(gif.encode(gif.payload_of(b"to be or not to be, " * 2000))) < 4000
+    for n in (254, 255, 256, 257, 766, 767, 768, 1790, 1791, 1792, 3837, 3838, 3839, 3840, 9000):  # where widths grow, tables fill
+        for alphabet in (256, 2):
+            samples = np.array([rng.randrange(alphabet) for _ in range(n)], np.uint8)
+            assert gif.read_lzw(gif.write_lzw(samples), 8, n).tolist() == samples.tolist()
+            try:
+                from PIL import Image
+            except ImportError:
+                continue
+            import io
+
+            payload = gif.payload_of(samples.tobytes())
+            assert Image.open(io.BytesIO(gif.encode(payload))).tobytes() == payload
