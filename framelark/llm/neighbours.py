@@ -3,9 +3,14 @@
 Both halves of the vectors are quantised on their own; a row's cell is its pair of centroids. A query walks the pairs
 by falling sum of both halves' inner products with a heap until the cells seen hold a share of all distinct vectors, and
 those cells' vectors are reranked by the true inner product. The share is measured: vectors of the sample are searched
-for in the sample, exactly and through the cells, and the least share that finds RECALL of their neighbours is taken. Equal vectors are one entry with its smallest ids, so
-a very common vector weighs no more than a rare one. Cells are as many as give about CELL vectors each. Cells are dealt to blocks of about `BLOCK` entries; a larger cell
-is split. Centroids are fitted on `SAMPLE` distinct vectors; every vector is indexed.
+for among all distinct vectors, exactly and through the cells, and the least share that finds RECALL of their neighbours
+is taken. Equal vectors are one entry with its smallest ids, so a very common vector weighs no more than a rare one.
+Cells are as many as give about CELL vectors each. Cells are dealt to blocks of `BLOCK` to 8 * BLOCK entries; a larger
+cell is split. Centroids are fitted on `SAMPLE` distinct vectors; every vector is indexed.
+
+A query goes to the blocks of its cells with one number, the sum of the last cell that its walk took: the cells taken are
+those with no lower sum. A task holds the entries of one block at a time, and queries stream by them in Arrow batches, so
+its memory does not depend on how many queries there are.
 
 Defined cases: vectors that are null, zero, of another length than most of the sample, or hold null, NaN or infinity
 take no part, nor do rows without an id; ties go to the smaller id; fewer rows than asked give all of them; an empty
@@ -19,7 +24,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +60,12 @@ class MultiIndex:
     counts: np.ndarray | None = None
     block: np.ndarray | None = None
     parts: np.ndarray | None = None
+    held: list[int] | None = None
+
+    def sums(self, q: np.ndarray) -> np.ndarray:
+        """Each cell's summed nearness, in the order of its number."""
+        h = self.first.shape[1]
+        return ((self.first @ q[:h])[:, None] + (self.second @ q[h:])[None]).ravel()
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         h = self.first.shape[1]
@@ -63,7 +73,7 @@ class MultiIndex:
 
     def plan(self, counts: np.ndarray, size: int = BLOCK) -> None:
         """Blocks of neighbouring cells; a cell above `size` gets blocks of its own."""
-        self.counts, self.parts = counts, np.maximum(1, -(-counts // size))
+        self.counts, self.parts, self.held = counts, np.maximum(1, -(-counts // size)), counts.tolist()
         self.block, at, held = np.zeros(len(counts), np.int64), 0, 0
         for k, n in enumerate(counts.tolist()):
             if self.parts[k] > 1 or held + n > size:
@@ -80,7 +90,7 @@ class MultiIndex:
         a, b = self.first @ q[:h], self.second @ q[h:]
         i, j = np.argsort(-a, kind="stable").tolist(), np.argsort(-b, kind="stable").tolist()
         sa, sb = a[i].tolist(), b[j].tolist()
-        width, counts, out, seen = len(j), self.counts, [], 0
+        width, counts, out, seen = len(j), self.held, [], 0
         done = [0] * len(i)  # pairs taken in each row: a row's next pair enters when the row above is ahead
         heap = [(-(sa[0] + sb[0]), 0, 0)]
         while heap and seen < wanted:
@@ -97,19 +107,55 @@ class MultiIndex:
         return out
 
 
+def share_reached(index: MultiIndex, counts: np.ndarray, probes: np.ndarray, cells: list[np.ndarray]) -> float:
+    """The least part of all vectors, in the order of a walk, that holds RECALL of the probes' neighbours, which lie in `cells`."""
+    found = []
+    for q, near in zip(probes, cells, strict=True):
+        walk = np.argsort(-index.sums(q), kind="stable")
+        seen = np.empty(len(walk))
+        seen[walk] = np.cumsum(counts[walk]) / counts.sum()
+        found.append(seen[near])
+    found = np.concatenate(found)
+    return float(np.quantile(found, RECALL)) if len(found) else 1.0
+
+
+def probes_of(x: np.ndarray) -> np.ndarray:
+    return np.unique(np.linspace(0, len(x) - 1, PROBES).astype(int))
+
+
 def share_for(index: MultiIndex, x: np.ndarray, k: int) -> float:
-    """The least part of all vectors, in the order of a walk, that holds RECALL of the k nearest of vectors of x."""
-    cells, h = index.cells(x), index.first.shape[1]
-    counts, found = np.bincount(cells, minlength=len(index.first) * len(index.second)), []
-    for r in np.unique(np.linspace(0, len(x) - 1, PROBES).astype(int)):
+    """share_reached for vectors of x among x."""
+    cells, near, rows = index.cells(x), [], probes_of(x)
+    for r in rows:
         s = x @ x[r]
         s[r] = -np.inf
-        near = np.argsort(-s, kind="stable")[: min(k, len(x) - 1)]
-        walk = np.argsort(-((index.first @ x[r, :h])[:, None] + (index.second @ x[r, h:])[None]).ravel(), kind="stable")
-        seen = np.empty(len(walk))
-        seen[walk] = np.cumsum(counts[walk]) / len(x)
-        found.append(seen[cells[near]])
-    return float(np.quantile(np.concatenate(found), RECALL)) if len(x) > 1 else 1.0
+        near.append(cells[np.argsort(-s, kind="stable")[: min(k, len(x) - 1)]])
+    return share_reached(index, np.bincount(cells, minlength=len(index.first) * len(index.second)), x[rows], near)
+
+
+def share_among(index: MultiIndex, counts: np.ndarray, x: np.ndarray, cells: DataFrame, k: int) -> float:
+    """share_reached for vectors of x among all entries (vec, ids, cell): one pass, in which a task keeps k a probe."""
+    q = x[probes_of(x)]
+    own = {v.tobytes(): r for r, v in enumerate(q)}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, where = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
+        for b in batches:
+            vecs = b.column(0).to_pylist()
+            if vecs:
+                s = q @ np.frombuffer(b"".join(vecs), "<f8").reshape(-1, q.shape[1]).T
+                for c, v in enumerate(vecs):
+                    if v in own:
+                        s[own[v], c] = -np.inf
+                s, c = np.hstack([best, s]), np.hstack([where, np.broadcast_to(np.asarray(b.column(2)), s.shape)])
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                best, where = np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)
+        r, c = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(-best[r, c]), pa.array(where[r, c])], names=["probe", "far", "cell"])
+
+    near = cells.mapInArrow(rows, "probe long, far double, cell long").groupBy("probe").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "cell"))), 1, k).alias("near"))
+    found = {r.probe: np.array([n.cell for n in r.near]) for r in near.collect()}  # k a probe
+    return share_reached(index, counts, q[sorted(found)], [found[r] for r in sorted(found)])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -143,20 +189,71 @@ def distinct_vectors(rows: DataFrame, ids: int) -> DataFrame:
     return some.groupBy("vec", F.pmod(F.spark_partition_id(), F.lit(32)).alias("task")).agg(least("ids")).groupBy("vec").agg(least("ids"))
 
 
+ENTRY = pa.list_(pa.int64())
+GRID = "block long, asks boolean, vec binary, cell int, ids array<long>, name long, least double"
+
+
+def reranked(batches: Iterator[pa.RecordBatch], index: MultiIndex, dim: int, k: int) -> Iterator[pa.RecordBatch]:
+    """(name, far, vec_id): the k + 1 nearest of each block for each query that asks it, of GRID sorted by block, entries
+    before queries. One block's entries are held; queries stream by."""
+    width, h = len(index.second), index.first.shape[1]
+    at, parts, held = None, [], None
+
+    def ready() -> tuple:
+        t = pa.Table.from_batches(parts)
+        m = np.frombuffer(b"".join(t.column("vec").to_pylist()), "<f8").reshape(-1, dim)
+        own, place = np.unique(t.column("cell").to_numpy(), return_inverse=True)
+        return m, own // width, own % width, place, t.column("ids").to_pylist()
+
+    def answers(asked: pa.RecordBatch) -> pa.RecordBatch:
+        m, one, two, place, ids = held
+        q = np.frombuffer(b"".join(asked.column("vec").to_pylist()), "<f8").reshape(-1, dim)
+        least = np.asarray(asked.column("least"))
+        sums = (q[:, :h] @ index.first.T)[:, one] + (q[:, h:] @ index.second.T)[:, two]
+        open_ = sums >= (least - 1e-9 * (1 + np.abs(least)))[:, None]
+        s = np.where(open_[:, place], q @ m.T, -np.inf)
+        last = np.partition(s, -(k + 1), axis=1)[:, -(k + 1)] if s.shape[1] > k + 1 else np.full(len(q), -np.inf)
+        names, far, found = [], [], []
+        for r, name in enumerate(asked.column("name").to_pylist()):
+            near = np.flatnonzero((s[r] >= last[r] - 1e-9 * (1 + abs(last[r]))) & (s[r] > -np.inf)) if np.isfinite(last[r]) else np.flatnonzero(s[r] > -np.inf)
+            exact = np.cumsum(m[near] * q[r], axis=1)[:, -1]  # terms in order: equal vectors, equal scores
+            best = sorted((-e, i) for e, n in zip(exact.tolist(), near.tolist(), strict=True) for i in ids[n])[: k + 1]
+            names += [name] * len(best)
+            far += [e for e, _ in best]
+            found += [i for _, i in best]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(far, pa.float64()), pa.array(found, pa.int64())], names=["name", "far", "vec_id"])
+
+    for b in batches:
+        block, asks = np.asarray(b.column("block")), b.column("asks").to_numpy(zero_copy_only=False)
+        edge = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (asks[1:] != asks[:-1]))[: len(block)])
+        for i, j in zip(edge.tolist(), np.append(edge[1:], len(block)).tolist(), strict=True):
+            if block[i] != at:
+                at, parts, held = block[i], [], None
+            if not asks[i]:
+                parts.append(b.slice(i, j - i))
+            elif parts or held:
+                if held is None:
+                    held, parts = ready(), []
+                some = max(1, (128 * BLOCK) // max(BLOCK, len(held[0])))
+                for n in range(i, j, some):
+                    yield answers(b.slice(n, min(some, j - n)))
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, share: float | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query (vec_id, vec) among rows (vec_id, vec). A share
     is measured if none is given; ten vectors for each of the k are reranked at least."""
     entries = durable(distinct_vectors(rows, k + 1))
     none = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = [np.frombuffer(r.vec, "<f8") for r in entries.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("vec").collect()]
+    n = entries.count()
+    drawn = entries if n <= 2 * SAMPLE else entries.where(F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(1 << 30)) < int(1.2 * SAMPLE / n * (1 << 30)))  # so that no task sends a sample of its own
+    sample = [np.frombuffer(r.vec, "<f8") for r in drawn.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("vec").collect()]
     if not sample:
         return none
     dim = Counter(map(len, sample)).most_common(1)[0][0]
     x = np.stack([v for v in sample if len(v) == dim])
     h = max(1, dim // 2)
-    centroids = int(np.clip(np.sqrt(entries.count() / CELL), 1, CENTROIDS))
+    centroids = int(np.clip(np.sqrt(n / CELL), 1, CENTROIDS))
     index = MultiIndex(fit_half(x[:, :h], centroids), fit_half(x[:, h:], centroids))
-    share = share_for(index, x, k) if share is None else share
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,56 +265,39 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, share: float | None
     counts = np.zeros(len(index.first) * len(index.second), np.int64)
     for r in cells.groupBy("cell").count().collect():  # one row a cell
         counts[r["cell"]] = r["count"]
-    index.plan(counts)
+    if share is None:
+        share = share_for(index, x, k) if n <= SAMPLE else share_among(index, counts, x, cells, k)
+    index.plan(counts, int(np.clip(n // 128, BLOCK, 8 * BLOCK)))
     wanted = max(10 * (k + 1), int(np.ceil(share * counts.sum())))
+    kinds = pa.schema([("block", pa.int64()), ("asks", pa.bool_()), ("vec", pa.binary()), ("cell", pa.int32()), ("ids", ENTRY), ("name", pa.int64()), ("least", pa.float64())])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c = np.asarray(b.column(2))
             salt = np.array([hash_of(v) for v in b.column(0).to_pylist()], np.int64) % index.parts[c]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(index.block[c] + salt)], names=["vec", "ids", "cell", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(index.block[c] + salt), pa.array(np.zeros(len(c), bool)), b.column(0), b.column(2), b.column(1), pa.nulls(len(c), pa.int64()), pa.nulls(len(c), pa.float64())], schema=kinds)
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple[bytes, int, bytes]] = []
-            for v in b.column(0).to_pylist():
-                by: dict[int, list[int]] = {}
-                for c in index.walk(np.frombuffer(v, "<f8"), wanted):
-                    for p in range(int(index.parts[c])):
-                        by.setdefault(int(index.block[c]) + p, []).append(c)
-                out += [(v, block, np.array(cs, "<i4").tobytes()) for block, cs in by.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], names=["vec", "block", "cells"])
-
-    def rerank(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[bytes, float, int]] = []
-        if len(asked) and len(held):
-            m = np.frombuffer(b"".join(held["vec"]), "<f8").reshape(-1, dim)
-            own, place = np.unique(held["cell"].to_numpy(), return_inverse=True)
-            ids = held["ids"].tolist()
-            for at in range(0, len(asked), 128):
-                some = asked.iloc[at : at + 128]
-                q = np.frombuffer(b"".join(some["vec"]), "<f8").reshape(-1, dim)
-                open_ = np.zeros((len(q), len(own)), bool)
-                for r, c in enumerate(some["cells"]):
-                    open_[r, np.searchsorted(own, np.intersect1d(np.frombuffer(c, "<i4"), own))] = True
-                s = np.where(open_[:, place], q @ m.T, -np.inf)
-                last = np.partition(s, -(k + 1), axis=1)[:, -(k + 1)] if s.shape[1] > k + 1 else np.full(len(q), -np.inf)
-                for r, v in enumerate(some["vec"]):
-                    near = np.flatnonzero((s[r] >= last[r] - 1e-9 * (1 + abs(last[r]))) & (s[r] > -np.inf)) if np.isfinite(last[r]) else np.flatnonzero(s[r] > -np.inf)
-                    exact = np.cumsum(m[near] * q[r], axis=1)[:, -1]  # terms in order: equal vectors, equal scores
-                    best = sorted((-e, i) for e, n in zip(exact.tolist(), near.tolist(), strict=True) for i in ids[n])[: k + 1]
-                    found += [(v, e, i) for e, i in best]
-        return pd.DataFrame(found, columns=["vec", "far", "vec_id"])
-
-    blocks = cells.mapInArrow(dealt, "vec binary, ids array<long>, cell int, block long").groupBy("block")
+            for v, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                q = np.frombuffer(v, "<f8")
+                walk = np.array(index.walk(q, wanted), np.int64)
+                parts = index.parts[walk]
+                to = np.unique(np.repeat(index.block[walk], parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+                least = float((index.first[walk[-1:] // len(index.second)] @ q[:h] + index.second[walk[-1:] % len(index.second)] @ q[h:])[0])
+                size = len(to)
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.ones(size, bool)), pa.array([v] * size, pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, ENTRY), pa.array([name] * size, pa.int64()), pa.array([least] * size, pa.float64())], schema=kinds)
+
     asked = queries.where(F.octet_length("vec") == 8 * dim)
     tasks = min(10_000, -(-asked.count() // WALKS))  # walking costs more than its few bytes tell
-    probes = asked.select("vec").distinct().repartition(max(1, tasks), "vec").mapInArrow(probed, "vec binary, block long, cells binary").groupBy("block")
-    scored = probes.cogroup(blocks).applyInPandas(rerank, "vec binary, far double, vec_id long")
-    best = scored.groupBy("vec").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "vec_id"))), 1, k + 1).alias("near"))
+    named = durable(asked.groupBy("vec").agg(F.min("vec_id").alias("name")).repartition(max(1, tasks), "vec"))
+    grid = cells.mapInArrow(dealt, GRID).unionByName(named.mapInArrow(probed, GRID))
+    tasks = min(10_000, int((index.block + index.parts).max()))
+    scored = grid.repartition(tasks, "block").sortWithinPartitions("block", "asks").mapInArrow(lambda batches: reranked(batches, index, dim, k), "name long, far double, vec_id long")
+    best = scored.groupBy("name").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "vec_id"))), 1, k + 1).alias("near"))
     others = F.slice(F.filter("near", lambda n: n["vec_id"] != F.col("query_id")), 1, k)
     return (
-        asked.select(F.col("vec_id").alias("query_id"), "vec").join(best, "vec").select("query_id", F.posexplode(others))
+        asked.select(F.col("vec_id").alias("query_id"), "vec").join(named, "vec").select("query_id", "name").join(best, "name").select("query_id", F.posexplode(others))
         .select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.vec_id").alias("vec_id"), (F.lit(0.0) - F.col("col.far")).alias("score"))
     )
 

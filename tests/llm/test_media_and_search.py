@@ -232,6 +232,47 @@ def test_walk_goes_by_falling_sum():
     assert index.walk(q, 35) == np.argsort(-near, kind="stable").tolist()
 
 
+def test_a_block_answers_while_queries_stream():
+    """Memory of a block does not depend on its queries: answers come before later queries are read."""
+    rng, dim, k = np.random.default_rng(4), 6, 5
+    index = neighbours.MultiIndex(rng.normal(size=(3, 3)), rng.normal(size=(3, 3)))
+    x = rng.normal(size=(400, dim))
+    q = rng.normal(size=(5000, dim))
+    names = [f.name for f in neighbours.pa.schema([(c.split()[0], neighbours.pa.null()) for c in neighbours.GRID.split(", ")])]
+    kinds = neighbours.pa.schema(list(zip(names, (neighbours.pa.int64(), neighbours.pa.bool_(), neighbours.pa.binary(), neighbours.pa.int32(), neighbours.ENTRY, neighbours.pa.int64(), neighbours.pa.float64()), strict=True)))
+    batch = lambda *c: neighbours.pa.RecordBatch.from_arrays([neighbours.pa.array(v, t) for v, t in zip(c, kinds.types, strict=True)], schema=kinds)
+    read = []
+
+    def batches():
+        for block in (0, 1):
+            mine = range(200 * block, 200 * block + 200)
+            yield batch([block] * 200, [False] * 200, [x[i].tobytes() for i in mine], index.cells(x[list(mine)]), [[i] for i in mine], [None] * 200, [None] * 200)
+            for at in range(0, len(q), 100):
+                read.append(at)
+                yield batch([block] * 100, [True] * 100, [v.tobytes() for v in q[at : at + 100]], [None] * 100, [None] * 100, range(at, at + 100), [-1e9] * 100)
+
+    got = {}
+    for n, b in enumerate(neighbours.reranked(batches(), index, dim, k)):
+        assert len(read) == n + 1
+        for name, far, i in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got.setdefault(name, []).append((far, i))
+    for name in range(0, len(q), 97):
+        assert [i for _, i in sorted(got[name])[: k + 1]] == np.argsort(-(x @ q[name]), kind="stable")[: k + 1].tolist()
+
+
+def test_share_among_all_vectors(spark, monkeypatch, tmp_path):
+    """Beyond the sample the share is measured on all vectors, and holds as many neighbours there."""
+    monkeypatch.setattr(neighbours, "SAMPLE", 1000)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 16))
+    rows = neighbours.usable(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"))
+    got = {}
+    for r in neighbours.search(rows, rows.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = {i: set(np.argsort(-(x @ x[i]), kind="stable")[:21].tolist()) - {i} for i in range(0, 6000, 20)}
+    assert got.keys() == want.keys() and np.mean([len(got[i] & {*sorted(w)}) / 20 for i, w in want.items()]) >= 0.9
+
+
 def test_the_writer_is_greedy_lzw():
     """The codes of a plain greedy encoder, which fills the table, and repeats that shrink."""
     rng = random.Random(3)
