@@ -1,5 +1,6 @@
 """Hand-made cases and properties of the operators."""
 import math
+import time
 
 import numpy as np
 import pytest
@@ -185,6 +186,40 @@ def test_solvers_get_every_row_in_many_recordings(spark):
     assert np.allclose(pairs[["r0", "r1", "r2"]], spatial.DEGREES, atol=1e-2) and np.allclose(pairs[["t0", "t1", "t2"]], spatial.CENTIMETRES, atol=1e-2)
 
 
+def test_solvers_find_the_least_error_by_exact_slopes():
+    """Noisy views: no step lowers the error, and slopes agree with differences; many views cost in proportion."""
+    rng = np.random.default_rng(9)
+    board = np.array([((i % 10 + 1) * 0.028, (i // 10 + 1) * 0.028, 0.0) for i in range(70)])
+    k, d = np.array(spatial.K), np.array(spatial.D)
+
+    def views(n):
+        poses = [(solvers.rotation(rng.uniform(-0.5, 0.5, 3)), np.array([*rng.uniform(-0.2, 0.0, 2), rng.uniform(0.6, 1.0)])) for _ in range(n)]
+        return [(board, solvers.projected(board, r, t, k, d) + rng.normal(scale=0.3, size=(70, 2))) for r, t in poses]
+
+    for v in (np.zeros(3), np.array([1e-8, 0, 0]), np.array([0.3, -0.8, 0.5])):
+        (r,), (slopes,) = solvers.turns(v[None])
+        assert np.allclose(r, solvers.rotation(v), atol=1e-12)
+        for c in range(3):
+            step = np.eye(3)[c] * 1e-5
+            assert np.allclose(slopes[c], (solvers.rotation(v + step) - solvers.rotation(v - step)) / 2e-5, atol=1e-6)
+    some = views(10)
+    found, bent, rms, poses = solvers.camera(some)
+
+    def error(x):
+        kk = np.array([[x[0], 0, x[2]], [0, x[1], x[3]], [0, 0, 1]])
+        e = np.concatenate([(solvers.projected(b, solvers.rotation(p[:3]), p[3:], kk, x[4:9]) - s).ravel() for (b, s), p in zip(some, x[9:].reshape(-1, 6), strict=True)])
+        return float(np.sqrt(2 * (e * e).mean()))
+
+    x = np.concatenate([[found[0, 0], found[1, 1], found[0, 2], found[1, 2]], bent, *poses])
+    assert error(x) == pytest.approx(rms, abs=1e-12) and 0.35 < rms < 0.45
+    for c in range(len(x)):
+        assert min(error(x + np.eye(len(x))[c] * s * max(1, abs(x[c]))) for s in (-1e-5, 1e-5)) > rms - 1e-9
+    many = views(100)  # by differences of all parameters: 609 projections of all views a round
+    began = time.process_time()
+    assert solvers.camera(many)[0][0, 0] == pytest.approx(1500, abs=5)
+    assert time.process_time() - began < 15
+
+
 def test_table_views_match_the_numpy_projection(spark):
     v = spatial.table_views(spark, "/root/testdata/sf0.001", "dataset", "frame").where("frame = 7").orderBy("corner_id").toPandas()
     p = v[["bx", "by", "bz"]].to_numpy()
