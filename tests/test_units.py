@@ -220,6 +220,25 @@ def test_solvers_find_the_least_error_by_exact_slopes():
     assert time.process_time() - began < 15
 
 
+def test_stereo_of_many_views_costs_in_proportion():
+    """Poses of all views together are those of each alone; by differences 90 views took minutes."""
+    rng = np.random.default_rng(10)
+    board = np.array([((i % 10 + 1) * 0.028, (i // 10 + 1) * 0.028, 0.0) for i in range(70)])
+    lens = np.array(spatial.K), np.array(spatial.D)
+    views = []
+    for _ in range(90):
+        r, t = solvers.rotation(rng.uniform(-0.5, 0.5, 3)), np.array([*rng.uniform(-0.2, 0.0, 2), rng.uniform(0.6, 1.0)])
+        a, b = solvers.projected(board, r, t, *lens), solvers.projected(board, np.array(spatial.R) @ r, np.array(spatial.R) @ t + np.array(spatial.T), *lens)
+        views.append((board, a + rng.normal(scale=0.2, size=a.shape), b + rng.normal(scale=0.2, size=b.shape)))
+    poses = solvers.board_poses([(b, s) for b, s, _ in views], *lens)[0]
+    for k in (0, 44, 89):
+        assert np.allclose(poses[k], np.concatenate(solvers.board_pose(*views[k][:2], *lens)[:2]), atol=1e-5)
+    began = time.process_time()
+    s = solvers.stereo(views, lens, lens)
+    assert np.allclose(s["R"], spatial.R, atol=1e-3) and np.allclose(s["T"], spatial.T, atol=1e-3) and 0.2 < s["rms"] < 0.35
+    assert time.process_time() - began < 15
+
+
 def test_table_views_match_the_numpy_projection(spark):
     v = spatial.table_views(spark, "/root/testdata/sf0.001", "dataset", "frame").where("frame = 7").orderBy("corner_id").toPandas()
     p = v[["bx", "by", "bz"]].to_numpy()
