@@ -8,6 +8,8 @@ from ._common import durable
 
 #: An id with at least one in HUBS of all edges is a hub; there are at most HUBS of them.
 HUBS = 1000
+#: Edges that a task takes.
+ROWS = 200_000
 
 
 def with_least(edges: DataFrame, bound: int) -> DataFrame:
@@ -19,17 +21,23 @@ def with_least(edges: DataFrame, bound: int) -> DataFrame:
     return rest.unionByName(edges.join(hubs, "u"))
 
 
+def tasks_for(rows: int) -> int:
+    return max(4, -(-rows // ROWS))
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each end of a link (x, y) reaches. Ends without links are not listed."""
+    """(id, component): the smallest id that each end of a link (x, y) reaches. Ends without links are not listed. Stages
+    have as many tasks as their edges need: a task leaves files behind for each shuffle, however few its rows."""
     edges = durable(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct())
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        bound = max(HUBS, -(-2 * edges.count() // HUBS))
-        large = durable(with_least(both, bound).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")))
+        n = edges.count()
+        tasks, bound = tasks_for(n), max(HUBS, -(-2 * n // HUBS))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
+        large = durable(with_least(both, bound).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).coalesce(tasks))
         small = with_least(large, bound)
-        edges = durable(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+        edges = durable(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
         # done when all hang from ends that hang from none
         ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("down"), F.lit(1).alias("up")))
         if ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down = 1 AND up = 1").isEmpty():
             break
-    return durable(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
+    return durable(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()).coalesce(tasks))

@@ -385,3 +385,20 @@ def test_extra_columns_with_clashing_names(spark, tmp_path, query):
         d = d.withColumn(c, F.lit("x"))
     d.write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id for r in query(spark, str(tmp_path)).collect()} == {0, 1, 2}
+
+
+def test_components_of_few_links_leave_few_files(spark):
+    """Shuffle files go by tasks: few links have few, whatever the number of shuffle partitions; hubs and chains are right."""
+    from framelark.llm import graph
+
+    held = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 1400)] + [(5000, 4000), (4000, 4500)]
+        got = graph.components(spark.createDataFrame(links, "x long, y long"))
+        assert got.rdd.getNumPartitions() <= 8
+        assert {r.id: r.component for r in got.collect()} == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 1400)}, 4000: 4000, 4500: 4000, 5000: 4000}
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
